@@ -90,8 +90,8 @@ def parse_a(lines: DataFrame, params: Params) -> DataFrame:
     anchored = ~F.coalesce(queued, F.lit(False))
     typ = B.str_at(v, "$.type")
     return rows.select(
-        "source", "file_id", "file_path", "rel_path", "extra_root", "root_dir", "subagent_dir",
-        "_chunk", "line_no", "kind",
+        "source", "file_id", "file_path", "rel_path", "extra_root", "root_dir", "root_rank",
+        "subagent_dir", "_chunk", "line_no", "kind",
         F.coalesce(F.try_variant_get(v, "$.isSidechain", "boolean"), F.lit(False)).alias("side"),
         typ.alias("line_type"),
         B.str_at(v, "$.uuid").alias("uuid"),
@@ -127,7 +127,8 @@ def sessions_a(parsed: DataFrame) -> DataFrame:
     """Session facts per recognised file. Ids come from the path: ids inside a log would mix a
     session with its children."""
     by_file = parsed.groupBy(
-        "source", "file_id", "file_path", "rel_path", "extra_root", "root_dir", "subagent_dir"
+        "source", "file_id", "file_path", "rel_path", "extra_root", "root_dir", "root_rank",
+        "subagent_dir",
     ).agg(
         F.bool_or("recognised").alias("recognised"),
         F.coalesce(_latest_title("custom_title"), _latest_title("ai_title"), F.lit("")).alias(

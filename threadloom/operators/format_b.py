@@ -28,7 +28,8 @@ TEXT_TYPES = ["input_text", "output_text", "text"]
 FINAL_REPLY = f"(?m)^Message Type:{WS}*FINAL_ANSWER\\b"
 EOF_LINE = (1 << 63) - 1
 
-FILE = ["source", "file_id", "file_path", "rel_path", "extra_root", "root_dir", "subagent_dir"]
+FILE = ["source", "file_id", "file_path", "rel_path", "extra_root", "root_dir", "root_rank",
+        "subagent_dir"]
 # Rows that close a turn's waiting fallback questions.
 FLUSH = ["agent", "complete", "start", "reason", "call", "instruction", "developer", "eof"]
 

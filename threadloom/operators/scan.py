@@ -41,7 +41,7 @@ class Order:
 
 @dataclass(frozen=True)
 class Running:
-    op: str  # last | first | sum
+    op: str  # last | first | sum | max
     col: Column
     current: bool = False  # include the current row
     ahead: bool = False  # look at following rows instead
@@ -70,14 +70,18 @@ def sum_upto(c: Column) -> Running:
     return Running("sum", c, current=True)
 
 
+def max_before(c: Column) -> Running:
+    return Running("max", c)
+
+
 def next_after(c: Column) -> Running:
     """Nearest later non-null value."""
     return Running("last", c, ahead=True)
 
 
 def _window_value(r: Running, col: Column, window) -> Column:
-    if r.op == "sum":
-        return F.sum(col).over(window)
+    if r.op in ("sum", "max"):
+        return (F.sum if r.op == "sum" else F.max)(col).over(window)
     fn = F.last if r.op == "last" else F.first
     return fn(col, ignorenulls=True).over(window)
 
@@ -106,8 +110,8 @@ def running(df: DataFrame, order: Order, **specs: Running) -> DataFrame:
     aggs = []
     for n, r in specs.items():
         c = F.col(f"_in_{n}")
-        if r.op == "sum":
-            aggs.append(F.sum(c).alias(f"_in_{n}"))
+        if r.op in ("sum", "max"):
+            aggs.append((F.sum if r.op == "sum" else F.max)(c).alias(f"_in_{n}"))
         else:
             pick = F.min_by if (r.op == "first" or r.ahead) else F.max_by
             aggs.append(pick(c, F.when(c.isNotNull(), pos)).alias(f"_in_{n}"))
@@ -130,6 +134,8 @@ def running(df: DataFrame, order: Order, **specs: Running) -> DataFrame:
         local, before = F.col(n), F.col(f"_carry_{n}")
         if r.op == "sum":
             merged[n] = F.coalesce(local, F.lit(0)) + F.coalesce(before, F.lit(0))
+        elif r.op == "max":
+            merged[n] = F.greatest(local, before)
         elif r.op == "first":
             merged[n] = F.coalesce(before, local)
         else:

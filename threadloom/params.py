@@ -39,6 +39,12 @@ class Root:
     source: str
     origin: str = "standard"  # standard | extra
     key: str = "std"
+    suffix: str = ".jsonl"
+    tree: bool | None = None  # search all levels; by default only family B is a tree
+
+    @property
+    def recursive(self) -> bool:
+        return self.source == SOURCE_B if self.tree is None else self.tree
 
     @property
     def path(self) -> str:

@@ -28,9 +28,9 @@ class Lines:
 
 def _globs(root: Root) -> list[str]:
     # Family A keeps sessions at the top and child transcripts one level down; family B is a tree.
-    if root.source == SOURCE_A:
-        return [f"{root.path}/*.jsonl", f"{root.path}/*/subagents/*.jsonl"]
-    return [root.path]
+    if root.recursive:
+        return [root.path]
+    return [f"{root.path}/*{root.suffix}", f"{root.path}/*/subagents/*{root.suffix}"]
 
 
 def plain_path(uri: Column) -> Column:
@@ -47,11 +47,11 @@ def _relative(path: Column, root: Root) -> Column:
 def _owned(path: Column, root: Root) -> Column:
     """Whether discovery from this root reaches the file."""
     rel = _relative(path, root)
-    shape = (~rel.contains("/") | rel.rlike(SUBAGENT_FILE)) if root.source == SOURCE_A else F.lit(True)
-    return F.coalesce(rel.isNotNull() & shape & path.endswith(".jsonl"), F.lit(False))
+    shape = F.lit(True) if root.recursive else ~rel.contains("/") | rel.rlike(SUBAGENT_FILE)
+    return F.coalesce(rel.isNotNull() & shape & path.endswith(root.suffix), F.lit(False))
 
 
-def _attributes(path: Column, root: Root) -> dict[str, Column]:
+def _attributes(path: Column, root: Root, rank: int) -> dict[str, Column]:
     rel = _relative(path, root)
     space = "/".join([root.source, root.origin, root.root_key])
     return {
@@ -61,6 +61,7 @@ def _attributes(path: Column, root: Root) -> dict[str, Column]:
         "file_id": F.concat(F.lit(space + "/"), rel),
         "extra_root": F.lit(root.origin == "extra"),
         "root_dir": F.lit(root.path),
+        "root_rank": F.lit(rank),
         "subagent_dir": F.lit(root.source == SOURCE_A) & rel.rlike(SUBAGENT_FILE),
     }
 
@@ -72,12 +73,12 @@ def _per_root(spark: SparkSession, roots: list[Root], read, columns) -> DataFram
         earlier = [r for r in roots[:i] if r.source == root.source]
         for glob in _globs(root):
             try:
-                df = read(glob)
+                df = read(glob, root.suffix)
             except AnalysisException:  # nothing there
                 continue
             path = plain_path(F.col("_metadata.file_path"))
             mine = reduce(lambda c, r: c & ~_owned(path, r), earlier, _owned(path, root))
-            parts.append(df.where(mine).select(*columns(path, root)))
+            parts.append(df.where(mine).select(*columns(path, root, i)))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
@@ -94,16 +95,12 @@ def manifest(spark: SparkSession, roots: list[Root]) -> DataFrame | None:
     """One row per log file: attributes, size and modification time. Contents are not read."""
     check_root_keys(roots)
 
-    def read(glob: str) -> DataFrame:
-        return (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.jsonl")
-            .load(glob)
-        )
+    def read(glob: str, suffix: str) -> DataFrame:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        return reader.option("pathGlobFilter", "*" + suffix).load(glob)
 
-    def columns(path: Column, root: Root) -> list[Column]:
-        attrs = [c.alias(n) for n, c in _attributes(path, root).items()]
+    def columns(path: Column, root: Root, rank: int) -> list[Column]:
+        attrs = [c.alias(n) for n, c in _attributes(path, root, rank).items()]
         return [*attrs, F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime")]
 
     return _per_root(spark, roots, read, columns)
@@ -119,16 +116,12 @@ def read_lines(spark: SparkSession, roots: list[Root], only: DataFrame | None =
     check_root_keys(roots)
     limit = hot_bytes(spark)
 
-    def read(glob: str) -> DataFrame:
-        return (
-            spark.read.option("lineSep", "\n")
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.jsonl")
-            .text(glob)
-        )
+    def read(glob: str, suffix: str) -> DataFrame:
+        reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True)
+        return reader.option("pathGlobFilter", "*" + suffix).text(glob)
 
-    def columns(path: Column, root: Root) -> list[Column]:
-        attrs = [c.alias(n) for n, c in _attributes(path, root).items()]
+    def columns(path: Column, root: Root, rank: int) -> list[Column]:
+        attrs = [c.alias(n) for n, c in _attributes(path, root, rank).items()]
         meta = F.col("_metadata")
         return [
             *attrs,
