@@ -177,9 +177,9 @@ def entries_a(parsed: DataFrame, order: Order) -> DataFrame:
 
 
 def event_stream_a(parsed: DataFrame) -> DataFrame:
-    """(file_id, idx source, event) of every parseable line, for snapshot comparison."""
+    """(source, file_id, line_no, event) of every parseable line, for snapshot comparison."""
     return parsed.select(
-        "source", "file_id", "_chunk", "line_no",
+        "source", "file_id", "line_no",
         F.concat("line_type", F.lit(NUL), "uuid").alias("event"),
     )
 

@@ -162,6 +162,18 @@ def cut_hot(
     return cold.unionByName(cut), replace(order, chunk=CHUNK)
 
 
+def cut_dense(
+    df: DataFrame, keys: Sequence[str], seq: str, limit: int | None = None
+) -> tuple[DataFrame, Order]:
+    """As ``cut_hot`` for a stream numbered 0, 1, 2, …: the number itself gives the chunk."""
+    limit = limit or hot_rows(spark_of(df))
+    order = Order(tuple(keys), (seq,))
+    if df.where(F.col(seq) >= limit).select(seq).isEmpty():
+        return df, order
+    cut = df.withColumn(CHUNK, F.floor(F.col(seq) / limit).cast("bigint"))
+    return cut, replace(order, chunk=CHUNK)
+
+
 def _range_chunks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     # Staged, because range bounds are sampled and every reader must see the same cut.
     ranged = df.repartitionByRange(*[F.col(c) for c in cols])

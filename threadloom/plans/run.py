@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import to_ms
 from ..operators import belonging, dedupe, format_a, format_b, ids, lineage, names, pairs
 from ..operators.render import render
-from ..operators.scan import Order
+from ..operators.scan import cut_dense
 from ..params import SOURCE_A, SOURCE_B, Params
 from ..session import stage
 from ..sources.lines import Lines, bad_lines, read_lines
@@ -29,8 +29,7 @@ class Parsed:
     source: str
     sessions: DataFrame
     entries: DataFrame
-    events: DataFrame  # source, file_id, _chunk, line_no, event
-    order: Order
+    events: DataFrame  # source, file_id, line_no, event
     bad: DataFrame
     lines: Lines
 
@@ -58,12 +57,12 @@ def parse_family(lines: Lines, source: str, params: Params) -> Parsed:
         sessions = format_b.sessions_b(ctx)
         # Entry ids count up in file order, so the emission number orders the stream.
         events = entries.select(
-            "source", "file_id", F.lit(0).alias("_chunk"), F.col("seq").alias("line_no"),
+            "source", "file_id", F.col("seq").alias("line_no"),
             F.concat_ws(" ", F.when(F.col("is_assistant"), "assistant").otherwise("user"), "uuid")
             .alias("event"),
         )
     sessions = stage(sessions.select(*SESSION_COLUMNS), "sessions")
-    return Parsed(source, sessions, entries, events, lines.order, bad_lines(lines.df), lines)
+    return Parsed(source, sessions, entries, events, bad_lines(lines.df), lines)
 
 
 def unify(units: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -187,8 +186,8 @@ def aggregate(found: Analysis, params: Params) -> Timeline:
     for fam in found.families:
         keep = ["file_id"]
         hashes.append(dedupe.content_hashes(fam.lines.df.join(suspects, keep, "left_semi")))
-        order = Order(("file_id",), ("line_no",), fam.order.chunk)
-        prefixes.append(dedupe.stream_prefixes(fam.events.join(suspects, keep, "left_semi"), order))
+        events = fam.events.join(suspects, keep, "left_semi")
+        prefixes.append(dedupe.stream_prefixes(*cut_dense(events, keep, "line_no")))
     hashes, prefixes = stage(_union(hashes), "hashes"), stage(_union(prefixes), "prefixes")
     judged = dedupe.logical_dedupe(ordered, hashes, prefixes)
     kept = stage(judged.where("verdict <> 'removed'"), "kept")
