@@ -279,6 +279,15 @@ def fallback_questions(ctx: DataFrame, order: Order) -> tuple[DataFrame, DataFra
     return due, waiting.where(F.col("msg_id") != "")
 
 
+def is_reply(author: Column, recipient: Column, text: Column) -> Column:
+    """A delivered message came up from a delegate. Agent paths nest, so the addresses tell; the
+    message type decides only where they do not."""
+    addressed = (author != recipient) & (author != "") & (recipient != "")
+    up = addressed & author.startswith(F.concat(recipient, F.lit("/")))
+    down = addressed & recipient.startswith(F.concat(author, F.lit("/")))
+    return F.when(up, True).when(down, False).otherwise(text.rlike(FINAL_REPLY))
+
+
 def _progress_key(prefix: Column, body: Column) -> Column:
     return F.concat(prefix, F.when(body != "", F.concat(F.lit("~"), sha(body, 12))).otherwise(""))
 
@@ -331,12 +340,7 @@ def emit(ctx: DataFrame, order: Order) -> DataFrame:
     attached = F.when(asst & ~F.col("_next.asst"), F.col("_next.usage"))
     direct = F.coalesce("direct_text", "text")
     user = ((ev == "user") & (text != "")) | ((ev == "instruction") & (direct != ""))
-    below = (F.col("author") != F.col("recipient")) & (F.col("author") != "") & (F.col("recipient") != "")
-    reply = (
-        F.when(below & F.col("author").startswith(F.concat("recipient", F.lit("/"))), True)
-        .when(below & F.col("recipient").startswith(F.concat("author", F.lit("/"))), False)
-        .otherwise(text.rlike(FINAL_REPLY))
-    )
+    reply = is_reply(F.col("author"), F.col("recipient"), text)
     kind = (
         F.when((ev == "instruction") & reply, "D")
         .when(ev == "instruction", "R")

@@ -11,16 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
-from ..functions.text import NUL, sha, to_ms, within
+from ..functions.text import NUL, display_time, encode_cwd, excerpt, lstrip, one_line, sha, to_ms, within
 from ..functions.tokens import FIELDS, display
 from ..operators import belonging, dedupe, diff, format_a, format_b, ids, lineage, names, pairs
 from ..operators.render import render
 from ..operators.scan import cut_hot, running, sum_before
 from ..operators.segment import progress_position, segment_a, segment_b
-from ..params import DEFAULT_TEMPLATE, SOURCE_A, Params
-from ..session import stage
-from ..sources.lines import bad_lines
+from ..params import DEFAULT_TEMPLATE, SOURCE_A, Params, Root
+from ..session import scratch_dir, stage
+from ..sources.archive import archive_files
+from ..sources.lines import bad_lines, read_lines
+from ..streaming.online import segment_stream
 from . import oracles as O
+from .incremental import changed_files, vanished_files
 from .views import lines_a, lines_b, log_view_c, log_view_e, params_for_views, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -909,3 +912,274 @@ def snapshot_outcome(spark, sf):
     half = ordered.count() // 2
     return diff.outcome(ordered.where(F.col("ord") < half), ordered)
 
+
+
+# --- files, names and text rules ------------------------------------------------------------
+
+def _written(spark, sf, lines) -> str:
+    """The lines as text files, one per 50 users and 100,000 lines of each; returns the folder."""
+    path = scratch_dir(spark, "logs")
+    df = lines.df.withColumns({
+        "f": _bare("file_id").cast("bigint"),
+        "blk": F.floor(F.col("line_no") / 100_000)})
+    df = df.withColumn("grp", F.concat_ws("-", F.floor(F.col("f") / 50), F.col("blk")))
+    (df.repartition("grp").sortWithinPartitions("grp", "f", "line_no")
+     .select("grp", "value").write.partitionBy("grp").text(path))
+    return path
+
+
+@query("file_lines", O.with_(O.LOG_E, """
+    SELECT 'e' || event_id AS uuid, row_number() OVER (PARTITION BY CAST(f AS BIGINT) // 50,
+      line // 100000 ORDER BY CAST(f AS BIGINT), ts, event_id) - 1 AS line_no, bad
+    FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY ts, event_id) - 1 AS line,
+      et = 'signup' AND k % 4 = 3 AS bad FROM le) QUALIFY NOT bad"""))
+def file_lines(spark, sf):
+    """Written logs read back: file order and line numbers survive splitting."""
+    root = Root(_written(spark, sf, lines_a(spark, sf)), SOURCE_A, suffix=".txt", tree=True)
+    lines = read_lines(spark, [root])
+    return lines.df.where("v is not null").select(
+        B.str_at(F.col("v"), "$.uuid").alias("uuid"), "line_no", F.lit(False).alias("bad"))
+
+
+@query("file_units", O.with_(O.LINES_A, """
+    SELECT CAST(sum(n) AS BIGINT) AS questions, CAST(sum(answers) AS BIGINT) AS answers FROM (
+      SELECT count(*) FILTER (WHERE kind IN ('Q', 'K')) AS n,
+        count(*) FILTER (WHERE kind = 'A') AS answers FROM a2)"""))
+def file_units(spark, sf):
+    """Files to typed rows without the views' shortcut: discovery, parsing, classification."""
+    root = Root(_written(spark, sf, lines_a(spark, sf)), SOURCE_A, suffix=".txt", tree=True)
+    parsed = format_a.parse_a(read_lines(spark, [root]).df, params_for_views())
+    return parsed.agg(F.count_if(F.col("kind").isin("Q", "K")).alias("questions"),
+                      F.count_if(F.col("kind") == "A").alias("answers"))
+
+
+@query("format_detect", O.with_(O.LINES_A, """
+    SELECT f, bool_or(kind IN ('Q', 'A', 'T', 'M')) AS is_a, false AS is_b FROM a2 GROUP BY f"""))
+def format_detect(spark, sf):
+    """Each log is tried as both families."""
+    lines = lines_a(spark, sf)
+    a = format_a.parse_a(lines.df, params_for_views()).groupBy("file_id").agg(
+        F.bool_or("recognised").alias("is_a"))
+    b = format_b.parse_b(lines.df).groupBy("file_id").agg(F.bool_or("recognised").alias("is_b"))
+    return a.join(b, "file_id").select(_bare().alias("f"), "is_a", "is_b")
+
+
+@query("nested_dirs", """
+    WITH d AS (SELECT c_custkey AS k, '/w/p' || CASE c_custkey % 3 WHEN 0 THEN '/' WHEN 1 THEN '-'
+        ELSE 'q/' END || (c_custkey % 50) AS cwd FROM customer),
+      e AS (SELECT '/logs/' || regexp_replace(cwd, '[^a-zA-Z0-9]', '-', 'g') AS dir, k, cwd FROM d),
+      g AS (SELECT dir, arg_min(cwd, k) AS cwd FROM e WHERE starts_with(dir, '/logs/-w-p-') GROUP BY dir)
+    SELECT dir FROM g WHERE starts_with(cwd, '/w/p/')""")
+def nested_dirs(spark, sf):
+    """/w/p/7 and /w/p-7 share one directory name; the first logged directory decides."""
+    key = F.col("c_custkey")
+    mid = F.when(key % 3 == 0, "/").when(key % 3 == 1, "-").otherwise("q/")
+    df = table(spark, sf, "customer").select(key.alias("file_id"), F.concat(F.lit("/w/p"), mid, key % 50).alias("first_cwd"))
+    df = df.withColumn("dir", F.concat(F.lit("/logs/"), encode_cwd(F.col("first_cwd"))))
+    return belonging.nested_dirs(df, Params(project="/w/p"))
+
+
+@query("thread_titles", """
+    SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN trim(CASE WHEN p_partkey % 3 = 0 THEN '  ' ELSE p_brand END) <> ''
+      THEN trim(p_brand) ELSE trim(p_name) END AS name FROM part
+    WHERE p_partkey % 3 <> 0 OR trim(p_name) <> ''""")
+def thread_titles(spark, sf):
+    part = table(spark, sf, "part")
+    return names.title_names(part.select(
+        F.col("p_partkey").cast("string").alias("id"),
+        F.when(F.col("p_partkey") % 3 == 0, "  ").otherwise(F.col("p_brand")).alias("name"),
+        F.col("p_name").alias("title")))
+
+
+@query("index_merge", O.with_(RENAMES, """
+    , o AS (SELECT id, arg_max({'n': name, 'a': stamp, 's': seq}, (stamp, seq)) AS r FROM r
+        WHERE k % 2 = 0 GROUP BY id),
+      p AS (SELECT id, arg_max({'n': name, 'a': stamp, 's': seq}, (stamp, seq)) AS r FROM r
+        WHERE k % 3 = 0 GROUP BY id)
+    SELECT id, CASE WHEN o.r IS NULL THEN p.r.n WHEN p.r IS NULL THEN o.r.n
+      WHEN o.r.a <> p.r.a THEN CASE WHEN p.r.a > o.r.a THEN p.r.n ELSE o.r.n END
+      WHEN p.r.s >= o.r.s THEN p.r.n ELSE o.r.n END AS name FROM o FULL JOIN p USING (id)"""))
+def index_merge(spark, sf):
+    ev, order = _stream_e(spark, sf)
+    ev = running(ev, order, seq=sum_before(F.lit(1).cast("bigint")))
+    recs = ev.select(
+        F.col("session").alias("id"), "k", "seq", F.floor("value").cast("bigint").alias("at"),
+        F.when(F.col("k") % 4 == 0, "").otherwise(F.concat(F.lit("n"), "event_id")).alias("name"))
+    own, parent = names.latest_names(recs.where("k % 2 = 0")), names.latest_names(recs.where("k % 3 = 0"))
+    return names.merge_indexes(own, parent).select("id", "name")
+
+
+@query("noise_filter", """
+    SELECT doc_id, regexp_matches(CASE doc_id % 4 WHEN 0 THEN '  <system-reminder>' WHEN 1 THEN
+      '<local-command-stdout>' WHEN 2 THEN '<system-reminders>' ELSE '' END || text,
+      '^\\s*<(local-command-caveat|local-command-stdout|system-reminder)>') AS noise FROM documents""")
+def noise_filter(spark, sf):
+    case = F.col("doc_id") % 4
+    head = (F.when(case == 0, "  <system-reminder>").when(case == 1, "<local-command-stdout>")
+            .when(case == 2, "<system-reminders>").otherwise(""))
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", lstrip(F.concat(head, "text")).rlike(format_a.NOISE).alias("noise"))
+
+
+@query("injected_context", """
+    SELECT doc_id, regexp_matches(CASE doc_id % 5 WHEN 0 THEN chr(10) || '<system-x' WHEN 1 THEN
+      '<environment_context>' WHEN 2 THEN '<permissions mode=1>' WHEN 3 THEN '<permissionsx>' ELSE '' END
+      || text, '^\\s*(<system-|<(environment_context|permissions|user_instructions|codex_internal_context|recommended_plugins)[>/\\s])')
+      AS injected FROM documents""")
+def injected_context(spark, sf):
+    case = F.col("doc_id") % 5
+    head = (F.when(case == 0, "\n<system-x").when(case == 1, "<environment_context>")
+            .when(case == 2, "<permissions mode=1>").when(case == 3, "<permissionsx>").otherwise(""))
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", lstrip(F.concat(head, "text")).rlike(format_b.INJECTED).alias("injected"))
+
+
+WS_SQL = r"[\t-\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+@query("one_line", f"""
+    SELECT doc_id, CASE WHEN length(s) > 200 THEN left(s, 200) || '...' ELSE s END AS line,
+      CASE WHEN length(s) > 60 THEN left(s, 60) || '…' ELSE s END AS excerpt
+    FROM (SELECT doc_id, trim(regexp_replace(text, '{WS_SQL}+', ' ', 'g'), ' ') AS s FROM documents)""")
+def one_line_texts(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", one_line(F.col("text")).alias("line"), excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("datetime_display", O.with_(O.LOG_E, """
+    SELECT event_id, CASE WHEN k % 4 = 0 THEN 'Unknown' WHEN k % 4 = 1 THEN 'at <! -- ' || k
+      ELSE strftime(date_trunc('second', ts), '%Y/%m/%d %a %H:%M:%S') END AS shown FROM le"""))
+def datetime_display(spark, sf):
+    ev = log_view_e(spark, sf)
+    k = F.col("k")
+    raw = F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(F.lit("at\n<!-- "), k)).otherwise(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    ev = ev.select("event_id", raw.alias("raw"))
+    return ev.select("event_id", display_time(to_ms(F.col("raw")), F.col("raw")).alias("shown"))
+
+
+@query("ids_in_text", O.with_(O.UNITS_C, "SELECT block_id, false AS malformed FROM units_c"))
+def ids_in_text(spark, sf):
+    md = render_blocks(spark, sf).select(F.explode(F.split("md", "\n")).alias("value"))
+    return diff.ids_in_text(md).select("block_id", "malformed")
+
+
+@query("stale_partitions", """
+    WITH s AS (SELECT c_custkey AS k, 'f' || c_custkey AS file_path, CASE WHEN c_custkey % 7 = 0 THEN 0
+        ELSE 1 END AS units FROM customer WHERE c_custkey % 5 <> 0)
+    SELECT 'c' || k AS session_id, file_path FROM s WHERE units = 0
+    UNION ALL
+    SELECT 'old' || k, file_path FROM s WHERE k % 2 = 0""")
+def stale_partitions(spark, sf):
+    """Partitions of emptied sessions and of former names; those of unseen sessions stay."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    key, path = F.col("k"), F.concat(F.lit("f"), "k").alias("file_path")
+    source = F.lit("codex").alias("source")
+    now = F.concat(F.lit("c"), key).alias("session_id")
+    old = F.concat(F.lit("old"), key)
+    existing = c.select(source, now, path).unionByName(c.select(source, old.alias("session_id"), path))
+    seen = c.where("k % 5 <> 0")
+    sessions = seen.select(source, now, path, F.when(key % 7 == 0, 0).otherwise(1).alias("units"))
+    former = seen.where("k % 2 = 0").select(path, old.alias("former_id"))
+    return diff.stale_partitions(existing, sessions, former).select("session_id", "file_path")
+
+
+@query("archive_plan", """
+    WITH f AS (SELECT c_custkey AS k, c_custkey % 40 || '.jsonl' AS rel,
+        CASE WHEN c_custkey % 11 = 0 THEN '/keep/' ELSE '/r' || (c_custkey // 40) || '/' END AS dir
+      FROM customer),
+      g AS (SELECT *, dir || k || '/' || rel AS path FROM f
+        WHERE (k % 3 <> 0 OR k % 10 = 0) AND k % 11 <> 0)
+    SELECT path AS file_path, CASE WHEN row_number() OVER (PARTITION BY rel ORDER BY path) = 1 THEN rel
+      ELSE replace(rel, '.jsonl', '') || '__' || left(sha256(path), 8) || '.jsonl' END AS archive_path
+    FROM g""")
+def archive_plan(spark, sf):
+    """Logs to keep: of belonging sessions and child transcripts, none already in the archive."""
+    k = F.col("c_custkey")
+    rel = F.concat(k % 40, F.lit(".jsonl"))
+    folder = F.when(k % 11 == 0, "/keep/").otherwise(F.concat(F.lit("/r"), F.floor(k / 40), F.lit("/")))
+    files = table(spark, sf, "customer").select(
+        F.lit(SOURCE_A).alias("source"), k.alias("file_id"), rel.alias("rel_path"),
+        F.concat(folder, k, F.lit("/"), rel).alias("file_path"), F.lit(0).alias("root_rank"),
+        (k % 10 == 0).alias("subagent_dir"))
+    sessions = files.where("file_id % 3 <> 0").select("file_id")
+    return archive_files(files, sessions, "/keep").select("file_path", "archive_path")
+
+
+@query("changed_files", O.with_(O.LOG_E, """
+    , m AS (SELECT f, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE k % 50 <> 0) AS BIGINT)
+      AS before FROM le GROUP BY f)
+    SELECT f FROM m WHERE n <> before OR CAST(f AS BIGINT) % 20 = 0"""))
+def changed_files_query(spark, sf):
+    """Logs that grew since the last manifest, or are new to it."""
+    ev = log_view_e(spark, sf)
+
+    def listing(df):
+        return df.groupBy(F.col("session").alias("file_id")).agg(
+            F.count(F.lit(1)).alias("size")).withColumns(
+            {"mtime": F.lit(0), "root_dir": F.lit("/logs"), "fingerprint": F.lit("p")})
+
+    new, old = listing(ev), listing(ev.where("k % 50 <> 0"))
+    old = old.where(F.col("file_id").cast("bigint") % 20 != 0)
+    return changed_files(new, old).select(F.col("file_id").alias("f"))
+
+
+@query("vanished_files", O.with_(O.LOG_E, """
+    SELECT DISTINCT f FROM le WHERE CAST(f AS BIGINT) % 20 = 0"""))
+def vanished_files_query(spark, sf):
+    files = log_view_e(spark, sf).select(F.col("session").alias("file_id")).distinct()
+    now = files.where(F.col("file_id").cast("bigint") % 20 != 0)
+    return vanished_files(now, files).select(F.col("file_id").alias("f"))
+
+
+@query("delegate_units", O.with_(O.LOG_E, """
+    , s AS (SELECT *, CASE et WHEN 'click' THEN 'U' WHEN 'signup' THEN CASE WHEN k % 3 = 0 THEN 'D'
+        ELSE 'R' END ELSE 'X' END AS kb,
+      row_number() OVER (PARTITION BY f ORDER BY ts, event_id) AS n FROM le),
+    t AS (SELECT *, lag(kb) OVER w AS prev, count(*) FILTER (WHERE kb <> 'X') OVER (
+        PARTITION BY f ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS started
+      FROM s WINDOW w AS (PARTITION BY f ORDER BY n))
+    SELECT event_id, (kb <> 'X' AND started = 0) OR kb = 'R' OR (kb = 'U' AND (prev = 'X'
+      OR (prev = 'D' AND started > 1))) AS opener FROM t"""))
+def delegate_units(spark, sf):
+    """Instructions from above open a unit, replies from below do not; read from addresses."""
+    ev, order = _stream_e(spark, sf)
+    k, kind = F.col("k"), F.col("kind_a")
+    up = k % 3 == 0
+    author = F.when(up, "/root/a").otherwise("/root")
+    recipient = F.when(up, "/root").otherwise("/root/a")
+    reply = format_b.is_reply(author, recipient, F.lit(""))
+    kb = F.when(kind == "Q", "U").when((kind == "P") & reply, "D").when(kind == "P", "R").otherwise("X")
+    return segment_b(ev.withColumn("kb", kb), order, "kb").select("event_id", "opener")
+
+
+@query("stream_segment", O.with_(SEG_E, """
+    SELECT f AS session, event_id AS seq, CAST(pair AS BIGINT) AS pair, coalesce(opener, false) AS opener
+    FROM s5"""))
+def stream_segment(spark, sf):
+    """The segmentation as a stream: rows arrive in four slices of time, state is kept between."""
+    ev = log_view_e(spark, sf).select(
+        "session", F.col("event_id").alias("seq"), F.col("kind_a").alias("kind"), "parent", "ts")
+    base = scratch_dir(spark, "stream")
+    day = F.dayofmonth("ts")
+    for lo, hi in ((0, 8), (8, 16), (16, 24), (24, 32)):
+        ev.where((day >= lo) & (day < hi)).drop("ts").write.mode("append").parquet(f"{base}/in")
+    source = spark.readStream.schema(ev.drop("ts").schema).option(
+        "maxFilesPerTrigger", 1000).parquet(f"{base}/in")
+    done = (segment_stream(source).writeStream.format("parquet")
+            .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+            .trigger(availableNow=True).start())
+    done.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("session", "seq", "pair", "opener")
+
+
+@query("run_metrics", O.with_(O.LINES_A, """
+    SELECT f, CAST(count(DISTINCT CASE WHEN pair > 0 AND opener THEN side || ':' || pair END) AS BIGINT)
+      AS units FROM a7 GROUP BY f"""))
+def run_metrics(spark, sf):
+    entries, _ = _entries_a(spark, sf)
+    units = pairs.roll_up(entries)
+    files = entries.select("file_id").distinct()
+    counts = units.groupBy("file_id").agg(F.count(F.lit(1)).alias("units"))
+    return files.join(counts, "file_id", "left").select(
+        _bare().alias("f"), F.coalesce("units", F.lit(0).cast("bigint")).alias("units"))

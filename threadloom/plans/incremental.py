@@ -69,21 +69,53 @@ class Store:
         )
 
 
-def refresh(spark: SparkSession, params: Params, store: Store) -> tuple[list[Parsed], int, int, int]:
-    """Bring the stored per-file results up to date; (families, cycle, parsed, reused)."""
+@dataclass
+class Survey:
+    """The log folders now, against the stored manifest."""
+
+    now: DataFrame
+    old: DataFrame | None
+    last: int | None  # newest stored cycle
+    changed: DataFrame
+    files: int
+    to_parse: int
+    gone: bool
+
+
+def survey(spark: SparkSession, params: Params, store: Store) -> Survey:
     now = manifest(spark, [r for r in params.roots if r.source in params.sources])
     if now is None:
         raise ValueError("no log files under the given roots")
+    now = stage(now.withColumn("fingerprint", F.lit(params.fingerprint())), "manifest")
+    stored = store.read("manifest")
+    last = None if stored is None else stored.agg(F.max("cycle")).first()[0]
+    old = None if stored is None else stored.where(F.col("cycle") == last).drop("cycle")
+    changed = changed_files(now, old)
+    gone = old is not None and not vanished_files(now, old).isEmpty()
+    return Survey(now, old, last, changed, now.count(), changed.count(), gone)
+
+
+def names_digest(*tables: DataFrame | None) -> str:
+    """Changes when any session name given from outside does."""
+    parts = []
+    for t in tables:
+        if t is not None:
+            row = F.xxhash64("root_dir", "id", "name").cast("decimal(20,0)")
+            parts.append(str(t.agg(F.count(F.lit(1)), F.sum(row)).first()))
+    return "|".join(parts)
+
+
+def refresh(
+    spark: SparkSession, params: Params, store: Store, seen: Survey
+) -> tuple[list[Parsed], int]:
+    """Bring the stored per-file results up to date; (families, cycle)."""
+    now, old = seen.now, seen.old
+    cycle = 0 if seen.last is None else seen.last + 1
+    changed = stage(seen.changed, "changed")
     print_ = F.lit(params.fingerprint())
-    now = stage(now.withColumn("fingerprint", print_), "manifest")
-    old = store.latest("manifest")
-    cycle = 0 if old is None else old.agg(F.max("cycle")).first()[0] + 1
-    old = None if old is None else stage(old.drop("cycle"), "old-manifest")
-    changed = stage(changed_files(now, old), "changed")
     # Results are filed under a run of their own, so what a crashed run left is never picked up.
     run = f"r{cycle}-{uuid.uuid4().hex[:12]}"
     families = []
-    counts = changed.count()
     for source in params.sources:
         todo = changed.where(F.col("source") == source)
         if not todo.isEmpty():
@@ -132,7 +164,7 @@ def refresh(spark: SparkSession, params: Params, store: Store) -> tuple[list[Par
             Parsed(source, live("sessions"), live("entries"), live("events"), live("bad"),
                    Lines(live("lines"), order))
         )
-    return families, cycle, counts, now.count() - counts
+    return families, cycle
 
 
 def run_cycle(
@@ -148,7 +180,15 @@ def run_cycle(
     Names and project membership are applied after the stored stage, so they are always current.
     The previous snapshot is kept aside before a rewrite that would lose a block.
     """
-    families, number, parsed, reused = refresh(spark, params, store)
+    seen = survey(spark, params, store)
+    digest = names_digest(index_names, titles)
+    done = store.latest("state")
+    done = None if done is None else done.first()
+    same = done is not None and (done.manifest, done.digest) == (seen.last, digest)
+    if same and not seen.to_parse and not seen.gone:
+        # Same files, parameters and names give the same blocks.
+        return Cycle(seen.last, 0, seen.files, "noop", 0, False)
+    families, number = refresh(spark, params, store, seen)
     found = attribute(families, params, index_names, titles)
     blocks = stage(
         aggregate(found, params).blocks.select("ord", "block_id", "source", "session_id", "md"), "new"
@@ -166,4 +206,7 @@ def run_cycle(
         elif result.outcome == "append":
             # The tail joins the snapshot it extends.
             store.append(diff.append_tail(old, blocks), "blocks", top)
-    return Cycle(number, parsed, reused, result.outcome, result.added, preserve)
+        state = spark.createDataFrame([(number, digest)], "manifest int, digest string")
+        store.append(state, "state", number)
+    parsed = seen.to_parse
+    return Cycle(number, parsed, seen.files - parsed, result.outcome, result.added, preserve)
