@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import format_a, format_b, pairs
 from threadloom.params import Params, Root
+from threadloom.session import stage
 from threadloom.sources.lines import read_lines
 
 from . import sequential
@@ -141,7 +142,7 @@ def test_family_a(spark, write_log, cut):
     params = Params(project="/w/p", roots=(Root(str(root), "claude"),))
     lines = read_lines(spark, list(params.roots))
     assert (lines.order.chunk is not None) == (cut == "cut")
-    parsed = format_a.parse_a(lines.df, params)
+    parsed = stage(format_a.parse_a(lines.df, params), "a")
     entries = format_a.entries_a(parsed, lines.order).select(*format_a.ENTRY_COLUMNS)
     rows = pairs.roll_up(entries).collect()
     fields = ["q_uuid", "question", "answer", "tok_in", "model", "progress_count", "fork_keys"]
@@ -163,7 +164,7 @@ def test_family_b(spark, write_log, cut):
         sessions[f"rollout-{i}.jsonl"] = state.session or f"rollout-{i}"
     params = Params(project="/w/p", roots=(Root(str(root), "codex"),))
     lines = read_lines(spark, list(params.roots))
-    ctx = format_b.context(format_b.parse_b(lines.df), lines.order, params)
+    ctx = format_b.context(stage(format_b.parse_b(lines.df), "b"), lines.order, params)
     entries = format_b.entries_b(ctx, lines.order, params)
     rows = pairs.roll_up(entries).collect()
     fields = ["q_uuid", "ts_raw", "question", "answer", "tok_in", "model", "cwd",

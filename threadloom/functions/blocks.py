@@ -44,16 +44,32 @@ def is_set(v: Column, path: str) -> Column:
     return inner.isNotNull() & ~F.is_variant_null(inner)
 
 
-def int_at(v: Column, path: str) -> Column:
-    """A JSON number as BIGINT, else 0."""
-    number = F.schema_of_variant(at(v, path)).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|INT)")
-    value = F.when(number, F.try_variant_get(v, path, "double"))
-    return F.coalesce(F.round(value).cast("bigint"), F.lit(0).cast("bigint"))
+def read_json(value: Column, schema: str) -> Column:
+    """The record in typed fields, parsed once. Parts whose shape varies are VARIANT fields."""
+    return F.from_json(value, schema + ", _corrupt_record STRING")
 
 
-def is_number(v: Column, path: str) -> Column:
-    schema = F.schema_of_variant(at(v, path))
-    return F.coalesce(schema.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|INT)"), F.lit(False))
+def is_record(r: Column, value: Column) -> Column:
+    """The line is a JSON object. Only a line with a mistyped or broken part is parsed again."""
+    return F.when(r["_corrupt_record"].isNull(), True).otherwise(is_object(F.try_parse_json(value)))
+
+
+def filled(c: Column) -> Column:
+    """A VARIANT field that is present and not JSON null."""
+    return c.isNotNull() & ~F.is_variant_null(c)
+
+
+def whole(c: Column) -> Column:
+    """A count as BIGINT; NULL stays NULL."""
+    return F.round(c).cast("bigint")
+
+
+def count_or_0(c: Column) -> Column:
+    return F.coalesce(whole(c), F.lit(0).cast("bigint"))
+
+
+def text_or_blank(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
 
 
 def json_text(v: Column) -> Column:

@@ -10,6 +10,8 @@ NUL = "\u0000"
 # Fixed value: the characters the log producers' regular expressions treat as white space.
 WS = r"[\t-\r    -     　﻿]"
 
+NOT_BLANK = WS.replace("[", "[^", 1)
+
 
 def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, f"{WS}+$", "")

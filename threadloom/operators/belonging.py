@@ -23,12 +23,12 @@ def cwd_verdicts(lines: DataFrame, params: Params) -> DataFrame:
     A file is dropped only on proof: directories were seen, none belongs, and no unknown record
     type carries one. Files of extra roots are always kept.
     """
+    gated = lines.where(F.col("value").contains('"cwd"'))
+    gated = gated.select("file_id", "extra_root", F.try_parse_json("value").alias("v"))
     v = F.col("v")
     known = str_at(v, "$.type").isin("session_meta", "turn_context")
     cwd = F.when(known, str_at(v, "$.payload.cwd"))
-    seen = lines.where(F.col("value").contains('"cwd"') & v.isNotNull()).groupBy(
-        "file_id", "extra_root"
-    ).agg(
+    seen = gated.groupBy("file_id", "extra_root").agg(
         F.bool_or(wanted(cwd, params)).alias("belongs"),
         F.count_if(cwd != "").alias("cwds"),
         F.bool_or(~known & text_at(v, "$.payload.cwd").isNotNull()).alias("unknown_format"),

@@ -18,60 +18,74 @@ COMMAND_NAME = f"<command-name>{WS}*/?([^<\\t-\\r ]+){WS}*</command-name>"
 COMMAND_DIR = r"(?i)[\\/]commands[\\/]"
 
 
-def _kind(v: Column, blocks: Column) -> Column:
-    typ = B.str_at(v, "$.type")
-    has_message = B.is_set(v, "$.message")
-    has_content = B.is_set(v, "$.message.content")
-    mode = B.at(v, "$.attachment.commandMode")
+# Fields of a record that are read.
+RECORD = """
+type STRING, uuid STRING, parentUuid STRING, timestamp STRING, cwd STRING, version STRING,
+gitBranch STRING, isMeta BOOLEAN, isSidechain BOOLEAN, customTitle STRING, aiTitle STRING,
+attachment STRUCT<type: STRING, prompt: VARIANT, commandMode: STRING>,
+message STRUCT<content: VARIANT, model: STRING, usage: STRUCT<
+  input_tokens: DOUBLE, output_tokens: DOUBLE, cache_read_input_tokens: DOUBLE,
+  cache_creation_input_tokens: DOUBLE, cache_creation: STRUCT<
+    ephemeral_5m_input_tokens: DOUBLE, ephemeral_1h_input_tokens: DOUBLE>>>,
+toolUseResult VARIANT"""
+
+
+def _kind(r: Column, prompt: Column, blocks: Column) -> Column:
+    typ = r["type"]
+    mode = r["attachment"]["commandMode"]
     queued = (
         (typ == "attachment")
-        & (B.str_at(v, "$.attachment.type") == "queued_command")
-        & B.text_at(v, "$.attachment.prompt").isNotNull()
-        & (mode.isNull() | (B.str_at(v, "$.attachment.commandMode") == "prompt"))
+        & (r["attachment"]["type"] == "queued_command")
+        & prompt.isNotNull()
+        & (mode.isNull() | (mode == "prompt"))
     )
-    meta = F.coalesce(F.try_variant_get(v, "$.isMeta", "boolean"), F.lit(False))
-    user = (typ == "user") & has_message & has_content
+    user = (typ == "user") & B.filled(r["message"]["content"])
     return (
         F.when(queued, "K")
-        .when(user & meta, "M")
+        .when(user & r["isMeta"], "M")
         .when(user & B.only_tool_results(blocks), "T")
         .when(user, "Q")
-        .when((typ == "assistant") & has_message, "A")
+        .when((typ == "assistant") & r["message"].isNotNull(), "A")
     )
 
 
 def parse_a(lines: DataFrame, params: Params) -> DataFrame:
-    """One typed row per parseable line; JSON is read here and nowhere later."""
-    v = F.col("v")
-    content = B.at(v, "$.message.content")
-    rows = lines.where(v.isNotNull()).withColumns({"_content": content})
-    rows = rows.withColumns({"_texts": B.texts_of(F.col("_content"))})
-    rows = rows.withColumns({"kind": _kind(v, F.col("_texts"))})
-    kind, texts, content = F.col("kind"), F.col("_texts"), F.col("_content")
+    """One typed row per line; JSON is read here and nowhere later. ``ok``: the line is a record."""
+    rows = lines.withColumn("r", B.read_json(F.col("value"), RECORD))
+    r = F.col("r")
+    content = r["message"]["content"]
+    rows = rows.withColumns(
+        {
+            "_texts": F.when(r["message"].isNotNull(), B.texts_of(content)),
+            "_prompt": F.when(r["type"] == "attachment", B.text_at(r["attachment"]["prompt"])),
+        }
+    )
+    texts, prompt = F.col("_texts"), F.col("_prompt")
+    rows = rows.withColumn("kind", _kind(r, prompt, texts))
+    kind = F.col("kind")
     queued = kind == "K"
-    usage = "$.message.usage"
-    has_usage = (kind == "A") & B.is_object(v, usage)
-    split_writes = B.is_object(v, f"{usage}.cache_creation")
+    usage = r["message"]["usage"]
+    has_usage = (kind == "A") & usage.isNotNull()
+    split = usage["cache_creation"]
     tokens = {
-        "tok_in": B.int_at(v, f"{usage}.input_tokens"),
-        "tok_out": B.int_at(v, f"{usage}.output_tokens"),
-        "tok_cache_read": B.int_at(v, f"{usage}.cache_read_input_tokens"),
-        "tok_write_5m": F.when(
-            split_writes, B.int_at(v, f"{usage}.cache_creation.ephemeral_5m_input_tokens")
-        ).otherwise(B.int_at(v, f"{usage}.cache_creation_input_tokens")),
-        "tok_write_1h": B.int_at(v, f"{usage}.cache_creation.ephemeral_1h_input_tokens"),
-        "tok_reasoning": F.lit(0).cast("bigint"),
+        "tok_in": usage["input_tokens"],
+        "tok_out": usage["output_tokens"],
+        "tok_cache_read": usage["cache_read_input_tokens"],
+        "tok_write_5m": F.when(split.isNotNull(), split["ephemeral_5m_input_tokens"]).otherwise(
+            usage["cache_creation_input_tokens"]
+        ),
+        "tok_write_1h": split["ephemeral_1h_input_tokens"],
+        "tok_reasoning": F.lit(0.0),
     }
-    shown = F.when(queued, rstrip(B.str_at(v, "$.attachment.prompt"))).when(
-        kind.isin("Q", "M"), B.user_text(content)
-    )
-    plain = F.when(queued, B.str_at(v, "$.attachment.prompt")).when(
-        kind.isin("Q", "M"), B.joined_text(texts)
+    shown = F.when(queued, rstrip(prompt)).when(kind.isin("Q", "M"), B.user_text(content))
+    plain = F.when(queued, prompt).when(kind.isin("Q", "M"), B.joined_text(texts))
+    command = F.when(
+        plain.contains("<command-name>"), F.regexp_extract(plain, COMMAND_NAME, 1)
     )
-    command = F.regexp_extract(F.coalesce(plain, F.lit("")), COMMAND_NAME, 1)
     command_parts = F.filter(F.split(command, "[/:]"), lambda p: p != "")
-    body_path = F.when(kind == "T", B.text_at(v, "$.toolUseResult.file.filePath"))
-    body = F.when(kind == "T", B.text_at(v, "$.toolUseResult.file.content"))
+    tool_file = r["toolUseResult"]
+    body_path = F.when(kind == "T", B.text_at(tool_file, "$.file.filePath"))
+    body = F.when(kind == "T", B.text_at(tool_file, "$.file.content"))
     is_body = body_path.rlike(COMMAND_DIR) & body.isNotNull()
     base = F.element_at(F.split(F.replace(body_path, F.lit("\\"), F.lit("/")), "/"), -1)
     from_user = kind == "T"
@@ -88,21 +102,22 @@ def parse_a(lines: DataFrame, params: Params) -> DataFrame:
     short, short_tail = lines_when(params.wants_progress, False)
     long, long_tail = lines_when(params.wants_full_progress, True)
     anchored = ~F.coalesce(queued, F.lit(False))
-    typ = B.str_at(v, "$.type")
+    typ, blank = B.text_or_blank(r["type"]), B.text_or_blank
     return rows.select(
         "source", "file_id", "file_path", "rel_path", "extra_root", "root_dir", "root_rank",
         "subagent_dir", "_chunk", "line_no", "kind",
-        F.coalesce(F.try_variant_get(v, "$.isSidechain", "boolean"), F.lit(False)).alias("side"),
+        B.is_record(r, F.col("value")).alias("ok"),
+        F.coalesce(r["isSidechain"], F.lit(False)).alias("side"),
         typ.alias("line_type"),
-        B.str_at(v, "$.uuid").alias("uuid"),
-        B.str_at(v, "$.parentUuid").alias("parent"),
-        B.str_at(v, "$.timestamp").alias("ts"),
-        F.when(anchored, B.str_at(v, "$.cwd")).alias("cwd"),
-        F.when(anchored, B.str_at(v, "$.version")).alias("version"),
-        F.when(anchored, B.str_at(v, "$.gitBranch")).alias("branch"),
-        F.when(kind == "A", present(B.str_at(v, "$.message.model"))).alias("model"),
+        blank(r["uuid"]).alias("uuid"),
+        blank(r["parentUuid"]).alias("parent"),
+        blank(r["timestamp"]).alias("ts"),
+        F.when(anchored, blank(r["cwd"])).alias("cwd"),
+        F.when(anchored, blank(r["version"])).alias("version"),
+        F.when(anchored, blank(r["gitBranch"])).alias("branch"),
+        F.when(kind == "A", present(r["message"]["model"])).alias("model"),
         F.coalesce(has_usage, F.lit(False)).alias("has_usage"),
-        *[F.when(has_usage, c).alias(n) for n, c in tokens.items()],
+        *[F.when(has_usage, B.count_or_0(c)).alias(n) for n, c in tokens.items()],
         shown.alias("text"),
         plain.alias("plain"),
         (lstrip(plain).rlike(NOISE)).alias("noise"),
@@ -112,9 +127,9 @@ def parse_a(lines: DataFrame, params: Params) -> DataFrame:
         F.when(is_body, body).alias("body"),
         short.alias("lines"), short_tail.alias("tail"),
         long.alias("lines_full"), long_tail.alias("tail_full"),
-        (typ.isin("user", "assistant") & B.is_set(v, "$.message")).alias("recognised"),
-        F.when(typ == "custom-title", B.text_at(v, "$.customTitle")).alias("custom_title"),
-        F.when(typ == "ai-title", B.text_at(v, "$.aiTitle")).alias("ai_title"),
+        (typ.isin("user", "assistant") & r["message"].isNotNull()).alias("recognised"),
+        F.when(typ == "custom-title", r["customTitle"]).alias("custom_title"),
+        F.when(typ == "ai-title", r["aiTitle"]).alias("ai_title"),
     )
 
 
@@ -178,7 +193,7 @@ def entries_a(parsed: DataFrame, order: Order) -> DataFrame:
 
 def event_stream_a(parsed: DataFrame) -> DataFrame:
     """(source, file_id, line_no, event) of every parseable line, for snapshot comparison."""
-    return parsed.select(
+    return parsed.where("ok").select(
         "source", "file_id", "line_no",
         F.concat("line_type", F.lit(NUL), "uuid").alias("event"),
     )

@@ -34,118 +34,123 @@ FILE = ["source", "file_id", "file_path", "rel_path", "extra_root", "root_dir",
 FLUSH = ["agent", "complete", "start", "reason", "call", "instruction", "developer", "eof"]
 
 
-def _message_text(v: Column, path: str) -> Column:
+_COUNTS = "STRUCT<" + ", ".join(
+    f"{c}: DOUBLE" for c in [*COUNTERS, "cache_read_input_tokens"]
+) + ">"
+# Fields of a record that are read.
+RECORD = f"""
+type STRING, timestamp STRING, payload STRUCT<
+  type: STRING, id: STRING, session_id: STRING, session_name: STRING, title: STRING, cwd: STRING,
+  cli_version: STRING, git: STRUCT<branch: STRING>, thread_source: STRING, source: VARIANT,
+  parent_thread_id: STRING, agent_nickname: STRING, agent_path: STRING, turn_id: STRING,
+  model: STRING, message: STRING, last_agent_message: STRING, role: STRING, content: VARIANT,
+  summary: VARIANT, output: VARIANT, input: VARIANT, arguments: VARIANT, name: STRING,
+  call_id: STRING, author: STRING, recipient: STRING,
+  internal_chat_message_metadata_passthrough: STRUCT<turn_id: STRING>,
+  info: STRUCT<total_token_usage: {_COUNTS}, last_token_usage: {_COUNTS}>>"""
+
+
+def _message_text(content: Column) -> Column:
     def part(b: Column) -> Column:
         typed = B.str_at(b, "$.type").isin(TEXT_TYPES)
         return F.when(typed, B.str_at(b, "$.text")).otherwise("")
 
-    parts = F.filter(F.transform(B.array_at(v, path), part), lambda t: t != "")
-    return F.coalesce(B.text_at(v, path), F.array_join(parts, "\n"), F.lit(""))
+    parts = F.filter(F.transform(B.array_at(content), part), lambda t: t != "")
+    return F.coalesce(B.text_at(content), F.array_join(parts, "\n"), F.lit(""))
 
 
-def _output_text(v: Column, path: str) -> Column:
+def _output_text(output: Column) -> Column:
     def part(b: Column) -> Column:
         return F.coalesce(B.text_at(b), present(B.str_at(b, "$.text")), F.to_json(b))
 
-    joined = F.array_join(F.transform(B.array_at(v, path), part), "\n")
-    return F.coalesce(B.text_at(v, path), joined, F.to_json(B.at(v, path)), F.lit(""))
+    joined = F.array_join(F.transform(B.array_at(output), part), "\n")
+    return F.coalesce(B.text_at(output), joined, F.to_json(output), F.lit(""))
 
 
-def _reasoning_text(v: Column) -> Column:
-    path = "$.payload.summary"
-    parts = F.transform(B.array_at(v, path), lambda b: B.str_at(b, "$.text"))
+def _reasoning_text(summary: Column) -> Column:
+    parts = F.transform(B.array_at(summary), lambda b: B.str_at(b, "$.text"))
     return F.coalesce(
-        B.text_at(v, path), F.array_join(F.filter(parts, lambda t: t != ""), "\n"), F.lit("")
+        B.text_at(summary), F.array_join(F.filter(parts, lambda t: t != ""), "\n"), F.lit("")
     )
 
 
-def _counters(v: Column, name: str) -> tuple[Column, Column]:
-    """(the report is an object, its numbers; a missing number is NULL)."""
-    path = f"$.payload.info.{name}"
-    fields = [
-        F.when(B.is_number(v, f"{path}.{c}"), B.int_at(v, f"{path}.{c}")).alias(c)
-        for c in [*COUNTERS, "cache_read_input_tokens"]
-    ]
-    keys = F.size(F.map_keys(B.object_at(v, path)))
-    return B.is_object(v, path), F.struct(*fields, (keys > 0).alias("any"))
+def _counters(report: Column) -> Column:
+    """A usage report's numbers; a missing number is NULL."""
+    names = [*COUNTERS, "cache_read_input_tokens"]
+    fields = [B.whole(report[c]) for c in names]
+    known = F.coalesce(*fields).isNotNull()
+    return F.struct(*[f.alias(c) for f, c in zip(fields, names)], known.alias("any"))
 
 
 def parse_b(lines: DataFrame) -> DataFrame:
-    """One typed row per parseable line; JSON is read here and nowhere later."""
-    v = F.col("v")
-    rows = lines.where(v.isNotNull()).withColumns(
-        {"_t": B.str_at(v, "$.type"), "_p": B.str_at(v, "$.payload.type")}
-    )
-    t, p = F.col("_t"), F.col("_p")
+    """One typed row per line; JSON is read here and nowhere later. ``ok``: the line is a record."""
+    blank = B.text_or_blank
+    rows = lines.withColumn("r", B.read_json(F.col("value"), RECORD))
+    rec = F.col("r")
+    rows = rows.withColumns({"_t": blank(rec["type"]), "_p": blank(rec["payload"]["type"])})
+    t, p, body = F.col("_t"), F.col("_p"), rec["payload"]
     is_meta, is_turn = t == "session_meta", t == "turn_context"
     event, item = t == "event_msg", t == "response_item"
-    role = B.str_at(v, "$.payload.role")
-    has_total, total = _counters(v, "total_token_usage")
-    has_last, last = _counters(v, "last_token_usage")
     usage = event & (p == "token_count")
+    total, last = body["info"]["total_token_usage"], body["info"]["last_token_usage"]
     call = item & p.isin("custom_tool_call", "function_call")
     out = item & p.isin("custom_tool_call_output", "function_call_output")
-    arg = F.when(B.is_set(v, "$.payload.input"), B.at(v, "$.payload.input")).otherwise(
-        B.at(v, "$.payload.arguments")
-    )
+    arg = F.when(B.filled(body["input"]), body["input"]).otherwise(body["arguments"])
     arg = F.coalesce(F.try_parse_json(B.text_at(arg)), arg)
-    sub = "$.payload.source.subagent"
+    source = body["source"]
 
     def identity(key: str) -> Column:
-        spots = [f"$.payload.{key}", f"{sub}.{key}", f"{sub}.thread_spawn.{key}"]
-        return F.coalesce(*[present(B.str_at(v, s)) for s in spots], F.lit(""))
+        nested = [B.text_at(source, f"$.subagent.{key}"), B.text_at(source, f"$.subagent.thread_spawn.{key}")]
+        return F.coalesce(present(body[key]), *[present(n) for n in nested], F.lit(""))
 
+    sub = (body["thread_source"] == "subagent") | B.is_set(source, "$.subagent")
     thread = F.struct(
         "line_no",
-        B.str_at(v, "$.payload.id").alias("thread_id"),
-        B.str_at(v, "$.payload.session_id").alias("lineage_id"),
+        blank(body["id"]).alias("thread_id"),
+        blank(body["session_id"]).alias("lineage_id"),
         identity("parent_thread_id").alias("parent_thread"),
-        ((B.str_at(v, "$.payload.thread_source") == "subagent") | B.is_set(v, sub)).alias("is_sub"),
-        F.coalesce(
-            present(identity("agent_nickname")), identity("agent_path")
-        ).alias("agent"),
+        F.coalesce(sub, F.lit(False)).alias("is_sub"),
+        F.coalesce(present(identity("agent_nickname")), identity("agent_path")).alias("agent"),
     )
     text = (
-        F.when(event & p.isin("user_message", "agent_message"), B.str_at(v, "$.payload.message"))
-        .when(event & (p == "task_complete"), B.str_at(v, "$.payload.last_agent_message"))
-        .when(item & (p == "reasoning"), _reasoning_text(v))
-        .when(out, _output_text(v, "$.payload.output"))
-        .when(item & p.isin("message", "agent_message"), _message_text(v, "$.payload.content"))
+        F.when(event & p.isin("user_message", "agent_message"), blank(body["message"]))
+        .when(event & (p == "task_complete"), blank(body["last_agent_message"]))
+        .when(item & (p == "reasoning"), _reasoning_text(body["summary"]))
+        .when(out, _output_text(body["output"]))
+        .when(item & p.isin("message", "agent_message"), _message_text(body["content"]))
     )
-    return rows.select(
+    parsed = rows.select(
         *FILE, "_chunk", "line_no",
+        B.is_record(rec, F.col("value")).alias("ok"),
         t.isin(RECORD_TYPES).alias("recognised"),
         ((t == MARKER) | (p == MARKER)).alias("marker"),
         t.alias("rec"), p.alias("part"),
-        B.str_at(v, "$.timestamp").alias("ts"),
-        role.alias("role_in"),
+        blank(rec["timestamp"]).alias("ts"),
+        blank(body["role"]).alias("role_in"),
         text.alias("text"),
         F.when(is_meta, thread).alias("meta"),
-        F.when(is_meta, F.coalesce(
-            present(B.str_at(v, "$.payload.session_name")), B.str_at(v, "$.payload.title")
-        )).alias("meta_name"),
-        F.when(is_meta, B.str_at(v, "$.payload.cli_version")).alias("meta_version"),
-        F.when(is_meta, B.str_at(v, "$.payload.git.branch")).alias("meta_branch"),
-        F.when(is_meta | is_turn, B.str_at(v, "$.payload.cwd")).alias("rec_cwd"),
-        F.when(is_turn, B.str_at(v, "$.payload.model")).alias("rec_model"),
-        F.when(is_turn | (event & (p == "task_started")), present(B.str_at(v, "$.payload.turn_id")))
-        .alias("rec_turn"),
-        F.when(usage & has_total, total).alias("total"),
-        F.when(usage & has_last, last).alias("last"),
-        F.when(item, B.str_at(v, "$.payload.id")).alias("item_id"),
-        F.when(item, present(B.str_at(v, "$.payload.message"))).alias("direct_text"),
-        F.when(item, B.str_at(v, "$.payload.author")).alias("author"),
-        F.when(item, B.str_at(v, "$.payload.recipient")).alias("recipient"),
-        F.when(item, present(B.str_at(
-            v, "$.payload.internal_chat_message_metadata_passthrough.turn_id"
-        ))).alias("own_turn"),
-        F.when(call | out, B.str_at(v, "$.payload.call_id")).alias("call_id"),
-        F.when(call, F.coalesce(present(B.str_at(v, "$.payload.name")), F.lit("unknown")))
-        .alias("call_name"),
+        F.when(is_meta, F.coalesce(present(body["session_name"]), blank(body["title"])))
+        .alias("meta_name"),
+        F.when(is_meta, blank(body["cli_version"])).alias("meta_version"),
+        F.when(is_meta, blank(body["git"]["branch"])).alias("meta_branch"),
+        F.when(is_meta | is_turn, blank(body["cwd"])).alias("rec_cwd"),
+        F.when(is_turn, blank(body["model"])).alias("rec_model"),
+        F.when(is_turn | (event & (p == "task_started")), present(body["turn_id"])).alias("rec_turn"),
+        F.when(usage & total.isNotNull(), _counters(total)).alias("total"),
+        F.when(usage & last.isNotNull(), _counters(last)).alias("last"),
+        F.when(item, blank(body["id"])).alias("item_id"),
+        F.when(item, present(body["message"])).alias("direct_text"),
+        F.when(item, blank(body["author"])).alias("author"),
+        F.when(item, blank(body["recipient"])).alias("recipient"),
+        F.when(item, present(body["internal_chat_message_metadata_passthrough"]["turn_id"]))
+        .alias("own_turn"),
+        F.when(call | out, blank(body["call_id"])).alias("call_id"),
+        F.when(call, F.coalesce(present(body["name"]), F.lit("unknown"))).alias("call_name"),
         F.when(call, F.coalesce(F.to_json(arg), F.lit("null"))).alias("call_input"),
         F.when(call, F.coalesce(*[B.text_at(arg, f"$.{k}") for k in B.TOOL_HINTS], F.lit("")))
         .alias("call_hint"),
     )
+    return parsed
 
 
 def _event(params: Params) -> Column:
@@ -177,7 +182,8 @@ def _event(params: Params) -> Column:
 
 
 def context(parsed: DataFrame, order: Order, params: Params) -> DataFrame:
-    """Forward-filled context on every line, plus one end-of-file row per file."""
+    """Forward-filled context on every record, plus one end-of-file row per file."""
+    parsed = parsed.where("ok")
     ends = (
         parsed.groupBy(*FILE)
         .agg(F.max("_chunk").alias("_chunk"))

@@ -230,12 +230,12 @@ def _bare(c: str = "file_id"):
 def _parsed_a(spark, sf, **changes):
     lines = lines_a(spark, sf)
     params = params_for_views(**changes)
-    return format_a.parse_a(lines.df, params), lines.order, params
+    return stage(format_a.parse_a(lines.df, params), "parsed-a"), lines.order, params
 
 
 def _entries_a(spark, sf, **changes):
     parsed, order, params = _parsed_a(spark, sf, **changes)
-    entries = format_a.entries_a(stage(parsed, "parsed-a"), order)
+    entries = format_a.entries_a(parsed, order)
     return entries.select(*format_a.ENTRY_COLUMNS, "line_no"), params
 
 
@@ -311,7 +311,8 @@ def session_titles(spark, sf):
     SELECT f, count(*) FILTER (WHERE et = 'signup' AND k % 4 = 3) AS bad_lines, count(*) AS lines
     FROM le GROUP BY f"""))
 def corrupt_counts(spark, sf):
-    return bad_lines(lines_a(spark, sf).df).select(_bare().alias("f"), "bad_lines", "lines")
+    parsed, _, _ = _parsed_a(spark, sf)
+    return bad_lines(parsed).select(_bare().alias("f"), "bad_lines", "lines")
 
 
 @query("event_streams", O.with_(O.LINES_A, """
@@ -329,7 +330,8 @@ def event_streams(spark, sf):
 def _context_b(spark, sf):
     lines = lines_b(spark, sf)
     params = params_for_views()
-    return stage(format_b.context(format_b.parse_b(lines.df), lines.order, params), "ctx"), lines.order, params
+    parsed = stage(format_b.parse_b(lines.df), "parsed-b")
+    return stage(format_b.context(parsed, lines.order, params), "ctx"), lines.order, params
 
 
 @query("context_fill", O.with_(O.LINES_B, """
@@ -937,8 +939,8 @@ def file_lines(spark, sf):
     """Written logs read back: file order and line numbers survive splitting."""
     root = Root(_written(spark, sf, lines_a(spark, sf)), SOURCE_A, suffix=".txt", tree=True)
     lines = read_lines(spark, [root])
-    return lines.df.where("v is not null").select(
-        B.str_at(F.col("v"), "$.uuid").alias("uuid"), "line_no", F.lit(False).alias("bad"))
+    parsed = stage(format_a.parse_a(lines.df, params_for_views()), "parsed-a")
+    return parsed.where("ok").select("uuid", "line_no", F.lit(False).alias("bad"))
 
 
 @query("file_units", O.with_(O.LINES_A, """

@@ -18,7 +18,7 @@ from ..operators import belonging, diff
 from ..operators.scan import Order
 from ..params import SOURCE_B, Params
 from ..session import stage
-from ..sources.lines import Lines, bad_lines, manifest, read_lines
+from ..sources.lines import Lines, manifest, read_lines
 from .run import Parsed, aggregate, attribute, parse_family
 
 STAMP = ["file_id", "size", "mtime", "root_dir", "fingerprint"]
@@ -129,7 +129,7 @@ def refresh(
                 store.append(fam.sessions, f"sessions-{source}", run, "run")
                 store.append(fam.entries, f"entries-{source}", run, "run")
                 store.append(fam.events, f"events-{source}", run, "run")
-                store.append(bad_lines(lines.df), f"bad-{source}", run, "run")
+                store.append(fam.bad, f"bad-{source}", run, "run")
                 raw = kept.df.select("source", "file_id", "line_no", "value")
                 store.append(raw, f"lines-{source}", run, "run")
     home = now.join(changed.select("file_id", F.lit(run).alias("_new")), "file_id", "left")

@@ -62,7 +62,7 @@ def parse_family(lines: Lines, source: str, params: Params) -> Parsed:
             .alias("event"),
         )
     sessions = stage(sessions.select(*SESSION_COLUMNS), "sessions")
-    return Parsed(source, sessions, entries, events, bad_lines(lines.df), lines)
+    return Parsed(source, sessions, entries, events, bad_lines(parsed), lines)
 
 
 def unify(units: DataFrame, sessions: DataFrame) -> DataFrame:

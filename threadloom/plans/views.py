@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.blocks import is_object
 from ..operators.scan import CHUNK, Order, cut_hot, last_before, running, sum_before
 from ..params import SOURCE_A, SOURCE_B, Params
 from ..sources.lines import Lines
@@ -88,14 +87,12 @@ def _logged_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str | N
 
 
 def _as_lines(df: DataFrame, source: str, value: F.Column) -> DataFrame:
-    v = F.try_parse_json("value")
     return df.withColumn("value", value).select(
         F.lit(source).alias("source"), F.concat(F.lit(source + "/"), "f").alias("file_id"),
         F.concat(F.lit("/logs/"), "f", F.lit(".jsonl")).alias("file_path"),
         F.concat("f", F.lit(".jsonl")).alias("rel_path"), F.lit(False).alias("extra_root"),
         F.lit("/logs").alias("root_dir"), F.lit(0).alias("root_rank"),
         F.lit(False).alias("subagent_dir"), "_chunk", "line_no", "value",
-        F.when(is_object(v), v).alias("v"),
     )
 
 

@@ -1,4 +1,4 @@
-"""Log files as ordered lines: discovery, attribution to a root, line numbers, permissive JSON."""
+"""Log files as ordered lines: discovery, attribution to a root, line numbers."""
 
 from __future__ import annotations
 
@@ -9,8 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.blocks import is_object
-from ..functions.text import strip
+from ..functions.text import NOT_BLANK
 from ..operators.scan import CHUNK, Order, running, sum_before
 from ..params import SOURCE_A, Root
 from ..session import hot_bytes, spark_of
@@ -20,7 +19,7 @@ SUBAGENT_FILE = "^[^/]+/subagents/[^/]+$"
 
 @dataclass(frozen=True)
 class Lines:
-    """Parsed lines and the order they form; ``order.chunk`` is set when some file is huge."""
+    """Lines and the order they form; ``order.chunk`` is set when some file is huge."""
 
     df: DataFrame
     order: Order
@@ -107,11 +106,11 @@ def manifest(spark: SparkSession, roots: list[Root]) -> DataFrame | None:
 
 
 def read_lines(spark: SparkSession, roots: list[Root], only: DataFrame | None = None) -> Lines | None:
-    """Numbered, parsed lines of every file under ``roots`` (of the files in ``only``, if given).
+    """Numbered lines of every file under ``roots`` (of the files in ``only``, if given).
 
-    Columns: file attributes, ``line_no``, ``value``, ``v`` (VARIANT; NULL where the line is not a
-    JSON object). Blank lines are dropped after numbering. A file's splits are read in parallel;
-    the split offset and the position inside the split give the file order.
+    Columns: file attributes, ``line_no``, ``value``. Blank lines are dropped after numbering. A
+    file's splits are read in parallel; the split offset and the position inside the split give
+    the file order.
     """
     check_root_keys(roots)
     limit = hot_bytes(spark)
@@ -140,17 +139,12 @@ def read_lines(spark: SparkSession, roots: list[Root], only: DataFrame | None =
     raw = raw.withColumn(CHUNK, F.when(F.col("_size") > limit, F.col("_block")).otherwise(F.lit(0)))
     order = Order(("file_id",), ("_block", "_mid"), CHUNK if huge else None)
     numbered = running(raw, order, line_no=sum_before(F.lit(1).cast("bigint")))
-    parsed = (
-        numbered.where(strip(F.col("value")) != "")
-        .withColumn("v", F.try_parse_json("value"))
-        .withColumn("v", F.when(is_object(F.col("v")), F.col("v")))
-        .drop("_block", "_mid", "_size")
-    )
-    return Lines(parsed, Order(("file_id",), ("line_no",), order.chunk))
+    filled = numbered.where(F.col("value").rlike(NOT_BLANK)).drop("_block", "_mid", "_size")
+    return Lines(filled, Order(("file_id",), ("line_no",), order.chunk))
 
 
-def bad_lines(lines: DataFrame) -> DataFrame:
+def bad_lines(parsed: DataFrame) -> DataFrame:
     """Lines per file that are not JSON objects."""
-    return lines.groupBy("source", "file_id").agg(
-        F.count_if(F.col("v").isNull()).alias("bad_lines"), F.count(F.lit(1)).alias("lines")
+    return parsed.groupBy("source", "file_id").agg(
+        F.count_if(~F.col("ok")).alias("bad_lines"), F.count(F.lit(1)).alias("lines")
     )
