@@ -218,7 +218,8 @@ def test_lineage(spark):
     def signatures(wanted):
         return sigs.join(wanted.select("file_id", "pair"), ["file_id", "pair"], "left_semi")
 
-    got = lineage.remove_inherited(udf.drop("sig"), sdf, signatures)
+    given = udf.select("file_id", "pair", F.explode("answer_hashes").alias("hash"))
+    got = lineage.remove_inherited(udf.drop("sig", "answer_hashes"), sdf, signatures, given)
     final, removed, merged, conflict = reduce_lineage(sessions, units)
     gone = got.removed.collect()
     assert {(r.file_id, r.pair) for r in gone} == removed

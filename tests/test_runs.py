@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from threadloom.operators.scan import Order
 from threadloom.operators.segment import segment_a
 from threadloom.params import Params, Root
 from threadloom.plans import run
-from threadloom.plans.incremental import Store, run_cycle
-from threadloom.sources import archive, lines
+from threadloom.plans.incremental import Store, run_cycle, survey
+from threadloom.sources import archive, lines, roots
+from threadloom.streaming import cycle
 from threadloom.streaming.online import segment_stream
 
 TS = "2026-05-27T10:00:{:02d}.000Z"
@@ -114,17 +116,20 @@ def test_whole_run(spark, logs):
     assert set(os.listdir(f"{out}/source=codex")) == {"session_id=C", "session_id=P"}
 
 
-def test_cycles(spark, logs, write_log):
+def test_cycles(spark, write_log):
+    write_log("a/fork.jsonl", [ask("u1", "Hello", 1), tell("a1", "Hi", 2)])
+    write_log("a/one/subagents/agent-1.jsonl", [ask("c1", "child", 6), tell("c2", "ok", 7)])
+    logs = write_log("b/2026/01/p.jsonl", rollout("P", ["t1", "t2"], 10))
     p, store = params(logs), Store(spark, f"{logs}/store")
     one = run_cycle(spark, p, store)
-    assert (one.outcome, one.parsed, one.reused) == ("create", 7, 0)
+    assert (one.outcome, one.parsed, one.reused) == ("create", 3, 0)
     two = run_cycle(spark, p, store)
-    assert (two.outcome, two.parsed, two.reused, two.added) == ("noop", 0, 7, 0)
-    with open(f"{logs}/b/2026/01/c.jsonl", "a", encoding="utf-8") as f:
-        for r in rollout("C", ["late"], 40, parent="P")[1:]:
+    assert (two.outcome, two.parsed, two.reused, two.added) == ("noop", 0, 3, 0)
+    with open(f"{logs}/b/2026/01/p.jsonl", "a", encoding="utf-8") as f:
+        for r in rollout("P", ["late"], 40)[1:]:
             f.write(json.dumps(r) + "\n")
     three = run_cycle(spark, p, store)
-    assert (three.outcome, three.parsed, three.reused, three.added) == ("append", 1, 6, 1)
+    assert (three.outcome, three.parsed, three.reused, three.added) == ("append", 1, 2, 1)
     write_log("a/fork.jsonl", [ask("u7", "Another", 8)])
     os.remove(f"{logs}/a/one/subagents/agent-1.jsonl")
     dry = run_cycle(spark, p, store, dry_run=True)
@@ -134,10 +139,9 @@ def test_cycles(spark, logs, write_log):
     cold = run.aggregate(run.analyse(spark, p), p).blocks.orderBy("ord").collect()
     assert [(r.ord, r.block_id, r.md) for r in now] == [(r.ord, r.block_id, r.md) for r in cold]
     # The snapshot that lost a block was kept.
-    assert store.latest("preserved").count() == 9
+    assert store.latest("preserved").count() == 5
     # Other parameters drop every stored result.
-    five = run_cycle(spark, params(logs, include_subagents_a=False), store)
-    assert five.reused == 0
+    assert survey(spark, params(logs, include_subagents_a=False), store).to_parse == 2
 
 
 def test_archive(spark, logs):
@@ -191,6 +195,50 @@ def test_streamed_segments_equal_batch(spark, tmp_path):
     assert sorted(got) == sorted(want.select("session", "seq", "pair", "opener", "answered").collect())
 
 
+def test_project_roots_and_indexes(spark, write_log):
+    write_log("projects/-w-p/s.jsonl", [ask("u", "q", 1)])
+    write_log("projects/-w-p-sub/s.jsonl", [dict(type="x"), dict(type="user", cwd="/w/p/sub")])
+    write_log("projects/-w-p-backup/s.jsonl", [dict(type="user", cwd="/w/p-backup")])
+    write_log("home/sessions/r.jsonl", [rec("session_meta", 1, id="P", session_id="P", cwd="/w/p")])
+    base = write_log("home/session_index.jsonl", [dict(id="P", thread_name="Renamed")])
+    p = Params(project="/w/p", extra_cwds=("/w/x y",))
+    top = f"{base}/projects"
+    assert [r.path for r in roots.project_roots(top, p)] == [f"{top}/-w-p", f"{top}/-w-x-y"]
+    assert [r.path for r in roots.nested_roots(spark, top, p)] == [f"{top}/-w-p-sub"]
+    home = Root(f"{base}/home/sessions", "codex")
+    assert [tuple(r) for r in roots.index_names(spark, [home]).collect()] == [(home.path, "P", "Renamed")]
+
+
+def test_tool_input_keeps_its_key_order(spark, write_log):
+    call = dict(type="tool_use", name="Run", input=dict(z=1, command="ls", a=[2]))
+    root = write_log("a/s.jsonl", [
+        ask("q", "go", 1),
+        dict(type="assistant", uuid="x", message=dict(content=[call])), tell("a", "done", 3)])
+    write_log("b/r.jsonl", [
+        rec("session_meta", 1, id="P", session_id="P", cwd="/w/p"),
+        rec("event_msg", 2, type="user_message", message="go"),
+        rec("response_item", 3, type="function_call", name="sh", call_id="c", arguments='{"z": 1, "a": 2}'),
+        rec("response_item", 4, type="custom_tool_call", name="ap", call_id="d", input="raw text")])
+    found = run.analyse(spark, params(root, template="%ProgressFull%"))
+    assert {r.source: r.progress_full for r in found.units.collect()} == {
+        "claude": '- [Tool: Run] {"z":1,"command":"ls","a":[2]}',
+        "codex": '- [Tool: sh] {"z":1,"a":2}\n- [Tool: ap] "raw text"'}
+
+
+def test_watch_runs_cycles(spark, write_log):
+    logs = write_log("a/s.jsonl", [ask("u1", "Hello", 1), tell("a1", "Hi", 2)])
+    p, store, seen = params(logs), Store(spark, f"{logs}/store"), []
+    query = cycle.watch(spark, p, store, every="1 second", on_cycle=seen.append)
+    try:
+        for _ in range(90):
+            if seen:
+                break
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert seen and seen[0].outcome == "create" and seen[0].added == 1
+
+
 def test_destructive(spark):
     cols = "block_id string"
     a, b = (f"blockid:{c * 24}" for c in "ab")

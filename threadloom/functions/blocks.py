@@ -126,10 +126,22 @@ def tool_result_line(block: Column, full: bool) -> Column:
     return F.concat(F.lit("[ToolResult: "), head, more, F.lit("]"))
 
 
-def tool_use_line(block: Column, full: bool) -> Column:
+def written_order(text: Column) -> Column:
+    """Compact JSON of an object or array text with its keys as written; a VARIANT sorts them."""
+    wrapped = F.concat(F.lit('{"a":'), text, F.lit("}"))
+    v = F.try_parse_json(text)
+    nested = is_object(v) | array_at(v).isNotNull()
+    return F.when(nested, F.from_json(wrapped, "a STRING")["a"])
+
+
+def tool_use_line(block: Column, full: bool, written: Column | None = None) -> Column:
+    """``written``: the input's JSON text as logged, if at hand."""
     name = F.coalesce(text_at(block, "$.name"), F.lit("unknown"))
     if full:
-        return F.concat(F.lit("[Tool: "), name, F.lit("] "), json_text(at(block, "$.input")))
+        shown = json_text(at(block, "$.input"))
+        if written is not None:
+            shown = F.when(is_object(block, "$.input"), cut(written, 200)).otherwise(shown)
+        return F.concat(F.lit("[Tool: "), name, F.lit("] "), shown)
     hint = F.coalesce(*[text_at(block, f"$.input.{k}") for k in TOOL_HINTS], F.lit(""))
     shown = F.when(hint != "", F.concat(F.lit(" "), cut(hint, 80))).otherwise(F.lit(""))
     return F.concat(F.lit("[Tool: "), name, shown, F.lit("]"))
@@ -160,10 +172,16 @@ def _said(text: Column) -> Column:
     return F.when(line != "", F.concat(F.lit("- (assistant) "), line))
 
 
-def progress_lines(content: Column, from_user: Column, full: bool) -> Column:
+def _input_at(written: Column | None, i: Column) -> Column | None:
+    return None if written is None else F.get(written, i)["input"]
+
+
+def progress_lines(
+    content: Column, from_user: Column, full: bool, written: Column | None = None
+) -> Column:
     """Lines a progress record shows; a user record shows its tool results only."""
 
-    def line(b: Column) -> Column:
+    def line(b: Column, i: Column) -> Column:
         kind = str_at(b, "$.type")
         thought = F.coalesce(one_line(str_at(b, "$.thinking")), F.lit(""))
         is_text = (kind == "text") & text_at(b, "$.text").isNotNull()
@@ -171,7 +189,7 @@ def progress_lines(content: Column, from_user: Column, full: bool) -> Column:
             F.when(kind == "tool_result", _dash(tool_result_line(b, full)))
             .when(from_user, F.lit(None))
             .when(is_text, _said(text_at(b, "$.text")))
-            .when(kind == "tool_use", _dash(tool_use_line(b, full)))
+            .when(kind == "tool_use", _dash(tool_use_line(b, full, _input_at(written, i))))
             .when(kind == "image", F.lit("- [Image]"))
             .when(
                 kind == "thinking",
@@ -186,7 +204,7 @@ def progress_lines(content: Column, from_user: Column, full: bool) -> Column:
     )
 
 
-def answer_lines(content: Column, full: bool) -> Column:
+def answer_lines(content: Column, full: bool, written: Column | None = None) -> Column:
     """Lines the final answer adds to progress: its earlier texts, then its tool calls."""
     blocks = texts_of(content)
     # Position of the last text block, 1-based; 0 when there is none.
@@ -201,13 +219,16 @@ def answer_lines(content: Column, full: bool) -> Column:
         ),
         lambda t: t.isNotNull(),
     )
-    calls = F.filter(array_at(content), lambda b: str_at(b, "$.type") == "tool_use")
+    calls = F.transform(
+        array_at(content),
+        lambda b, i: F.when(
+            str_at(b, "$.type") == "tool_use",
+            _dash(tool_use_line(b, full, _input_at(written, i))),
+        ),
+    )
     return F.array_compact(
         F.concat(
             F.transform(earlier, _said),
-            F.coalesce(
-                F.transform(calls, lambda b: _dash(tool_use_line(b, full))),
-                F.array().cast("array<string>"),
-            ),
+            F.coalesce(calls, F.array().cast("array<string>")),
         )
     )

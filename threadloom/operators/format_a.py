@@ -90,13 +90,19 @@ def parse_a(lines: DataFrame, params: Params) -> DataFrame:
     base = F.element_at(F.split(F.replace(body_path, F.lit("\\"), F.lit("/")), "/"), -1)
     from_user = kind == "T"
 
+    # Tool inputs as text, for display in the order they were logged.
+    as_text = "message STRUCT<content: ARRAY<STRUCT<input: STRING>>>"
+    written = None
+    if params.wants_full_progress:
+        written = F.from_json("value", as_text)["message"]["content"]
+
     def lines_when(wanted: bool, full: bool) -> tuple[Column, Column]:
         if not wanted:
             none = F.lit(None).cast("array<string>")
             return none, none
         return (
-            F.when(kind.isin("T", "A"), B.progress_lines(content, from_user, full)),
-            F.when(kind == "A", B.answer_lines(content, full)),
+            F.when(kind.isin("T", "A"), B.progress_lines(content, from_user, full, written)),
+            F.when(kind == "A", B.answer_lines(content, full, written)),
         )
 
     short, short_tail = lines_when(params.wants_progress, False)

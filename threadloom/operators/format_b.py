@@ -96,7 +96,8 @@ def parse_b(lines: DataFrame) -> DataFrame:
     call = item & p.isin("custom_tool_call", "function_call")
     out = item & p.isin("custom_tool_call_output", "function_call_output")
     arg = F.when(B.filled(body["input"]), body["input"]).otherwise(body["arguments"])
-    arg = F.coalesce(F.try_parse_json(B.text_at(arg)), arg)
+    arg_text = B.text_at(arg)
+    arg = F.coalesce(F.try_parse_json(arg_text), arg)
     source = body["source"]
 
     def identity(key: str) -> Column:
@@ -146,7 +147,8 @@ def parse_b(lines: DataFrame) -> DataFrame:
         .alias("own_turn"),
         F.when(call | out, blank(body["call_id"])).alias("call_id"),
         F.when(call, F.coalesce(present(body["name"]), F.lit("unknown"))).alias("call_name"),
-        F.when(call, F.coalesce(F.to_json(arg), F.lit("null"))).alias("call_input"),
+        F.when(call, F.coalesce(B.written_order(arg_text), F.to_json(arg), F.lit("null")))
+        .alias("call_input"),
         F.when(call, F.coalesce(*[B.text_at(arg, f"$.{k}") for k in B.TOOL_HINTS], F.lit("")))
         .alias("call_hint"),
     )

@@ -133,11 +133,9 @@ def progress_verdict(t_count: Column, t_sig: Column, s_count: Column, s_sig: Col
     )
 
 
-def absorbable(t_answer: Column, t_hashes: Column, s_answer: Column) -> Column:
-    return (
-        (s_answer == "") | (s_answer == t_answer) | (t_answer == "")
-        | F.array_contains(t_hashes, sha(s_answer))
-    )
+def absorbable(t_answer: Column, s_answer: Column, said: Column) -> Column:
+    """The target lacks nothing of the copy's answer; ``said``: the target gave it at some point."""
+    return (s_answer == "") | (s_answer == t_answer) | (t_answer == "") | said
 
 
 def replay_matches(children: DataFrame, closure: DataFrame, units: DataFrame) -> DataFrame:
@@ -172,12 +170,14 @@ def _fold(children: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame
     are all settled in the first round; no target's children are ever gathered.
     """
     target_key = ["target_file", "target_pair"]
+    reason = F.when(F.col("absorbs"), F.lit(None)).when(~F.col("ok"), "answer").otherwise("progress")
+    out_cols = [*UID, *target_key, "place", "absorbs", reason.alias("reason"), *FIELDS]
     state = stage(targets, "fold-state")
     open_ = stage(children, "fold-open")
     judged: DataFrame | None = None
     while not open_.isEmpty():
         s = open_.join(state, target_key)
-        ok = absorbable(F.col("t_answer"), F.col("t_hashes"), F.col("answer"))
+        ok = absorbable(F.col("t_answer"), F.col("answer"), F.col("said"))
         s = s.withColumns(
             {
                 "ok": ok,
@@ -190,8 +190,12 @@ def _fold(children: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame
         gains_answer = (F.col("t_answer") == "") & (F.col("answer") != "")
         changes = absorbs & (gains_answer | (F.col("verdict") == "source"))
         s = stage(s.withColumns({"absorbs": absorbs, "changes": changes}), "fold-judged")
+        changing = s.where("changes")
+        if changing.isEmpty():
+            out = s.select(*out_cols, F.lit(False).alias("enriched"))
+            return (out if judged is None else judged.unionByName(out)), state
         nxt = (
-            s.where("changes")
+            changing
             .groupBy(*target_key)
             .agg(
                 F.min("place").alias("upto"),
@@ -203,14 +207,8 @@ def _fold(children: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame
         nxt = stage(nxt, "fold-next")
         s = s.join(nxt.select(*target_key, "upto"), target_key, "left")
         due = F.col("upto").isNull() | (F.col("place") <= F.col("upto"))
-        out = s.where(due).select(
-            *UID, *target_key, "place", "absorbs",
-            F.when(F.col("absorbs"), F.lit(None)).when(~F.col("ok"), "answer").otherwise("progress")
-            .alias("reason"),
-            F.coalesce(F.col("changes") & (F.col("place") == F.col("upto")), F.lit(False))
-            .alias("enriched"),
-            *FIELDS,
-        )
+        turned = F.coalesce(F.col("changes") & (F.col("place") == F.col("upto")), F.lit(False))
+        out = s.where(due).select(*out_cols, turned.alias("enriched"))
         out = stage(out, "fold-out")
         judged = out if judged is None else judged.unionByName(out)
         richer = F.col("c.verdict") == "source"
@@ -220,7 +218,6 @@ def _fold(children: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame
             *target_key,
             F.when(F.col("c").isNotNull() & (F.col("t_answer") == ""), F.col("c.answer"))
             .otherwise(F.col("t_answer")).alias("t_answer"),
-            "t_hashes",
             F.when(took, F.col("c.progress_count")).otherwise(F.col("t_count")).alias("t_count"),
             F.when(took, F.col("c.sig")).otherwise(F.col("t_sig")).alias("t_sig"),
             F.when(took, F.col("c.file_id")).otherwise(F.col("t_from_file")).alias("t_from_file"),
@@ -245,12 +242,15 @@ def _enriched_tokens(judged: DataFrame, state: DataFrame) -> DataFrame:
     return rows.withColumn("enriched", F.col("enriched") | F.coalesce(raised, F.lit(False)))
 
 
-def remove_inherited(units: DataFrame, sessions: DataFrame, signatures) -> Lineage:
+def remove_inherited(
+    units: DataFrame, sessions: DataFrame, signatures, answers: DataFrame
+) -> Lineage:
     """Drop copied history from subagent sessions and merge what only the copies had.
 
     ``units``: family-B units with ordinal; ``sessions``: file_id, root_rank, thread_id,
     parent_thread, lineage_id, is_sub; ``signatures(units)`` gives (file_id, pair, signature) for
-    the units asked about. ``progress_file``/``progress_pair`` of a survivor name the unit whose
+    the units asked about; ``answers``: file_id, pair, hash of every text a unit ever gave as its
+    answer. ``progress_file``/``progress_pair`` of a survivor name the unit whose
     progress it shows.
     """
     sessions = stage(sessions, "sessions")
@@ -267,7 +267,7 @@ def remove_inherited(units: DataFrame, sessions: DataFrame, signatures) -> Linea
     ).distinct()
     live = units.where(F.col("replay_key") != "").join(involved, "file_id", "left_semi")
     live = live.select(
-        *UID, "ordinal", "replay_key", "replay_hash", "answer", "answer_hashes", "progress_count",
+        *UID, "ordinal", "replay_key", "replay_hash", "answer", "progress_count",
         *FIELDS,
     ).withColumns(pointer)
     shared = (
@@ -275,13 +275,11 @@ def remove_inherited(units: DataFrame, sessions: DataFrame, signatures) -> Linea
     )
     # A key held by one unit only can match nothing.
     live = live.join(shared.select("replay_key", "replay_hash"), ["replay_key", "replay_hash"], "left_semi")
-    live = stage(live, "live")
-    sig = stage(signatures(live).select(*UID, F.col("signature").alias("sig")), "signatures")
+    sig = signatures(live).select(*UID, F.col("signature").alias("sig"))
     none = F.array().cast("array<string>")
     live = stage(
         live.join(sig, UID, "left").withColumn("sig", F.coalesce("sig", none)), "live"
     )
-    original = live
     removed, conflicts = [], []
     # One entry per nesting depth (and slot): at most MAX_DEPTH + 1 in sane logs.
     slots = groups.select("depth", "slot").distinct().orderBy("depth", "slot").toLocalIterator()
@@ -294,12 +292,20 @@ def remove_inherited(units: DataFrame, sessions: DataFrame, signatures) -> Linea
         placed = children.join(match, UID).withColumn(
             "place", F.struct("thread_id", "file_id", "ordinal")
         )
+        given = answers.select(
+            F.col("file_id").alias("target_file"), F.col("pair").alias("target_pair"),
+            F.col("hash").alias("_h"), F.lit(True).alias("_said"),
+        ).distinct()
+        placed = placed.withColumn("_h", sha(F.col("answer"))).join(
+            given, ["target_file", "target_pair", "_h"], "left"
+        )
         placed = placed.select(
-            *UID, "target_file", "target_pair", "place", "answer", "progress_count", "sig", *FIELDS
+            *UID, "target_file", "target_pair", "place", "answer", "progress_count", "sig", *FIELDS,
+            F.coalesce("_said", F.lit(False)).alias("said"),
         )
         t = live.select(
             F.col("file_id").alias("target_file"), F.col("pair").alias("target_pair"),
-            F.col("answer").alias("t_answer"), F.col("answer_hashes").alias("t_hashes"),
+            F.col("answer").alias("t_answer"),
             F.col("progress_count").alias("t_count"), F.col("sig").alias("t_sig"),
             F.col("progress_file").alias("t_from_file"), F.col("progress_pair").alias("t_from_pair"),
             *[F.col(f).alias(f"t_{f}") for f in FIELDS],
@@ -307,8 +313,7 @@ def remove_inherited(units: DataFrame, sessions: DataFrame, signatures) -> Linea
         judged, state = _fold(placed, t)
         gone = stage(_enriched_tokens(judged, state).select(*UID, "target_file", "target_pair", "enriched", *FIELDS), "gone")
         removed.append(gone.select(*UID, "enriched"))
-        kept = stage(judged.where(~F.col("absorbs")).select(*UID, "reason"), "kept")
-        conflicts.append(kept)
+        conflicts.append(judged.where(~F.col("absorbs")).select(*UID, "reason"))
         most = gone.groupBy("target_file", "target_pair").agg(*[F.max(f).alias(f"m_{f}") for f in FIELDS])
         state = state.join(most, ["target_file", "target_pair"], "left").select(
             F.col("target_file").alias("file_id"), F.col("target_pair").alias("pair"),

@@ -80,9 +80,6 @@ def roll_up(entries: DataFrame, progress: bool = False, progress_full: bool = Fa
         F.max_by(model, usable).alias("model"),
         *totals(F.col("source"), F.col("has_usage") & assistant),
         F.count_if(in_progress).alias("progress_count"),
-        F.collect_set(F.when(said & (F.col("source") == SOURCE_B), sha(F.col("a_text")))).alias(
-            "answer_hashes"
-        ),
         F.sort_array(
             F.collect_list(
                 F.when(
@@ -141,12 +138,17 @@ def roll_up(entries: DataFrame, progress: bool = False, progress_full: bool = Fa
         .alias("fork_keys"),
         F.when(provable, sha(F.array_join(parts, NUL))).otherwise("").alias("replay_key"),
         F.when(provable, sha(F.array_join(raw_texts, NUL))).otherwise("").alias("replay_hash"),
-        "answer_hashes",
         *(["progress"] if progress else []),
         *(["progress_full"] if progress_full else []),
     )
 
 
+def answers_given(entries: DataFrame) -> DataFrame:
+    """(file_id, pair, hash) of every text a unit gave as its answer, the final one and earlier."""
+    said = (F.col("role") == "A") & (F.col("a_text") != "")
+    return entries.where(said).select("file_id", "pair", sha(F.col("a_text")).alias("hash"))
+
+
 def signatures(entries: DataFrame, units: DataFrame) -> DataFrame:
     """Ordered progress signature of the given units only (records that show nothing left out)."""
     in_progress = (F.col("role") == "P") | ((F.col("role") == "A") & ~F.col("final"))

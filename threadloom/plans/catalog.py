@@ -707,9 +707,7 @@ def _replayed(spark, sf):
         for n in ("x", "y")]
     units = parent.unionByName(copies[0]).unionByName(copies[1]).withColumns({
         "replay_key": key, "replay_hash": sha(F.col("question")), "source": F.lit("codex"),
-        "tok_in": F.length("file_id").cast("bigint") + F.when(F.col("file_id").startswith("y"), 7).otherwise(0),
-        "answer_hashes": F.when(F.col("answer") != "", F.array(sha(F.col("answer")))).otherwise(
-            F.array().cast("array<string>"))})
+        "tok_in": F.length("file_id").cast("bigint") + F.when(F.col("file_id").startswith("y"), 7).otherwise(0)})
     files = units.select("file_id", "conv_id").distinct()
     child = ~F.col("file_id").startswith("p")
     sessions = files.select(
@@ -719,6 +717,13 @@ def _replayed(spark, sf):
     return units, sessions
 
 
+def _reduced(spark, sf):
+    units, sessions = _replayed(spark, sf)
+    units = stage(units, "replayed")
+    given = units.where("answer <> ''").select("file_id", "pair", sha(F.col("answer")).alias("hash"))
+    return lineage.remove_inherited(units, sessions, _no_signatures, given)
+
+
 def _no_signatures(units):
     return units.select("file_id", "pair", F.array().cast("array<string>").alias("signature"))
 
@@ -753,8 +758,7 @@ def replay_match(spark, sf):
     WHERE absorbed OR (ordinal < 2 AND name = 'y')"""))
 def inherited_removed(spark, sf):
     """Absorbed copies go; of two kept copies with one answer the second goes as well."""
-    units, sessions = _replayed(spark, sf)
-    return lineage.remove_inherited(stage(units, "replayed"), sessions, _no_signatures).removed.select("file_id", "pair")
+    return _reduced(spark, sf).removed.select("file_id", "pair")
 
 
 @query("inherited_survivors", O.with_(REPLAYED, """
@@ -765,8 +769,7 @@ def inherited_removed(spark, sf):
     SELECT 'x' || conv_id, CAST(pair AS BIGINT), c_answer, CAST(length('p' || conv_id) + 7 AS BIGINT)
     FROM j WHERE ordinal < 2 AND NOT absorbed"""))
 def inherited_survivors(spark, sf):
-    units, sessions = _replayed(spark, sf)
-    out = lineage.remove_inherited(stage(units, "replayed"), sessions, _no_signatures).units
+    out = _reduced(spark, sf).units
     return out.select("file_id", "pair", "answer", "tok_in")
 
 
@@ -774,8 +777,7 @@ def inherited_survivors(spark, sf):
     SELECT 'x' || conv_id AS file_id, CAST(pair AS BIGINT) AS pair, 'answer' AS reason
     FROM j WHERE ordinal < 2 AND NOT absorbed"""))
 def sibling_conflicts(spark, sf):
-    units, sessions = _replayed(spark, sf)
-    out = lineage.remove_inherited(stage(units, "replayed"), sessions, _no_signatures).conflicts
+    out = _reduced(spark, sf).conflicts
     return out.select("file_id", "pair", "reason")
 
 

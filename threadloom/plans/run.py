@@ -128,6 +128,7 @@ def attribute(families, params, index_names=None, titles=None) -> Analysis:
                 lambda u, e=fam.entries, s=SOURCE_B: pairs.signatures(
                     e, u.select(F.lit(s).alias("source"), "file_id", F.lit(False).alias("side"), "pair")
                 ),
+                pairs.answers_given(fam.entries),
             )
             moved = _moved_progress(found.units, units)
             units = stage(moved, "merged")
