@@ -19,19 +19,22 @@ def _fingerprint(first: Column, second: Column) -> Column:
     return F.concat_ws(":", first.cast("string"), second.cast("string"))
 
 
+def line_hashes(value: Column) -> list[Column]:
+    """Two independent hashes of a line, kept with its parsed row so contents are read once."""
+    return [F.xxhash64(F.lit(1), value).alias("h1"), F.xxhash64(F.lit(2), value).alias("h2")]
+
+
 def content_hashes(lines: DataFrame) -> DataFrame:
     """One fingerprint per file that equals exactly for equal content.
 
-    Two independent 64-bit hashes of (line number, line) are summed exactly, so the fingerprint is
-    a partial aggregate and no task ever holds a whole file.
+    Position-salted line hashes (``line_no``, ``h1``, ``h2``) are summed exactly, so the
+    fingerprint is a partial aggregate and no task ever holds a whole file.
     """
-    cell = F.struct("line_no", "value")
+    first = F.sum(_wide_hash(F.struct("line_no", "h1"), 1))
+    second = F.sum(_wide_hash(F.struct("line_no", "h2"), 2))
+    count = F.count(F.lit(1)).cast("string")
     return lines.groupBy("file_id").agg(
-        F.concat_ws(
-            ":",
-            F.count(F.lit(1)).cast("string"),
-            _fingerprint(F.sum(_wide_hash(cell, 1)), F.sum(_wide_hash(cell, 2))),
-        ).alias("file_hash")
+        F.concat_ws(":", count, _fingerprint(first, second)).alias("file_hash")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import nul_join, sha
 from ..functions.tokens import FIELDS
 from .lineage import subsequence
 from .scan import cut_hot, running, sum_before
@@ -12,8 +13,9 @@ from .scan import cut_hot, running, sum_before
 
 def compare_positions(old: DataFrame, new: DataFrame) -> DataFrame:
     """Per position: ``equal``, ``changed``, ``old_only`` or ``new_only`` (ord, md on both sides)."""
-    o = old.select("ord", F.col("md").alias("o"))
-    n = new.select("ord", F.col("md").alias("n"))
+    # Digests travel instead of texts.
+    o = old.select("ord", sha(F.col("md")).alias("o"))
+    n = new.select("ord", sha(F.col("md")).alias("n"))
     state = (
         F.when(F.col("o").isNull(), "new_only")
         .when(F.col("n").isNull(), "old_only")
@@ -107,10 +109,15 @@ def classify_blocks(old: DataFrame, new: DataFrame) -> DataFrame:
         F.col("o.block_id").alias("block_id"),
         F.when(bad, "mutated").when(gain, "enriched").otherwise("unchanged").alias("class"),
     )
-    cols = ["block_id", "ord", "question", "answer"]
-    gone = old.join(new.select("block_id"), "block_id", "left_anti").select(*cols)
-    fresh = new.join(old.select("block_id"), "block_id", "left_anti").select(*cols)
-    key = ["question", "answer"]
+    same_text = sha(nul_join(F.col("question"), F.col("answer"))).alias("_qa")
+    told = F.col("question").startswith("Message Type:").alias("told")
+
+    def slim(df: DataFrame) -> DataFrame:
+        return df.select("block_id", "ord", same_text, told)
+
+    gone = slim(old).join(new.select("block_id"), "block_id", "left_anti")
+    fresh = slim(new).join(old.select("block_id"), "block_id", "left_anti")
+    key = ["_qa"]
     one = F.lit(1).cast("bigint")
 
     def ranked(df: DataFrame) -> DataFrame:
@@ -119,7 +126,7 @@ def classify_blocks(old: DataFrame, new: DataFrame) -> DataFrame:
 
     g, f = ranked(gone), ranked(fresh)
     renamed = g.join(f.select(*key, "_k", F.lit(True).alias("_new")), [*key, "_k"], "left")
-    still = new.select(*key).distinct().withColumn("_there", F.lit(True))
+    still = new.select(same_text).distinct().withColumn("_there", F.lit(True))
     lost = renamed.join(still, key, "left").select(
         "block_id",
         F.when(F.col("_new"), "id-changed").when(F.col("_there"), "duplicate-removed")
@@ -127,8 +134,7 @@ def classify_blocks(old: DataFrame, new: DataFrame) -> DataFrame:
     )
     extra = f.join(g.select(*key, "_k"), [*key, "_k"], "left_anti").select(
         "block_id",
-        F.when(F.col("question").startswith("Message Type:"), "instruction")
-        .otherwise("new-content").alias("class"),
+        F.when(F.col("told"), "instruction").otherwise("new-content").alias("class"),
     )
     return kept.unionByName(lost).unionByName(extra)
 

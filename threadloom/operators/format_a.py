@@ -9,6 +9,7 @@ from ..functions import blocks as B
 from ..functions.text import NUL, WS, lstrip, present, rstrip
 from ..functions.tokens import FIELDS
 from ..params import Params
+from .dedupe import line_hashes
 from .scan import Order
 from .segment import progress_position, segment_a
 
@@ -113,6 +114,7 @@ def parse_a(lines: DataFrame, params: Params) -> DataFrame:
         "source", "file_id", "file_path", "rel_path", "extra_root", "root_dir", "root_rank",
         "subagent_dir", "_chunk", "line_no", "kind",
         B.is_record(r, F.col("value")).alias("ok"),
+        *line_hashes(F.col("value")),
         F.coalesce(r["isSidechain"], F.lit(False)).alias("side"),
         typ.alias("line_type"),
         blank(r["uuid"]).alias("uuid"),

@@ -9,6 +9,7 @@ from ..functions import blocks as B
 from ..functions.text import NUL, WS, lstrip, one_line, present, rstrip, sha
 from ..functions.tokens import FIELDS
 from ..params import Params
+from .dedupe import line_hashes
 from .format_a import ENTRY_COLUMNS
 from .scan import Order, first_upto, last_before, last_upto, next_after, running, sum_before, sum_upto
 from .segment import progress_position, segment_b
@@ -123,6 +124,7 @@ def parse_b(lines: DataFrame) -> DataFrame:
     parsed = rows.select(
         *FILE, "_chunk", "line_no",
         B.is_record(rec, F.col("value")).alias("ok"),
+        *line_hashes(F.col("value")),
         t.isin(RECORD_TYPES).alias("recognised"),
         ((t == MARKER) | (p == MARKER)).alias("marker"),
         t.alias("rec"), p.alias("part"),

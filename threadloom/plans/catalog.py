@@ -610,7 +610,8 @@ def _snapshots(spark, sf):
 def logical_dedupe(spark, sf):
     units, lines, events = _snapshots(spark, sf)
     ordered = stage(ids.timeline(units), "ordered")
-    hashes = dedupe.content_hashes(lines.select("file_id", F.col("seq").alias("line_no"), F.col("text").alias("value")))
+    hashes = dedupe.content_hashes(lines.select(
+        "file_id", F.col("seq").alias("line_no"), *dedupe.line_hashes(F.col("text"))))
     events, order = cut_hot(events, ["file_id"], ["line_no"])
     prefixes = stage(dedupe.stream_prefixes(events, order), "prefixes")
     judged = dedupe.logical_dedupe(ordered, stage(hashes, "hashes"), prefixes)
@@ -654,7 +655,7 @@ def content_hash_groups(spark, sf):
     docs = table(spark, sf, "documents").withColumn("file_id", F.concat("source", F.lit("/"), F.col("doc_id") % 2))
     docs, order = cut_hot(docs, ["file_id"], ["doc_id"])
     docs = running(docs, order, line_no=sum_before(F.lit(1).cast("bigint")))
-    h = dedupe.content_hashes(docs.select("file_id", "line_no", F.col("text").alias("value")))
+    h = dedupe.content_hashes(docs.select("file_id", "line_no", *dedupe.line_hashes(F.col("text"))))
     return h.agg(F.count(F.lit(1)).alias("files"), F.countDistinct("file_hash").alias("contents"))
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import belonging, diff
-from ..operators.scan import Order
 from ..params import SOURCE_B, Params
 from ..session import stage
 from ..sources.lines import Lines, manifest, read_lines
@@ -130,8 +129,7 @@ def refresh(
                 store.append(fam.entries, f"entries-{source}", run, "run")
                 store.append(fam.events, f"events-{source}", run, "run")
                 store.append(fam.bad, f"bad-{source}", run, "run")
-                raw = kept.df.select("source", "file_id", "line_no", "value")
-                store.append(raw, f"lines-{source}", run, "run")
+                store.append(fam.content, f"content-{source}", run, "run")
     home = now.join(changed.select("file_id", F.lit(run).alias("_new")), "file_id", "left")
     if old is None:
         home = home.withColumn("home", F.lit(run)).drop("_new")
@@ -159,11 +157,8 @@ def refresh(
             # Results of vanished files and of superseded parses find no partner here.
             return store.read(f"{name}-{source}").join(current, ["file_id", "run"], "left_semi").drop("run")
 
-        order = Order(("file_id",), ("line_no",), None)
-        families.append(
-            Parsed(source, live("sessions"), live("entries"), live("events"), live("bad"),
-                   Lines(live("lines"), order))
-        )
+        tables = [live(n) for n in ("sessions", "entries", "events", "bad", "content")]
+        families.append(Parsed(source, *tables))
     return families, cycle
 
 

@@ -31,7 +31,8 @@ class Parsed:
     entries: DataFrame
     events: DataFrame  # source, file_id, line_no, event
     bad: DataFrame
-    lines: Lines
+    content: DataFrame  # file_id, line_no, h1, h2
+    lines: Lines | None = None
 
 
 @dataclass
@@ -62,7 +63,8 @@ def parse_family(lines: Lines, source: str, params: Params) -> Parsed:
             .alias("event"),
         )
     sessions = stage(sessions.select(*SESSION_COLUMNS), "sessions")
-    return Parsed(source, sessions, entries, events, bad_lines(parsed), lines)
+    return Parsed(source, sessions, entries, events, bad_lines(parsed),
+                  parsed.select("file_id", "line_no", "h1", "h2"), lines)
 
 
 def unify(units: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def aggregate(found: Analysis, params: Params) -> Timeline:
     hashes, prefixes = [], []
     for fam in found.families:
         keep = ["file_id"]
-        hashes.append(dedupe.content_hashes(fam.lines.df.join(suspects, keep, "left_semi")))
+        hashes.append(dedupe.content_hashes(fam.content.join(suspects, keep, "left_semi")))
         events = fam.events.join(suspects, keep, "left_semi")
         prefixes.append(dedupe.stream_prefixes(*cut_dense(events, keep, "line_no")))
     hashes, prefixes = stage(_union(hashes), "hashes"), stage(_union(prefixes), "prefixes")
