@@ -34,7 +34,7 @@ def timed(fn):
 def cycles(spark, sf):
     """A first cycle over logs written from the tables, then one in which nothing changed."""
     roots = [
-        Root(catalog._written(spark, sf, make(spark, sf)), source, suffix=".txt", tree=True)
+        Root(catalog.write_logs(spark, sf, make(spark, sf)), source, suffix=".txt", tree=True)
         for source, make in ((SOURCE_A, lines_a), (SOURCE_B, lines_b))
     ]
     params = Params(project="/w", roots=tuple(roots))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import present, sha
 from ..functions.tokens import FIELDS
 from ..session import stage
-from .scan import cut_hot, max_before, running
+from .scan import cut_hot, max_before, running, sum_upto
 
 MAX_DEPTH = 64  # fixed value: longest parent chain that is followed
 
@@ -108,10 +108,16 @@ def processing_groups(sessions: DataFrame, closure: DataFrame) -> DataFrame:
     )
     if related.isEmpty():
         return subs.withColumn("slot", F.lit(0).cast("bigint"))
-    cuts = related.groupBy("depth").agg(F.sort_array(F.collect_set("cut")).alias("cuts"))
-    slot = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<string>")),
-                           lambda c: c <= F.col("thread_id")))
-    return subs.join(cuts, "depth", "left").withColumn("slot", slot.cast("bigint")).drop("cuts")
+    # A session's slot is the number of cuts at or before its thread id.
+    marks = related.select(
+        F.lit(None).cast("string").alias("file_id"), F.col("cut").alias("thread_id"), "depth"
+    )
+    rows = subs.select("file_id", "thread_id", "depth").unionByName(marks)
+    rows = rows.withColumn("_is_file", F.col("file_id").isNotNull())
+    rows, order = cut_hot(rows, ["depth"], ["thread_id", "_is_file", "file_id"])
+    cut = F.when(F.col("_is_file"), F.lit(0)).otherwise(F.lit(1)).cast("bigint")
+    rows = running(rows, order, slot=sum_upto(cut)).where("_is_file")
+    return rows.select("file_id", "thread_id", "depth", "slot")
 
 
 def subsequence(a: Column, b: Column) -> Column:
@@ -254,12 +260,15 @@ def remove_inherited(
     progress it shows.
     """
     sessions = stage(sessions, "sessions")
-    closure = stage(ancestor_closure(sessions), "closure")
     empty_removed = units.select(*UID).limit(0).withColumn("enriched", F.lit(False))
     empty_conf = units.select(*UID).limit(0).withColumn("reason", F.lit(""))
     pointer = {"progress_file": F.col("file_id"), "progress_pair": F.col("pair")}
+    untouched = Lineage(units.withColumns(pointer), empty_removed, empty_conf)
+    if sessions.where("is_sub").isEmpty():
+        return untouched
+    closure = stage(ancestor_closure(sessions), "closure")
     if closure.isEmpty():
-        return Lineage(units.withColumns(pointer), empty_removed, empty_conf)
+        return untouched
 
     groups = stage(processing_groups(sessions, closure), "groups")
     involved = closure.select("file_id").unionByName(

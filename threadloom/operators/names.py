@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.blocks import is_object, object_at, str_at, text_at
 from ..functions.text import present, strip, to_ms, within
 from ..session import hot_bytes
-from .scan import Order, running, sum_before
+from .scan import COLD, Order, running, sum_before
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame | None:
@@ -21,7 +21,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame | None:
     meta = F.col("_metadata")
     raw = text.select(
         "value", F.lit(path).alias("index_path"),
-        F.when(meta.file_size > hot_bytes(spark), meta.file_block_start).otherwise(F.lit(0)).alias("_chunk"),
+        F.when(meta.file_size > hot_bytes(spark), meta.file_block_start).otherwise(F.lit(COLD)).alias("_chunk"),
         meta.file_block_start.alias("_block"), F.monotonically_increasing_id().alias("_mid"),
         meta.file_size.alias("_size"),
     )

@@ -13,7 +13,7 @@ UNIT = ["source", "file_id", "side", "pair"]
 SYNTHETIC = "<synthetic>"  # fixed value: model name of records no model produced
 
 
-def _accepted(users: Column) -> Column:
+def accepted(users: Column) -> Column:
     """User messages of a unit; an injected one counts only if it hangs on an accepted one."""
 
     def step(acc: Column, u: Column) -> Column:
@@ -103,7 +103,7 @@ def roll_up(entries: DataFrame, progress: bool = False, progress_full: bool = Fa
             aggs.append(F.array_join(flat, "\n").alias(name))
 
     units = entries.groupBy(*UNIT).agg(*aggs)
-    units = units.withColumn("_users", _accepted(F.col("_users")))
+    units = units.withColumn("_users", accepted(F.col("_users")))
     users = F.col("_users")
     texts = F.filter(_restored(users, F.col("_command_files")), lambda t: t != "")
     head = F.get(users, F.lit(0))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..session import hot_rows, spark_of, stage
 
 CHUNK = "_chunk"
+COLD = -1  # chunk number of the rows of streams that were not cut
 
 
 @dataclass(frozen=True)
@@ -102,8 +103,8 @@ def running(df: DataFrame, order: Order, **specs: Running) -> DataFrame:
             {n: F.coalesce(v, F.lit(0)) if specs[n].op == "sum" else v for n, v in values.items()}
         )
 
-    # One summary row per chunk, then what all earlier (later) chunks hand over.
-    inputs = df.select(
+    # One summary row per chunk of the cut streams, then what all earlier (later) chunks hand over.
+    inputs = df.where(F.col(order.chunk) > COLD).select(
         *order.partition, *order.seq, *[r.col.alias(f"_in_{n}") for n, r in specs.items()]
     )
     pos = F.struct(*order.seq)
@@ -157,7 +158,7 @@ def cut_hot(
     if hot.isEmpty():
         return df, order
     hot = stage(hot.select(*keys), "hot-keys")
-    cold = df.join(hot, list(keys), "left_anti").withColumn(CHUNK, F.lit(0))
+    cold = df.join(hot, list(keys), "left_anti").withColumn(CHUNK, F.lit(COLD))
     cut = _range_chunks(df.join(hot, list(keys), "left_semi"), [*keys, *seq])
     return cold.unionByName(cut), replace(order, chunk=CHUNK)
 

@@ -247,7 +247,7 @@ def entries_a(spark, sf):
     entries, _ = _entries_a(spark, sf)
     # An injected message counts only when it hangs on a message of its unit.
     known = entries.where("role = 'U'").groupBy(*pairs.UNIT).agg(
-        pairs._accepted(F.sort_array(F.collect_list(F.struct("seq", "uuid", "parent", "meta")))).alias("u")
+        pairs.accepted(F.sort_array(F.collect_list(F.struct("seq", "uuid", "parent", "meta")))).alias("u")
     ).select(*pairs.UNIT, F.explode(F.transform("u", lambda u: u["seq"])).alias("seq"))
     kept = entries.join(known.withColumn("ok", F.lit(True)), [*pairs.UNIT, "seq"], "left")
     kept = kept.where("ok or role <> 'U'")
@@ -921,7 +921,7 @@ def snapshot_outcome(spark, sf):
 
 # --- files, names and text rules ------------------------------------------------------------
 
-def _written(spark, sf, lines) -> str:
+def write_logs(spark, sf, lines) -> str:
     """The lines as text files, one per 50 users and 100,000 lines of each; returns the folder."""
     path = scratch_dir(spark, "logs")
     df = lines.df.withColumns({
@@ -940,7 +940,7 @@ def _written(spark, sf, lines) -> str:
       et = 'signup' AND k % 4 = 3 AS bad FROM le) QUALIFY NOT bad"""))
 def file_lines(spark, sf):
     """Written logs read back: file order and line numbers survive splitting."""
-    root = Root(_written(spark, sf, lines_a(spark, sf)), SOURCE_A, suffix=".txt", tree=True)
+    root = Root(write_logs(spark, sf, lines_a(spark, sf)), SOURCE_A, suffix=".txt", tree=True)
     lines = read_lines(spark, [root])
     parsed = stage(format_a.parse_a(lines.df, params_for_views()), "parsed-a")
     return parsed.where("ok").select("uuid", "line_no", F.lit(False).alias("bad"))
@@ -952,7 +952,7 @@ def file_lines(spark, sf):
         count(*) FILTER (WHERE kind = 'A') AS answers FROM a2)"""))
 def file_units(spark, sf):
     """Files to typed rows without the views' shortcut: discovery, parsing, classification."""
-    root = Root(_written(spark, sf, lines_a(spark, sf)), SOURCE_A, suffix=".txt", tree=True)
+    root = Root(write_logs(spark, sf, lines_a(spark, sf)), SOURCE_A, suffix=".txt", tree=True)
     parsed = format_a.parse_a(read_lines(spark, [root]).df, params_for_views())
     return parsed.agg(F.count_if(F.col("kind").isin("Q", "K")).alias("questions"),
                       F.count_if(F.col("kind") == "A").alias("answers"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.scan import CHUNK, Order, cut_hot, last_before, running, sum_before
+from ..operators.scan import CHUNK, COLD, Order, cut_hot, last_before, running, sum_before
 from ..params import SOURCE_A, SOURCE_B, Params
 from ..sources.lines import Lines
 
@@ -83,7 +83,7 @@ def _logged_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str | N
     ev = running(
         ev, order, line_no=sum_before(one), _prev=last_before(F.col("event_id"))
     )
-    return (ev if order.chunk else ev.withColumn(CHUNK, F.lit(0))), order.chunk
+    return (ev if order.chunk else ev.withColumn(CHUNK, F.lit(COLD))), order.chunk
 
 
 def _as_lines(df: DataFrame, source: str, value: F.Column) -> DataFrame:

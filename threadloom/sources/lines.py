@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import NOT_BLANK
-from ..operators.scan import CHUNK, Order, running, sum_before
+from ..operators.scan import CHUNK, COLD, Order, running, sum_before
 from ..params import SOURCE_A, Root
 from ..session import hot_bytes, spark_of
 
@@ -136,7 +136,7 @@ def read_lines(spark: SparkSession, roots: list[Root], only: DataFrame | None =
     if only is not None:
         raw = raw.join(only.select("file_id"), "file_id", "left_semi")
     huge = not raw.where(F.col("_size") > limit).select("_size").limit(1).isEmpty()
-    raw = raw.withColumn(CHUNK, F.when(F.col("_size") > limit, F.col("_block")).otherwise(F.lit(0)))
+    raw = raw.withColumn(CHUNK, F.when(F.col("_size") > limit, F.col("_block")).otherwise(F.lit(COLD)))
     order = Order(("file_id",), ("_block", "_mid"), CHUNK if huge else None)
     numbered = running(raw, order, line_no=sum_before(F.lit(1).cast("bigint")))
     filled = numbered.where(F.col("value").rlike(NOT_BLANK)).drop("_block", "_mid", "_size")
