@@ -14,9 +14,9 @@ packed into an R-tree; two nodes (or points) can only hold a linked pair if the
 coordinates of the lesser of both maxima reaches the overlap that their least sizes demand. Pairs
 left over are verified on whole sets.
 
-Large groups of near copies stay linear: first every class is compared with the least class of each of
-its buckets, and what is linked becomes one component. Only buckets that still hold several
-components go through trees, in blocks of ``BLOCK`` members, and only for pairs across components.
+Large groups of near copies stay linear: first every class is compared with the class, among those it meets, that
+meets most others (an original among its edited copies), then with the like of each of its buckets, and
+what is linked becomes one component. Only buckets that still hold several components go through trees, in blocks of ``BLOCK`` members, and only for pairs across components.
 
 Null texts and texts without words have no shingles and link with nothing; a null doc_id cannot name
 a component but belongs to that of its text. Repeated rows get a row each. Only doc_id and text are read.
@@ -40,7 +40,8 @@ ship(__name__)
 
 WORDS_IN_SHINGLE = 4
 PERCENT = 85
-COORDINATES = 64
+COORDINATES = 256
+SLICE = 1000
 BLOCK = 1024
 LEAF = 16
 TASK_ROWS = 20000
@@ -116,9 +117,15 @@ def _digest(hashes: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(hashes.tobytes()), "little", signed=True)
 
 
+def _slices(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def _points(width: int):
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             n, low, points = [], [], []
             for h in shingles(b.column("text"), width):
                 n.append(len(h))
@@ -134,7 +141,7 @@ def _points(width: int):
 def _keys(width: int, percent: int):
     def run(batches):
         seen: set[int] = set()
-        for b in batches:
+        for b in _slices(batches):
             keys, classes = [], []
             for h in shingles(b.column("text"), width):
                 if not len(h):
@@ -215,7 +222,7 @@ def _trees(percent: int):
 
 def _bounded(percent: int):
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             pa_, pb_ = (np.frombuffer(b"".join(b.column(x).to_pylist()), np.int32).reshape(-1, COORDINATES) for x in ("pa", "pb"))
             na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
             keep = pa.array(np.minimum(pa_, pb_).sum(1) >= needed(na, nb, percent))
@@ -225,7 +232,7 @@ def _bounded(percent: int):
 
 def _verify(width: int, percent: int):
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             ok = []
             for x, y in zip(shingles(b.column("ta"), width), shingles(b.column("tb"), width), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -244,7 +251,12 @@ def links(docs: DataFrame, width: int = WORDS_IN_SHINGLE, percent: int = PERCENT
     rows = texts.select("text").mapInArrow(_keys(width, percent), "k long, c long")
     bucket = Window.partitionBy("k")
     shared = rows.withColumn("low", F.min("c").over(bucket)).withColumn("high", F.max("c").over(bucket)).filter("low <> high")
-    shared = stage(shared.select("k", "c", "low"), "buckets")
+    shared = stage(shared.select("k", "c").distinct(), "buckets")
+    # a bucket's pivot: the class that meets others most often, which is the original among edited copies
+    sizes = shared.groupBy("k").agg((F.count("*") - 1).alias("others"))
+    meets = shared.join(sizes, "k").groupBy("c").agg(F.sum("others").alias("meets"))
+    rated = stage(shared.join(meets, "c").select("k", "c", F.struct("meets", "c").alias("r")), "rated")
+    pivots = stage(rated.groupBy("k").agg(F.max("r").alias("p")), "pivots")
 
     def point(side: str) -> DataFrame:
         return one.select(F.col("c").alias(side), F.col("n").alias(f"n{side}"), F.col("point").alias(f"p{side}"))
@@ -257,13 +269,30 @@ def links(docs: DataFrame, width: int = WORDS_IN_SHINGLE, percent: int = PERCENT
             body.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
         return stage(whole.select("a", "b", "ta", "tb").mapInArrow(_verify(width, percent), "a long, b long"), "links")
 
-    near = shared.filter("c <> low").select(F.col("low").alias("a"), F.col("c").alias("b")).distinct()
-    near = near.join(point("a"), "a").join(point("b"), "b")
-    near = stage(near.mapInArrow(_bounded(percent), "a long, b long"), "near")
-    first = verified(near)
-    mark = components(first, "marks")
-    members = shared.select("k", "c").distinct().join(mark.select(F.col("v").alias("c"), F.col("c").alias("m")), "c", "left")
-    members = stage(members.select("k", "c", F.coalesce("m", "c").alias("m")), "members")
+    def bounded(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(point("a"), "a").join(point("b"), "b")
+        return stage(near.mapInArrow(_bounded(percent), "a long, b long"), "near")
+
+    def ordered(x: str, y: str) -> list:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    def marked(edges: DataFrame) -> DataFrame:
+        """Members of buckets with the component they are in so far."""
+        mark = components(edges, "marks")
+        found = shared.join(mark.select(F.col("v").alias("c"), F.col("c").alias("m")), "c", "left")
+        return stage(found.select("k", "c", F.coalesce("m", "c").alias("m")), "members")
+
+    # first each class with the best pivot it meets, then the pivots of buckets that hold several components
+    best = rated.join(pivots, "k").groupBy("c").agg(F.max("p").alias("p")).select("c", F.col("p.c").alias("p")).filter("c <> p")
+    tried = stage(best.select(*ordered("c", "p")).distinct(), "tried")
+    edges = verified(bounded(tried))
+    members = marked(edges)
+    head = pivots.select("k", F.col("p.c").alias("c")).join(members, ["k", "c"]).select("k", F.col("c").alias("p"), F.col("m").alias("pm"))
+    more = members.join(head, "k").filter("m <> pm").select(*ordered("c", "p")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = stage(more, "more")
+    edges = stage(edges.union(verified(bounded(more))), "edges")
+    tried = tried.union(more)
+    members = marked(edges)
     hashed = [F.bit_xor(F.xxhash64("c", F.lit(i))) for i in (1, 2)]
     open_ = members.groupBy("k").agg(F.count("*").alias("size"), F.min("m").alias("lo"), F.max("m").alias("hi"), F.struct(*hashed).alias("same"))
     open_ = open_.filter("size > 2 AND lo <> hi").groupBy("size", "same").agg(F.min("k").alias("k"))  # equal buckets once
@@ -274,8 +303,8 @@ def links(docs: DataFrame, width: int = WORDS_IN_SHINGLE, percent: int = PERCENT
     placed = stage(placed.join(one.select("c", "n", "point"), "c"), "placed")
     tasks = max(1, placed.count() // TASK_ROWS)
     trees = placed.groupBy(F.pmod(F.xxhash64("k", "x", "y"), F.lit(tasks))).applyInPandas(_trees(percent), "a long, b long")
-    rest = stage(trees.distinct().join(near, ["a", "b"], "left_anti"), "rest")
-    return classes.select("d", "h", "n", "c"), first.union(verified(rest))
+    rest = stage(trees.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    return classes.select("d", "h", "n", "c"), edges.union(verified(rest))
 
 
 def join(docs: DataFrame, width: int = WORDS_IN_SHINGLE, percent: int = PERCENT) -> DataFrame:
