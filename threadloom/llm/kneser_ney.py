@@ -10,8 +10,8 @@ calibration.
 
 The class counts come from at most ``CLASS_ROWS`` labelled documents of each class (least hash of
 the id first) that the caller's filter admits; a quarter of them is set aside for calibration.
-Everything else covers all rows. Words are looked up by two joins: the at most ``HOT_WORDS`` most
-frequent words are broadcast, the others are shuffled.
+Everything else covers all rows. Words are looked up in two ways: the at most ``HOT_WORDS`` most
+frequent words go to every task, the others are joined.
 
 Null and empty texts have no words and get the calibrated score of a difference of 0. Without
 labels of both classes every score is 0.5. Labels that are null do not count; of several labels
@@ -21,12 +21,17 @@ of one document the largest counts. Repeated rows get a row each. Other columns
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import column, doc_id_of, row_key
+from threadloom.llm.common import column, doc_id_of, row_key, ship
 from threadloom.session import stage
 
+ship(__name__)
+
 ORDER = 5
 DISCOUNT = 0.75
 CLASS_ROWS = 16384
@@ -36,10 +41,69 @@ THRESHOLD = 0.7
 WORDS = r"[^\p{L}\p{N}]+"
 
 
-def words_of(docs: DataFrame) -> DataFrame:
-    """(d, h, w): every word of every text, lower-cased; a null word for a text without words."""
-    text = F.lower(F.coalesce(column(docs, "text", "string"), F.lit("")))
-    return docs.select(*row_key(docs), F.explode(F.split(text, WORDS)).alias("w"))
+SLICE = 2000
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(text of each word, code of each word, words by code) for lower-cased words of letters and digits."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), WORDS)
+    coded = lists.flatten().dictionary_encode()
+    text = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    code = coded.indices.to_numpy()
+    blank = coded.dictionary.index("").as_py()
+    if blank >= 0:
+        text, code = text[code != blank], code[code != blank]
+    return text, code, coded.dictionary
+
+
+def hashes(words: pa.Array) -> np.ndarray:
+    """The hashes that the SQL function xxhash64 gives."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words.to_pylist()), np.uint64, len(words)).view(np.int64)
+
+
+def _slices(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
+def _count(batches):
+    for b in _slices(batches):
+        text, code, words = tokens(b.column("text"))
+        kind = b.column("class").fill_null(-1).to_numpy(zero_copy_only=False)[text]
+        n = [np.bincount(x, minlength=len(words)) for x in (code, code[kind == 1], code[kind == 0])]
+        used = pa.array(n[0] > 0)
+        yield pa.RecordBatch.from_arrays([x.filter(used) for x in (words, *map(pa.array, n))], ["w", "n", "toxic", "plain"])
+
+
+def _known(hot: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(hot, x), max(0, len(hot) - 1))
+    return at, hot[at] == x if len(hot) else np.zeros(len(x), bool)
+
+
+def _near(hot: np.ndarray, toxic: np.ndarray, plain: np.ndarray):
+    """One row for each text: its words, and the sums over those that are hot."""
+    def run(batches):
+        for b in _slices(batches):
+            text, code, words = tokens(b.column("text"))
+            at, known = _known(hot, hashes(words))
+            near, n = known[code], b.num_rows
+            sums = [np.bincount(text[near], v[at[code[near]]], n) if len(hot) else np.zeros(n) for v in (toxic, plain)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("d"), b.column("h"), *map(pa.array, (np.bincount(text, minlength=n), *sums))], ["d", "h", "words", "t", "p"])
+    return run
+
+
+def _far(hot: np.ndarray):
+    """One row for each place of a word that is not hot."""
+    def run(batches):
+        for b in _slices(batches):
+            text, code, words = tokens(b.column("text"))
+            x = hashes(words)
+            other = ~_known(hot, x)[1][code]
+            at = pa.array(text[other])
+            yield pa.RecordBatch.from_arrays([b.column("d").take(at), b.column("h").take(at), pa.array(x[code[other]])], ["d", "h", "x"])
+    return run
 
 
 def learning_rows(labels: DataFrame, admitted: Column) -> DataFrame:
@@ -56,11 +120,9 @@ def vocabulary(docs: DataFrame, learning: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_d", column(docs, "doc_id", "long")).join(
         F.broadcast(learning.filter("NOT calibrate").select(F.col("d").alias("_d"), F.col("toxic").alias("_class"))), "_d", "left"
     )
-    text = F.lower(F.coalesce(column(docs, "text", "string"), F.lit("")))
-    tokens = keyed.select("_class", F.explode(F.split(text, WORDS)).alias("w")).filter("w <> ''")
-    return tokens.groupBy("w").agg(
-        F.count("*").alias("n"), F.count_if(F.col("_class") == 1).alias("toxic"), F.count_if(F.col("_class") == 0).alias("plain")
-    )
+    parts = keyed.select(F.col("_class").cast("int").alias("class"), column(docs, "text", "string").alias("text")).mapInArrow(
+        _count, "w string, n long, toxic long, plain long")
+    return parts.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "plain")])
 
 
 def _events(words: DataFrame, *keep: str) -> DataFrame:
@@ -132,13 +194,12 @@ def likelihoods(docs: DataFrame, words: DataFrame) -> DataFrame:
         bound = r["b"]
     hot = F.ceil(F.log2("n")).cast("int") >= bound
     known = words.select("x", F.col("toxic").alias("t"), F.col("plain").alias("p"), hot.alias("hot"))
-    tokens = words_of(docs).select("d", "h", F.when(F.col("w") != "", F.xxhash64("w")).alias("x"))
-    looked = tokens.join(F.broadcast(known.filter("hot").drop("hot")), "x", "left")
-    near = looked.groupBy("d", "h").agg(F.count("x").alias("words"), F.sum("t").alias("t"), F.sum("p").alias("p"))
-    cold = looked.filter("x IS NOT NULL AND t IS NULL").select("d", "h", "x").join(
-        known.filter("NOT hot").select("x", "t", "p"), "x"
-    )
-    far = cold.groupBy("d", "h").agg(F.lit(0).cast("long").alias("words"), F.sum("t").alias("t"), F.sum("p").alias("p"))
+    top = known.filter("hot").select("x", "t", "p").toPandas().sort_values("x")  # at most HOT_WORDS
+    hot_x = top["x"].to_numpy()
+    texts = docs.select(*row_key(docs), column(docs, "text", "string").alias("text"))
+    near = texts.mapInArrow(_near(hot_x, top["t"].to_numpy(), top["p"].to_numpy()), "d long, h int, words long, t double, p double")
+    far = texts.mapInArrow(_far(hot_x), "d long, h int, x long").join(known.filter("NOT hot").select("x", "t", "p"), "x")
+    far = far.groupBy("d", "h").agg(F.lit(0).cast("long").alias("words"), F.sum("t").alias("t"), F.sum("p").alias("p"))
     return near.union(far).groupBy("d", "h").agg(
         F.sum("words").alias("words"), F.coalesce(F.sum("t"), F.lit(0.0)).alias("toxic"), F.coalesce(F.sum("p"), F.lit(0.0)).alias("plain")
     )
