@@ -15,6 +15,10 @@ Only doc_id and text are read.
 from __future__ import annotations
 
 import bisect
+import os
+import re
+import sys
+import types
 import zlib
 from collections import Counter, defaultdict
 
@@ -31,7 +35,7 @@ ship(__name__)
 
 MAX_TOKENS = 2048
 END = 0
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 BLOCK_ROWS = 2000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, x long"
 
@@ -42,21 +46,43 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# letters that stay letters when composed and lower-cased
+LONE = re.compile(r"(?<=[a-z0-9À-ÖØ-öø-įı-ɏ])([!-/:-@\[-`{-~]+)(?=[ \n]|$)")
+
+
+def words(text: str) -> list[str]:
+    """Parts of a text that the tokenizer encodes one by one.
+
+    White space ends its words, letters and punctuation are split anyway and case does not matter, so capitals and
+    signs after a word need no entries of their own. Texts that may name special tokens stay as they are.
+    """
+    if "<|" not in text:
+        text = LONE.sub(r" \1", text.encode().lower().decode())
+    return text.replace("\n", " ").split(" ")
+
+
 def encoder(path: str):
-    """Text to little-endian 32-bit ids. White space ends words for this tokenizer, so words are encoded once and kept."""
+    """Text to little-endian 32-bit ids. Words are encoded once and kept while the worker process lives, within a bound."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
+    kept = sys.modules.setdefault("_packing_cache", types.ModuleType("_packing_cache")).__dict__
+    if path not in kept:
+        kept[path] = (Tokenizer.from_file(path), {})
+    tokenizer, known = kept[path]
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [words(t) for t in texts]
         if len(known) > CACHE_WORDS:
             known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+        new = {w for ws in split for w in ws if w not in known}
+        plain = [w for w in new if w.isascii() and w.isalpha() and w.islower()]  # what stands before the model leaves these as they are
+        for w in plain:
+            known[w] = np.array([t.id for t in tokenizer.model.tokenize(w)], "<u4").tobytes()
+        new = list(new.difference(plain))
+        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
     return encode
 
