@@ -26,21 +26,22 @@ WORDS = r"[^\p{L}\p{N}]+"
 SHA_PARTS = 5
 
 
-def _uniform(bits: Column) -> Column:
-    return (bits.cast("double") + 0.5) / float(1 << 32)
+def _uniform(h: Column, part: int) -> Column:
+    """One of three uniform numbers of 21 bits in a hash."""
+    return (F.shiftrightunsigned(h, 21 * part).bitwiseAND((1 << 21) - 1).cast("double") + 0.5) / float(1 << 21)
 
 
 def sample(j: int) -> Column:
     """The packed value of word ``x`` with count ``s`` in sample ``j``."""
-    one, two, three = (F.xxhash64("x", F.lit(3 * j + i)) for i in range(3))
-    low, high = (lambda h: _uniform(h.bitwiseAND(0xFFFFFFFF))), (lambda h: _uniform(F.shiftrightunsigned(h, 32)))
-    r = -F.log(low(one) * high(one))
-    log_c = F.log(-F.log(low(two) * high(two)))
-    b = low(three)
+    one, two = F.xxhash64("x", F.lit(2 * j)), F.xxhash64("x", F.lit(2 * j + 1))
+    r = -F.log(_uniform(one, 0) * _uniform(one, 1))
+    log_c = F.log(-F.log(_uniform(two, 0) * _uniform(two, 1)))
+    b = _uniform(one, 2)
     t = F.floor(F.col("log_s") / r + b)
     log_a = log_c - r * (t - b + 1)
     scaled = ((log_a + 128) * float(1 << 30)).cast("long")
-    return F.shiftleft(scaled, 8 * 3).bitwiseOR(F.xxhash64("x", t).bitwiseAND((1 << 4 * HEX) - 1))
+    mark = F.shiftrightunsigned(two, 42) + t * 40503  # tells (word, t) pairs apart
+    return F.shiftleft(scaled, 8 * 3).bitwiseOR(mark.bitwiseAND((1 << 4 * HEX) - 1))
 
 
 def fingerprints(texts: DataFrame, keys: list[str], carry: dict[str, Column]) -> DataFrame:
