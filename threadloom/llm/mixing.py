@@ -118,7 +118,7 @@ def mix(docs: DataFrame, target: float = 0.98, limit: float = 4.0, budget: float
         "epoch", F.explode(F.sequence(F.lit(0), F.greatest("epochs", least) - 1)))
     shuffled = Window.partitionBy("s", "epoch").orderBy(F.xxhash64("s", "epoch", "block", F.lit(SEED)), "block")
     before = F.coalesce(F.sum("size").over(shuffled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    turns = turns.withColumn("before", before).select("s", "block", "epoch", "before", "weight", "spend")
+    turns = turns.withColumn("before", before + F.col("epoch") * F.col("tokens")).select("s", "block", "epoch", "before", "weight", "spend")
     if not whole:
         turns = turns.filter("before < spend")
     ordered = Window.partitionBy("s", "block", "epoch").orderBy(F.xxhash64("d", "h", "epoch", F.lit(SEED)), "d", "h")
