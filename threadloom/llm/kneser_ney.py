@@ -88,7 +88,7 @@ def _near(hot: np.ndarray, toxic: np.ndarray, plain: np.ndarray):
             text, code, words = tokens(b.column("text"))
             at, known = _known(hot, hashes(words))
             near, n = known[code], b.num_rows
-            sums = [np.bincount(text[near], v[at[code[near]]], n) if len(hot) else np.zeros(n) for v in (toxic, plain)]
+            sums = [(np.bincount(text[near], v[at[code[near]]], n) if len(hot) else np.zeros(n)).astype(float) for v in (toxic, plain)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("d"), b.column("h"), *map(pa.array, (np.bincount(text, minlength=n), *sums))], ["d", "h", "words", "t", "p"])
     return run
