@@ -9,7 +9,7 @@ the identifier of its response.
 
 A null html is an empty payload, a null url has no target. Of rows with equal payloads the one with
 the largest page_id is the response, the others revisit it. A repeated page_id is captured each
-time (``copy`` counts from 0); a null page_id is kept as null. Other columns are not read.
+time (``copy`` counts those of one page_id and payload from 0); a null page_id is kept as null. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,18 +34,18 @@ MARK = "\r\n\r\n"
 
 
 def plan(pages: DataFrame) -> DataFrame:
-    """Pages with their key (p, copy), payload digest and, for revisits, the page that is the response."""
+    """Pages with their key (p, sha, copy), payload digest and, for revisits, the page that is the response."""
     p = F.coalesce(column(pages, "page_id", "long"), F.lit(NULL_ID)).alias("p")
     html = F.coalesce(column(pages, "html", "string"), F.lit("")).alias("html")
     rows = pages.select(p, column(pages, "url", "string").alias("url"), html)
     rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
-    copy = F.row_number().over(Window.partitionBy("p").orderBy("sha", "url")) - 1
-    keyed = rows.withColumn("copy", copy)
-    first = keyed.groupBy("sha").agg(F.max(F.struct("p", "copy")).alias("to"), F.count("*").alias("n"))
-    shared = first.filter("n > 1")
-    refers = keyed.select("p", "copy", "sha").join(shared, "sha").filter(F.struct("p", "copy") != F.col("to"))
-    refers = refers.select("p", "copy", F.col("to.p").alias("to_p"), F.col("to.copy").alias("to_copy"))
-    return keyed.join(refers, ["p", "copy"], "left")
+    copy = F.row_number().over(Window.partitionBy("p", "sha").orderBy("url")) - 1
+    payloads = rows.groupBy("p", "sha").agg(F.count("*").alias("n"))
+    first = payloads.groupBy("sha").agg(F.max("p").alias("to_p"), F.sum("n").alias("n")).filter("n > 1")
+    refers = payloads.select("p", "sha").join(first.select("sha", "to_p"), "sha")
+    keyed = rows.withColumn("copy", copy).join(refers, ["p", "sha"], "left")
+    itself = (F.col("p") == F.col("to_p")) & (F.col("copy") == 0)
+    return keyed.withColumn("to_p", F.when(~itself, F.col("to_p")))
 
 
 def _record(kind: str, rid: str, headers: list[tuple[str, str]], block: str) -> str:
@@ -54,8 +54,8 @@ def _record(kind: str, rid: str, headers: list[tuple[str, str]], block: str) ->
     return "\r\n".join(lines) + MARK + block
 
 
-def _name(kind: str, p: int, copy: int) -> str:
-    return f"urn:x-capture:{kind}:{p}:{copy}"
+def _name(kind: str, p: int, sha: str, copy: int) -> str:
+    return f"urn:x-capture:{kind}:{p}:{sha}:{copy}"
 
 
 def _one_line(text: str) -> str:
@@ -68,22 +68,22 @@ def _write(batches):
         out = []
         for r in rows.itertuples(index=False):
             revisit = pd.notna(r.to_p)
-            me = _name("response", r.p, r.copy)
+            me = _name("response", r.p, r.sha, r.copy)
             target = [("WARC-Target-URI", _one_line(r.url))] if isinstance(r.url, str) else []
             near = [*target, ("WARC-Concurrent-To", f"<{me}>")]
             digest = base64.b32encode(bytes.fromhex(r.sha)).decode()
             head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + MARK
             own = [*target, ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
             if revisit:
-                own.append(("WARC-Refers-To", f"<{_name('response', int(r.to_p), int(r.to_copy))}>"))
+                own.append(("WARC-Refers-To", f"<{_name('response', int(r.to_p), r.sha, 0)}>"))
                 own.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
             out.append(_record(
-                "request", _name("request", r.p, r.copy), [*near, ("Content-Type", "application/http; msgtype=request")],
+                "request", _name("request", r.p, r.sha, r.copy), [*near, ("Content-Type", "application/http; msgtype=request")],
                 "GET / HTTP/1.1" + MARK,
             ))
             out.append(_record("revisit" if revisit else "response", me, own, head + ("" if revisit else r.html)))
             out.append(_record(
-                "metadata", _name("metadata", r.p, r.copy), [*near, ("Content-Type", "application/warc-fields")],
+                "metadata", _name("metadata", r.p, r.sha, r.copy), [*near, ("Content-Type", "application/warc-fields")],
                 f"page-id: {'' if r.p == NULL_ID else r.p}\r\ncopy: {r.copy}\r\n",
             ))
         yield pd.DataFrame({"value": out})
@@ -173,7 +173,7 @@ def captures(pages: DataFrame) -> DataFrame:
     revisits = nested.filter("response.type = 'revisit'").select("capture", F.col("response.refers_to").alias("to"))
     told = revisits.join(own, "to").select("capture", "to_bytes")
     out = nested.join(told, "capture", "left")
-    referred = F.regexp_extract("response.refers_to", r":(-?\d+):\d+$", 1).cast("long")
+    referred = F.regexp_extract("response.refers_to", r":(-?\d+):[0-9a-f]+:\d+$", 1).cast("long")
     return out.select(
         F.expr("try_cast(metadata.block.page AS bigint)").alias("page_id"),
         F.coalesce(F.col("response.block.bytes").cast("long"), F.col("to_bytes").cast("long")).alias("payload_bytes"),
