@@ -17,8 +17,6 @@ from ..functions.tokens import FIELDS
 from ..session import stage
 from .scan import cut_hot, max_before, running, sum_upto
 
-MAX_DEPTH = 64  # fixed value: longest parent chain that is followed
-
 UID = ["file_id", "pair"]
 
 
@@ -40,11 +38,11 @@ def threads(sessions: DataFrame) -> DataFrame:
 
 
 def ancestor_closure(sessions: DataFrame) -> DataFrame:
-    """(file_id, step, ancestor): ancestors of every subagent session, nearest first.
+    """(file_id, step, ancestor, is_root): ancestors of every subagent session, nearest first.
 
     ``sessions``: file_id, root_rank, thread_id, parent_thread, lineage_id, is_sub. The walk ends
-    at a missing parent, at a repeated id and after MAX_DEPTH steps; the lineage root comes last
-    unless the walk met it.
+    at a missing parent and at a repeated id, however deep; the lineage root, marked ``is_root``,
+    comes one step after the last ancestor unless the walk met it.
     """
     known = stage(threads(sessions), "threads")
     up = known.select(
@@ -60,27 +58,28 @@ def ancestor_closure(sessions: DataFrame) -> DataFrame:
     )
     found: list[DataFrame] = []
     ended: list[DataFrame] = []
-    for step in range(MAX_DEPTH):
+    step = 0
+    while True:
         open_ = (F.col("next") != "") & ~F.array_contains("seen", F.col("next"))
         open_ = F.coalesce(open_, F.lit(False))
-        ended.append(front.where(~open_).select("file_id", "lineage_id", "seen"))
+        ended.append(front.where(~open_).select("file_id", "lineage_id", "seen", F.lit(step).alias("step")))
         walk = front.where(open_).withColumn("seen", F.array_append("seen", F.col("next")))
         walk = stage(walk.join(up, F.col("next") == F.col("_id"), "left"), "ancestors")
         if walk.isEmpty():
             break
-        ended.append(walk.where("_file is null").select("file_id", "lineage_id", "seen"))
+        ended.append(walk.where("_file is null").select("file_id", "lineage_id", "seen", F.lit(step).alias("step")))
         hit = walk.where("_file is not null")
-        found.append(hit.select("file_id", F.lit(step).alias("step"), F.col("_file").alias("ancestor")))
+        found.append(hit.select(
+            "file_id", F.lit(step).alias("step"), F.col("_file").alias("ancestor"), F.lit(False).alias("is_root")))
         front = hit.select("file_id", "lineage_id", F.col("_up").alias("next"), "seen")
-    else:
-        ended.append(front.select("file_id", "lineage_id", "seen"))
+        step += 1
     done = ended[0]
     for more in ended[1:]:
         done = done.unionByName(more)
     roots = (
         done.where((F.col("lineage_id") != "") & ~F.array_contains("seen", F.col("lineage_id")))
         .join(up, F.col("lineage_id") == F.col("_id"))
-        .select("file_id", F.lit(MAX_DEPTH).alias("step"), F.col("_file").alias("ancestor"))
+        .select("file_id", "step", F.col("_file").alias("ancestor"), F.lit(True).alias("is_root"))
     )
     out = roots
     for f in found:
@@ -290,7 +289,7 @@ def remove_inherited(
         live.join(sig, UID, "left").withColumn("sig", F.coalesce("sig", none)), "live"
     )
     removed, conflicts = [], []
-    # One entry per nesting depth (and slot): at most MAX_DEPTH + 1 in sane logs.
+    # One entry per nesting depth (and slot): as many as sessions nest.
     slots = groups.select("depth", "slot").distinct().orderBy("depth", "slot").toLocalIterator()
     for g in slots:
         now = groups.where((F.col("depth") == g.depth) & (F.col("slot") == g.slot))

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.blocks import is_object, object_at, str_at, text_at
 from ..functions.text import present, strip, to_ms, within
-from ..session import hot_bytes
+from ..session import hot_bytes, if_found
 from .scan import COLD, Order, running, sum_before
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame | None:
     """Rename records of one index file: id, name ('' clears), at (ms or NULL), seq."""
-    try:
-        text = spark.read.option("lineSep", "\n").text(path)
-    except AnalysisException:
+    text = if_found(lambda: spark.read.option("lineSep", "\n").text(path))
+    if text is None:
         return None
     meta = F.col("_metadata")
     raw = text.select(

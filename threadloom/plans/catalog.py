@@ -686,7 +686,7 @@ def _threads(spark, sf):
       WHERE t.up IS NOT NULL AND t.up IN (SELECT id FROM t))
     SELECT 'f' || id AS file_id, step, 'f' || anc AS ancestor FROM walk
     UNION ALL
-    SELECT 'f' || id, 64, 'f10' FROM t WHERE up IS NOT NULL
+    SELECT 'f' || id, (SELECT count(*) FROM walk w WHERE w.id = t.id), 'f10' FROM t WHERE up IS NOT NULL
       AND 10 IN (SELECT id FROM t) AND NOT EXISTS (SELECT 1 FROM walk w WHERE w.id = t.id AND w.anc = 10)
       AND id <> 10""")
 def ancestor_closure(spark, sf):
@@ -844,14 +844,11 @@ def user_text(spark, sf):
 
 
 @query("render_blocks", O.with_(O.UNITS_C, """
-    SELECT block_id, '<!-- ' || block_id || ' -->' || chr(10) || '# '
-      || strftime(strptime(ts_raw, '%Y-%m-%dT%H:%M:%S.000Z'), '%Y/%m/%d %a %H:%M:%S')
-      || '   [ClaudeCode] Session::' || session || chr(10) || 'Model= Version=' || chr(10)
-      || 'Branch= Cwd=/w' || chr(10) || 'Tokens=' || chr(10) || '## Question' || chr(10)
-      || replace(replace(question, '-->', '-- >'), '<!--', '<! --') || chr(10) || chr(10) || '<!--'
-      || chr(10) || '## Answer' || chr(10)
-      || replace(replace(answer, '-->', '-- >'), '<!--', '<! --') || chr(10) || '-->' || chr(10)
-      || chr(10) || '----------------------------------------' || chr(10) || chr(10) AS md
+    SELECT block_id, '<!-- ' || block_id || ' -->' || chr(10) || '### ClaudeCode, '
+      || strftime(strptime(ts_raw, '%Y-%m-%dT%H:%M:%S.000Z'), '%Y/%m/%d %a %H:%M:%S') || chr(10) || chr(10)
+      || replace(replace(question, '-->', '-- >'), '<!--', '<! --') || chr(10) || chr(10)
+      || '**Reply of ** (session ' || session || ' , branch , folder /w, version , tokens )' || chr(10) || chr(10)
+      || replace(replace(answer, '-->', '-- >'), '<!--', '<! --') || chr(10) || chr(10) || '***' || chr(10) AS md
     FROM units_c"""))
 def render_blocks(spark, sf):
     units = ids.block_ids(_units_c(spark, sf)).withColumns(
@@ -1162,15 +1159,20 @@ def delegate_units(spark, sf):
     SELECT f AS session, event_id AS seq, CAST(pair AS BIGINT) AS pair, coalesce(opener, false) AS opener
     FROM s5"""))
 def stream_segment(spark, sf):
-    """The segmentation as a stream: rows arrive in four slices of time, state is kept between."""
+    """The segmentation as a stream: rows arrive in at least four micro-batches, state is kept between.
+
+    A session's share of a slice is one file, and a micro-batch one file, so its rows come in order.
+    """
     ev = log_view_e(spark, sf).select(
         "session", F.col("event_id").alias("seq"), F.col("kind_a").alias("kind"), "parent", "ts")
     base = scratch_dir(spark, "stream")
-    day = F.dayofmonth("ts")
-    for lo, hi in ((0, 8), (8, 16), (16, 24), (24, 32)):
-        ev.where((day >= lo) & (day < hi)).drop("ts").write.mode("append").parquet(f"{base}/in")
+    lo, hi = (x or 0 for x in ev.agg(F.min("seq"), F.max("seq")).first())
+    cut = stage(ev.withColumn("part", F.floor((F.col("seq") - lo) * 4 / (hi - lo + 1))), "slices")
+    for i in range(4):
+        rows = cut.where(F.col("part") == i).drop("ts", "part")
+        rows.repartition("session").write.mode("append").parquet(f"{base}/in")
     source = spark.readStream.schema(ev.drop("ts").schema).option(
-        "maxFilesPerTrigger", 1000).parquet(f"{base}/in")
+        "maxFilesPerTrigger", 1).parquet(f"{base}/in")
     done = (segment_stream(source).writeStream.format("parquet")
             .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
             .trigger(availableNow=True).start())

@@ -10,13 +10,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import belonging, diff
 from ..params import SOURCE_B, Params
-from ..session import stage
+from ..session import if_found, stage
 from ..sources.lines import Lines, manifest, read_lines
 from .run import Parsed, aggregate, attribute, parse_family
 
@@ -49,10 +48,7 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
 
     def read(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/{name}")
-        except AnalysisException:
-            return None
+        return if_found(lambda: self.spark.read.parquet(f"{self.path}/{name}"))
 
     def latest(self, name: str) -> DataFrame | None:
         """Rows of the newest finished cycle of a table."""

@@ -216,13 +216,14 @@ def per_session(found: Analysis, params: Params) -> DataFrame:
 
 
 def write_sessions(blocks: DataFrame, path: str) -> None:
-    """One partition per session, in timeline order within it."""
+    """One partition per session, in timeline order within it. Sessions not in ``blocks`` keep what they have."""
     cols = ["source", "session_id", *ids.TOTAL_ORDER]
     (
         blocks.repartitionByRange(*cols)
         .sortWithinPartitions(*cols)
         .select("source", "session_id", "block_id", "ts_raw", "file_path", "md")
-        .write.partitionBy("source", "session_id").mode("overwrite").parquet(path)
+        .write.option("partitionOverwriteMode", "dynamic")
+        .partitionBy("source", "session_id").mode("overwrite").parquet(path)
     )
 
 

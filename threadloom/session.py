@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 HOT_ROWS_CONF = "spark.threadloom.hotRows"
@@ -28,15 +30,27 @@ def hot_bytes(spark: SparkSession) -> int:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where it names none (local tests)."""
+    """The shared folder the cluster names; a private one only where a local session names none."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     configured = configured or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="threadloom-"))
         configured = spark.sparkContext.getCheckpointDir()
     return configured.rstrip("/")
 
 
+def if_found(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``read`` gives, or None where its path does not exist. Any other failure is raised."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/threadloom/{label}-{uuid.uuid4().hex}"
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import NOT_BLANK
 from ..operators.scan import CHUNK, COLD, Order, running, sum_before
 from ..params import SOURCE_A, Root
-from ..session import hot_bytes, spark_of
+from ..session import hot_bytes, if_found
 
 SUBAGENT_FILE = "^[^/]+/subagents/[^/]+$"
 
@@ -25,6 +25,20 @@ class Lines:
     order: Order
 
 
+def qualified(spark: SparkSession, roots: list[Root]) -> list[Root]:
+    """Roots by the full paths that file listings give: with the file system's name, local ones without.
+
+    A directory gives the same ids however it was written (relative, plain, with a scheme).
+    """
+    out = []
+    for root in roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root.path)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        full = files.makeQualified(path).toString()
+        out.append(replace(root, directory=re.sub("^file:/+", "/", full)))
+    return out
+
+
 def _globs(root: Root) -> list[str]:
     # Family A keeps sessions at the top and child transcripts one level down; family B is a tree.
     if root.recursive:
@@ -71,9 +85,8 @@ def _per_root(spark: SparkSession, roots: list[Root], read, columns) -> DataFram
     for i, root in enumerate(roots):
         earlier = [r for r in roots[:i] if r.source == root.source]
         for glob in _globs(root):
-            try:
-                df = read(glob, root.suffix)
-            except AnalysisException:  # nothing there
+            df = if_found(lambda glob=glob, suffix=root.suffix: read(glob, suffix))
+            if df is None:
                 continue
             path = plain_path(F.col("_metadata.file_path"))
             mine = reduce(lambda c, r: c & ~_owned(path, r), earlier, _owned(path, root))
@@ -92,6 +105,7 @@ def check_root_keys(roots: list[Root]) -> None:
 
 def manifest(spark: SparkSession, roots: list[Root]) -> DataFrame | None:
     """One row per log file: attributes, size and modification time. Contents are not read."""
+    roots = qualified(spark, roots)
     check_root_keys(roots)
 
     def read(glob: str, suffix: str) -> DataFrame:
@@ -112,6 +126,7 @@ def read_lines(spark: SparkSession, roots: list[Root], only: DataFrame | None =
     file's splits are read in parallel; the split offset and the position inside the split give
     the file order.
     """
+    roots = qualified(spark, roots)
     check_root_keys(roots)
     limit = hot_bytes(spark)
 

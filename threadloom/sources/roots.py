@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import belonging, names
 from ..params import SOURCE_A, SOURCE_B, Params, Root
 from ..session import stage
-from .lines import read_lines
+from .lines import qualified, read_lines
 
 
 def encoded(cwd: str) -> str:
@@ -31,7 +31,7 @@ def nested_roots(spark: SparkSession, projects_dir: str, params: Params) -> list
     Only directories with the project's name as prefix are read, and of those only the directory
     field. The result is a list of parameters, as long as the project has nested directories.
     """
-    base = projects_dir.rstrip("/")
+    base = qualified(spark, [Root(projects_dir, SOURCE_A)])[0].path
     lines = read_lines(spark, [Root(base, SOURCE_A, tree=True)])
     if lines is None:
         return []
@@ -57,7 +57,7 @@ def _index_paths(root: Root) -> list[str]:
 def index_names(spark: SparkSession, roots: list[Root]) -> DataFrame | None:
     """Renamed family-B threads per root: root_dir, id, name ('' where the name was cleared)."""
     parts = []
-    for root in (r for r in roots if r.source == SOURCE_B):
+    for root in qualified(spark, [r for r in roots if r.source == SOURCE_B]):
         found = [names.read_index(spark, p) for p in _index_paths(root)]
         latest = [names.latest_names(f) for f in found if f is not None]
         if latest:
