@@ -33,12 +33,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeated_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the line chunks that came earlier in the corpus; those of which nothing is left go."""
-    found = line_dedup.dedup(docs).select("d", "h", "copy", "clean", "n_removed")
-    rows = _keyed(docs).withColumn("copy", _copy()).join(found, ["d", "h", "copy"])
-    rows = rows.filter("n_removed = 0 OR trim(clean) <> ''")
+    rows = line_dedup.dedup(docs).filter("n_removed = 0 OR trim(clean) <> ''")
     changed = F.col("n_removed") > 0
-    out = {c: F.col(f"doc.`{c}`") for c in docs.columns}
-    out["text"] = F.when(changed, F.col("clean")).otherwise(F.col("doc.text"))
+    out = {c: F.col(f"doc.`{c}`") for c in docs.columns if c != "text"}
+    out = {c: out.get(c, F.col("clean")) for c in docs.columns}
     if "n_chars" in out:
         out["n_chars"] = F.when(changed, F.char_length("clean").cast("long")).otherwise(F.col("doc.n_chars"))
     return rows.select(*[c.alias(n) for n, c in out.items()])

@@ -86,32 +86,35 @@ def _texts(batches):
         yield pd.DataFrame(out, columns=["d", "h", "copy", "line", "key", "keeper", "body"])
 
 
-def _cut(batches):
-    for rows in batches:
-        kept = []
-        for text, spans in zip(rows["text"], rows["gone"], strict=True):
-            if text is None or spans is None:
-                kept.append((text, 0, 0))
-                continue
-            lines = text.split("\n")
-            for s in spans:
-                lines[s["line"] : s["line"] + s["n"]] = [None] * s["n"]
-            left = [x for x in lines if x is not None]
-            kept.append(("\n".join(left), len(spans), len(lines) - len(left)))
-        cut = pd.DataFrame(kept, columns=["clean", "n_removed", "lines_removed"])
-        yield pd.concat([rows.drop(columns=["gone"]).reset_index(drop=True), cut], axis=1)
+def _cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    kept = []
+    for whole, spans in zip(text, gone, strict=True):
+        if whole is None or spans is None:
+            kept.append((whole, 0, 0))
+            continue
+        lines = whole.split("\n")
+        for s in spans:
+            lines[s["line"] : s["line"] + s["n"]] = [None] * s["n"]
+        left = [x for x in lines if x is not None]
+        kept.append(("\n".join(left), len(spans), len(lines) - len(left)))
+    return pd.DataFrame(kept, columns=["clean", "n_removed", "lines_removed"])
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(d, h, copy, text): rows that agree in d and h have equal texts, so any numbering of them is the same."""
-    rows = docs.select(*row_key(docs), column(docs, "text", "string").alias("text"))
+    """(d, h, copy, text, doc), written once: ``doc`` holds the other columns.
+
+    Rows that agree in d and h have equal texts, so any numbering of them is the same.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    doc = F.struct(*others) if others else F.lit(None).cast("struct<none:int>")
+    rows = docs.select(*row_key(docs), column(docs, "text", "string").alias("text"), doc.alias("doc"))
     copy = F.row_number().over(Window.partitionBy("d", "h").orderBy("text")) - 1
-    return rows.withColumn("copy", copy).select("d", "h", "copy", "text")
+    return stage(rows.withColumn("copy", copy).select("d", "h", "copy", "text", "doc"), "numbered")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """(d, h, copy, line, n) of each chunk to remove: byte-equal to an earlier one."""
-    slim = _numbered(docs)
+def repeated(rows: DataFrame) -> DataFrame:
+    """(d, h, copy, line, n) of each chunk to remove from numbered rows: byte-equal to an earlier one."""
+    slim = rows.select("d", "h", "copy", "text")
     spans = stage(slim.mapInPandas(_spans, CHUNK), "chunks")
     place = F.struct("d", "h", "copy", "line")
     firsts = spans.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
@@ -125,7 +128,12 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """(d, h, copy, text, clean, n_removed, lines_removed) of each row: its text with and without the removed chunks."""
-    gone = repeated(docs).groupBy("d", "h", "copy").agg(F.collect_list(F.struct("line", "n")).alias("gone"))
-    rows = _numbered(docs).join(gone, ["d", "h", "copy"], "left").select("d", "h", "copy", "text", "gone")
-    return rows.mapInPandas(_cut, "d long, h int, copy int, text string, clean string, n_removed int, lines_removed int")
+    """(d, h, copy, text, doc, clean, n_removed, lines_removed) of each row: its text with and without the removed chunks.
+
+    ``doc`` holds the other columns of the row.
+    """
+    rows = _numbered(docs)
+    gone = repeated(rows).groupBy("d", "h", "copy").agg(F.collect_list(F.struct("line", "n")).alias("gone"))
+    cut = F.pandas_udf(_cut, "clean string, n_removed int, lines_removed int")
+    found = rows.join(gone, ["d", "h", "copy"], "left").withColumn("cut", cut("text", "gone"))
+    return found.select("d", "h", "copy", "text", "doc", "cut.*")
