@@ -162,6 +162,30 @@ def test_line_dedup_removes_later_chunks(spark):
     assert twice[0] == rows[0][1] and len(twice[1]) < len(twice[0])
 
 
+def test_line_dedup_removes_whole_passages(spark):
+    """Runs of lines of any length, and runs of 50 words or more that begin and end inside lines."""
+    rnd = random.Random(14)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    line = lambda n: " ".join(words(n))
+    rows, want = [], {}
+    for i in range(0, 40, 2):  # whole lines below 50 words between foreign ones
+        passage = [line(rnd.randrange(3, 49)) for _ in range(rnd.randrange(2, 9))]
+        own = [line(6), line(7)]
+        rows += [(i, "\n".join([line(5), *passage, line(5)])), (i + 1, "\n".join([own[0], *passage, own[1]]))]
+        want[i + 1] = "\n".join(own)
+    for i in range(100, 160, 2):  # parts of lines, in other line breaks
+        passage, own = words(rnd.randrange(50, 120)), [line(4), line(5)]
+        at = rnd.randrange(1, len(passage))
+        rows += [(i, f"{line(3)} {' '.join(passage)} {line(3)}"), (i + 1, f"{own[0]} {' '.join(passage[:at])}\n{' '.join(passage[at:])} {own[1]}")]
+        want[i + 1] = f"{own[0]} \n{own[1]}"
+    short = words(49)
+    rows += [(200, f"{line(3)} {' '.join(short)} {line(3)}"), (201, f"{line(3)} {' '.join(short)} {line(3)}"), (202, "a b\n" * 4 + "a b")]
+    want |= {200: rows[-3][1], 201: rows[-2][1], 202: "a b\na b"}
+    want |= {i: t for i, t in rows if i < 200 and i % 2 == 0}
+    got = {r["d"]: r["clean"] for r in line_dedup.dedup(docs_of(spark, rows)).collect()}
+    assert got == want
+
+
 def test_fingerprint_likeness(spark):
     rnd = random.Random(6)
     rows = [(i, " ".join(f"w{rnd.randrange(500)}" for _ in range(300))) for i in range(20)] + [(20, None), (21, "")]

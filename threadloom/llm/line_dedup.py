@@ -1,89 +1,154 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup: passages of several lines, or of many words, that came earlier in the corpus are removed.
 
-A hash of each line feeds a rolling hash over ``WINDOW`` lines; a line whose rolling hash is 0
-modulo ``DIVISOR`` ends a chunk. Boundaries depend on nearby lines only, so they return after an
-insertion or deletion. A line of ``LONG_WORDS`` words or more is a chunk by itself: it is a passage
-already. A chunk of several lines (or one long line) that occurs elsewhere in the corpus too is
-removed everywhere but at its first place (least doc_id, then least line), once its bytes have
-been compared with those of the first.
+A passage is two neighbouring lines (with the blank ones up to the next line with words), equal in every
+byte, or ``LONG_WORDS`` words in a row, equal in every word, wherever in their lines they begin and end.
+Each place of a passage but the first (least doc_id, then least place) is removed, and what lies in
+overlapping passages goes as one run; so a run of any length goes whole. Lines that keep no word go
+with their line ends, other lines keep the words around the run. Where a passage overlaps its own first
+place, that place stays. Each removed word stays somewhere earlier: first places only get less down a chain.
 
-Null and empty texts have no chunks. Chunks of blank lines only are kept. Repeated doc_ids are told
+Windows of words would be as many as words. So a text first gives content-defined anchors: of the
+runs of ``ANCHOR`` words in each window, the one with the least hash. Equal windows have equal anchors,
+so only windows whose anchor occurs again are keyed. Keys are 128-bit BLAKE2 digests of the
+passages' bytes, which are compared instead of the passages.
+
+Null and empty texts have no passages; blank lines alone are none. Repeated doc_ids are told
 apart by a hash of the text; equal rows with equal ids are copies of each other in the order of
 their ``copy`` number. Only doc_id and text are read; other columns, whatever their names, stay.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
+from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from threadloom.llm.common import column, row_key, ship
+from threadloom.llm.common import column, global_rank, row_key, ship
 from threadloom.session import stage
 
 ship(__name__)
 
-WINDOW = 2
-DIVISOR = 3
 LONG_WORDS = 50
+#: Words of an anchor; a window of LONG_WORDS words holds LONG_WORDS - ANCHOR + 1 such runs.
+ANCHOR = 19
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+WORD = re.compile(r"\S+")
+LINES, WORDS = 0, 1
 
 
-def line_hash(line: str) -> int:
-    return int.from_bytes(hashlib.md5(line.encode()).digest()[:4], "big")
+def digest(data: bytes) -> bytes:
+    return blake2b(data, digest_size=16).digest()
 
 
-def chunks(text: str) -> list[tuple[int, int, bool]]:
-    """(first line, lines, removable) of each chunk of a text."""
-    if not text:
-        return []
+def line_pairs(text: str) -> list[tuple[int, int, bytes]]:
+    """(first line, lines, key) of each passage of two lines of a text."""
     lines = text.split("\n")
-    hashes = [line_hash(x) for x in lines]
-    out, start, rolling = [], 0, 0
-    words = [len(x.split()) for x in lines]
-
-    def close(end: int) -> None:
-        if end > start:
-            n = end - start
-            out.append((start, n, (n > 1 and any(words[start:end])) or words[start] >= LONG_WORDS))
-
-    for i in range(len(lines)):
-        rolling += hashes[i] - (hashes[i - WINDOW] if i >= WINDOW else 0)
-        if words[i] >= LONG_WORDS:
-            close(i)
-            start = i
-        if words[i] >= LONG_WORDS or rolling % DIVISOR == 0:
-            close(i + 1)
-            start = i + 1
-    close(len(lines))
+    solid = [i for i, x in enumerate(lines) if x.strip()]
+    out, at = [], 0
+    for i in range(len(lines) - 1):
+        while at < len(solid) and solid[at] <= i:
+            at += 1
+        if lines[i].strip():
+            end = i + 2
+        elif at < len(solid):
+            end = solid[at] + 1
+        else:
+            break
+        out.append((i, end - i, digest("\n".join(lines[i:end]).encode())))
     return out
 
 
-CHUNK = "d long, h int, copy int, line int, n int, key binary"
-
-
-def _spans(batches):
+def anchors(words: list[str], seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of LONG_WORDS words, the place of its anchor; for each place, the hash of the words there."""
+    if len(words) < LONG_WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    codes = np.empty(len(words), np.uint64)
+    for i, w in enumerate(words):
+        code = seen.get(w)
+        if code is None:
+            code = xxhash.xxh3_64_intdigest(w)
+            if len(seen) < 1 << 18:
+                seen[w] = code
+        codes[i] = code
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(len(words) - 1, BASE, np.uint64)], dtype=np.uint64)
+    back = np.cumprod(np.r_[np.uint64(1), np.full(len(words) - 1, INVERSE, np.uint64)], dtype=np.uint64)
+    sums = np.r_[np.uint64(0), np.cumsum(codes * powers, dtype=np.uint64)]
+    h = (sums[ANCHOR:] - sums[:-ANCHOR]) * back[: len(words) - ANCHOR + 1]
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    windows = np.lib.stride_tricks.sliding_window_view(h, LONG_WORDS - ANCHOR + 1)
+    return windows.argmin(1) + np.arange(len(windows)), h
+
+
+PLACE = "d long, h int, rid long, at int, n int, key binary"
+
+
+def _pairs(batches):
     for rows in batches:
         out = []
-        for d, h, copy, text in zip(rows["d"], rows["h"], rows["copy"], rows["text"], strict=True):
-            lines = text.split("\n") if text else []
-            for at, n, removable in chunks(text):
-                if removable:
-                    key = hashlib.md5("\n".join(lines[at : at + n]).encode()).digest()
-                    out.append((d, h, copy, at, n, key))
-        yield pd.DataFrame(out, columns=["d", "h", "copy", "line", "n", "key"])
+        for d, h, rid, text in zip(rows["d"], rows["h"], rows["rid"], rows["text"], strict=True):
+            out += [(d, h, rid, *x) for x in line_pairs(text)] if text else []
+        yield pd.DataFrame(out, columns=["d", "h", "rid", "at", "n", "key"])
 
 
-def _texts(batches):
+def _anchors(batches):
+    seen: dict[str, int] = {}
     for rows in batches:
-        out = []
-        for d, h, copy, text, spans in zip(rows["d"], rows["h"], rows["copy"], rows["text"], rows["spans"], strict=True):
-            lines = text.split("\n")
-            for s in spans:
-                out.append((d, h, copy, s["line"], s["key"], bool(s["keeper"]), "\n".join(lines[s["line"] : s["line"] + s["n"]])))
-        yield pd.DataFrame(out, columns=["d", "h", "copy", "line", "key", "keeper", "body"])
+        rids, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for rid, text in zip(rows["rid"], rows["text"], strict=True):
+            at, h = anchors(text.split(), seen) if text else ((), ())
+            if len(at):
+                own = h[np.unique(at)].view(np.int64)
+                keys.append(own)
+                rids.append(np.full(len(own), rid, np.int64))
+        yield pd.DataFrame({"rid": np.concatenate(rids), "a": np.concatenate(keys)})
+
+
+def _windows(batches):
+    seen: dict[str, int] = {}
+    for rows in batches:
+        for d, h, rid, text, again in zip(rows["d"], rows["h"], rows["rid"], rows["text"], rows["again"], strict=True):
+            words = text.split()
+            at, hashes = anchors(words, seen)
+            some = np.flatnonzero(np.isin(hashes.view(np.int64), np.asarray(again, np.int64))[at])
+            coded = [w.encode() for w in words]
+            ends = np.cumsum([len(w) + 1 for w in coded]).tolist()
+            whole = b" ".join(coded)
+            keys = [digest(whole[ends[i - 1] if i else 0 : ends[i + LONG_WORDS - 1] - 1]) for i in some.tolist()]
+            yield pd.DataFrame({"d": d, "h": h, "rid": rid, "at": some.astype(np.int32), "n": LONG_WORDS, "key": keys})
+
+
+def cut(text: str, spans: list) -> tuple[str, int, int]:
+    """(text without the spans (kind, first, end), runs of words removed, whole lines removed)."""
+    lines = text.split("\n")
+    found = [list(WORD.finditer(x)) for x in lines]
+    starts = np.r_[0, np.cumsum([len(x) for x in found])]
+    blanks, gone = np.zeros(len(lines), bool), np.zeros(starts[-1], bool)
+    for kind, first, end in spans:
+        if kind == LINES:
+            blanks[first:end] = True
+            first, end = starts[first], starts[end]
+        gone[first:end] = True
+    out = []
+    for line, own, at, blank in zip(lines, found, starts.tolist(), blanks.tolist(), strict=False):
+        marks = gone[at : at + len(own)]
+        if not own:
+            if not (blank or gone[max(0, at - 1) : at + 1].sum() == 2):
+                out.append(line)
+        elif not marks.any():
+            out.append(line)
+        elif not marks.all():
+            ends = [m.start() for m in own[1:]] + [len(line)]
+            left = [line[m.start() : e] for m, e, x in zip(own, ends, marks.tolist(), strict=True) if not x]
+            out.append(line[: own[0].start()] + "".join(left))
+    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
+    return "\n".join(out), runs, len(lines) - len(out)
 
 
 def _cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
@@ -91,49 +156,59 @@ def _cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
     for whole, spans in zip(text, gone, strict=True):
         if whole is None or spans is None:
             kept.append((whole, 0, 0))
-            continue
-        lines = whole.split("\n")
-        for s in spans:
-            lines[s["line"] : s["line"] + s["n"]] = [None] * s["n"]
-        left = [x for x in lines if x is not None]
-        kept.append(("\n".join(left), len(spans), len(lines) - len(left)))
+        else:
+            kept.append(cut(whole, [(s["kind"], s["first"], s["end"]) for s in spans]))
     return pd.DataFrame(kept, columns=["clean", "n_removed", "lines_removed"])
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(d, h, copy, text, doc), written once: ``doc`` holds the other columns.
-
-    Rows that agree in d and h have equal texts, so any numbering of them is the same.
-    """
+    """(rid, d, h, text, doc), written once: ``rid`` numbers the rows, ``doc`` holds the other columns."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     doc = F.struct(*others) if others else F.lit(None).cast("struct<none:int>")
     rows = docs.select(*row_key(docs), column(docs, "text", "string").alias("text"), doc.alias("doc"))
-    copy = F.row_number().over(Window.partitionBy("d", "h").orderBy("text")) - 1
-    return stage(rows.withColumn("copy", copy).select("d", "h", "copy", "text", "doc"), "numbered")
+    return stage(rows.withColumn("rid", F.monotonically_increasing_id()), "numbered")
+
+
+def _copies(rows: DataFrame) -> DataFrame | None:
+    """(rid, copy) of the rows that share d and h with another; None if there are none. Texts are not moved."""
+    slim = rows.select("d", "h", "rid")
+    again = slim.groupBy("d", "h").count().filter("count > 1").select("d", "h")
+    if not again.limit(1).count():
+        return None
+    ranked = stage(global_rank(slim.join(again, ["d", "h"]), ["d", "h", "rid"], "copies"), "copies")
+    first = ranked.groupBy("d", "h").agg(F.min("rank").alias("low"))
+    return ranked.join(first, ["d", "h"]).select("rid", (F.col("rank") - F.col("low")).cast("int").alias("copy"))
+
+
+def _later(places: DataFrame, kind: int) -> DataFrame:
+    """(rid, kind, first, end) of each place of a key after its first, without what overlaps the first."""
+    place = F.struct("d", "h", "rid", "at")
+    firsts = places.groupBy("key").agg(F.min(place).alias("f"), F.count("*").alias("times")).filter("times > 1")
+    later = places.join(firsts.select("key", "f"), "key").filter(place != F.col("f"))
+    own = F.when(F.col("f.rid") == F.col("rid"), F.greatest(F.col("at"), F.col("f.at") + F.col("n"))).otherwise(F.col("at"))
+    return later.select("rid", F.lit(kind).alias("kind"), own.alias("first"), (F.col("at") + F.col("n")).alias("end"))
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """(d, h, copy, line, n) of each chunk to remove from numbered rows: byte-equal to an earlier one."""
-    slim = rows.select("d", "h", "copy", "text")
-    spans = stage(slim.mapInPandas(_spans, CHUNK), "chunks")
-    place = F.struct("d", "h", "copy", "line")
-    firsts = spans.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
-    shared = spans.join(firsts.select("key", "first"), "key").withColumn("keeper", place == F.col("first"))
-    marked = shared.groupBy("d", "h", "copy").agg(F.collect_list(F.struct("line", "n", "key", "keeper")).alias("spans"))
-    bodies = slim.join(marked, ["d", "h", "copy"]).select("d", "h", "copy", "text", "spans")
-    bodies = stage(bodies.mapInPandas(_texts, "d long, h int, copy int, line int, key binary, keeper boolean, body string"), "bodies")
-    kept = bodies.filter("keeper").select("key", F.col("body").alias("first_body"))
-    same = bodies.filter("NOT keeper").join(kept, "key").filter("body = first_body").select("d", "h", "copy", "line")
-    return stage(same.join(spans.select("d", "h", "copy", "line", "n"), ["d", "h", "copy", "line"]), "repeated")
+    """(rid, kind, first, end) of what goes from numbered rows: LINES or WORDS from first to before end."""
+    slim = rows.select("d", "h", "rid", "text")
+    pairs = stage(slim.mapInPandas(_pairs, PLACE), "pairs")
+    marks = stage(rows.select("rid", "text").mapInPandas(_anchors, "rid long, a long"), "anchors")
+    shared = marks.groupBy("a").count().filter("count > 1").select("a")
+    again = marks.join(shared, "a").groupBy("rid").agg(F.collect_set("a").alias("again"))
+    windows = stage(slim.join(again, "rid").mapInPandas(_windows, PLACE), "windows")
+    return _later(pairs, LINES).union(_later(windows, WORDS))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """(d, h, copy, text, doc, clean, n_removed, lines_removed) of each row: its text with and without the removed chunks.
+    """(d, h, copy, text, doc, clean, n_removed, lines_removed) of each row: its text with and without the removed passages.
 
-    ``doc`` holds the other columns of the row.
+    ``n_removed`` counts the runs removed, ``lines_removed`` the lines that went whole. ``doc`` holds the other columns of the row.
     """
     rows = _numbered(docs)
-    gone = repeated(rows).groupBy("d", "h", "copy").agg(F.collect_list(F.struct("line", "n")).alias("gone"))
-    cut = F.pandas_udf(_cut, "clean string, n_removed int, lines_removed int")
-    found = rows.join(gone, ["d", "h", "copy"], "left").withColumn("cut", cut("text", "gone"))
+    gone = repeated(rows).groupBy("rid").agg(F.collect_list(F.struct("kind", "first", "end")).alias("gone"))
+    copies = _copies(rows)
+    out_cut = F.pandas_udf(_cut, "clean string, n_removed int, lines_removed int")
+    found = rows.join(gone, "rid", "left").withColumn("cut", out_cut("text", "gone"))
+    found = found.withColumn("copy", F.lit(0)) if copies is None else found.join(copies, "rid", "left").withColumn("copy", F.coalesce("copy", F.lit(0)))
     return found.select("d", "h", "copy", "text", "doc", "cut.*")
