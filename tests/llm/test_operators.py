@@ -57,6 +57,18 @@ def test_license_places_and_templates(spark):
     assert got[4]["base_labels"] == "gpl" and got[4]["n_words"] == 204
 
 
+def test_license_notices_wrapped_over_lines(spark):
+    rows = []
+    for n, (notice, _) in enumerate(license_scan.TEMPLATES):
+        words = ["zz"] * (n * 7) + notice.split() + ["yy"] * 50
+        rows += [(n * 100 + w, "\n".join(" ".join(words[i : i + w]) for i in range(0, len(words), w))) for w in (1, 2, 5, 7, 10)]
+    rows.append((5000, "Redistribution and use in source and binary forms, with or without\n * modification, are permitted"))
+    got = {r["doc_id"]: r for r in license_scan.scan(docs_of(spark, rows)).collect()}
+    for i, _ in rows[:-1]:
+        assert license_scan.TEMPLATES[i // 100][1] in got[i]["labels"].split(",") and got[i]["score"] == 1.0
+    assert got[5000]["labels"] == "bsd" and got[5000]["score"] == 1.0
+
+
 def brute_components(rows, width, percent):
     def shingles(text):
         words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\n", " ").split(" ") if w]

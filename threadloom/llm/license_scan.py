@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join between text blocks and license templates.
 
-Blocks are the lines of a text, longer lines as overlapping windows of ``BLOCK_WORDS`` words. A
+Blocks are the lines of a text and, as a notice may be wrapped, the text as a whole, both as overlapping
+windows of ``BLOCK_WORDS`` words where they are longer; any run of half as many words lies in a window whole. A
 block meets a template when it holds at least ``CONTAINMENT`` of the template's distinct words.
 Words are put in one global order, rarest in the corpus first. The least shared word of a pair
 that meets the threshold lies in the template's prefix (all but ``need - 1`` of its words), the
@@ -104,9 +105,10 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]], containment: floa
     spark = docs.sparkSession
     prefixes = spark.createDataFrame(index, "w string, template int, label string, p int, size int, need int, words array<string>")
     rare = sorted({x[0] for x in index})
-    lines = rows.filter(F.arrays_overlap(F.split("t", SPLIT), _strings(rare))).select(
-        "d", "h", F.explode(F.split("t", "\n")).alias("line")
-    )
+    some = rows.filter(F.arrays_overlap(F.split("t", SPLIT), _strings(rare)))
+    # lines, and the whole text if it has several, for what is wrapped over them
+    parts = F.concat(F.split("t", "\n"), F.when(F.contains("t", F.lit("\n")), F.array("t")).otherwise(F.array().cast("array<string>")))
+    lines = some.select("d", "h", F.explode(parts).alias("line"))
     lines = lines.select("d", "h", F.split("line", SPLIT).alias("ws")).filter(F.arrays_overlap("ws", _strings(rare)))
     lines = lines.withColumn("ws", F.filter("ws", lambda w: w != ""))
     half = BLOCK_WORDS // 2
