@@ -273,6 +273,19 @@ def test_quotes_link_and_order(spark):
     assert (far["source_conv"], far["source_turn"], far["parent_turn"]) == (1, 0, None)
 
 
+def test_quotes_of_parts_link(spark):
+    rows = [(1, 0, "u", "Line one.\nLine two.\nLine three."), (1, 1, "a", "> Line one.\n> line TWO.\nyes"),
+            (1, 2, "u", "First par.\n\nSecond par.\n\nThird par."), (1, 3, "a", "> First par.\n>\n> Second par.\nok"),
+            (1, 4, "a", "> Line three.\nfrag a\nfrag b\n> Third par.\nfrag c"), (1, 5, "u", "> frag a\n> frag b\nsure"),
+            (2, 0, "u", "> Said later.\nhm"), (2, 1, "a", "Said later."), (3, 0, "u", "Said later."),
+            (4, 0, "u", "a\nlonger line here"), (4, 1, "a", "a"), (4, 2, "u", "> a\n> longer line here\n> foreign\nfine")]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: r["parent_turn"] for k, r in got.items() if r["parent_turn"] is not None} == {
+        (1, 1): 0, (1, 3): 2, (1, 4): 2, (1, 5): 4, (4, 2): 0}
+    assert (got[1, 4]["n_quotes"], got[1, 4]["n_linked"]) == (2, 2) and got[1, 1]["n_linked"] == 1
+    assert (got[2, 0]["source_conv"], got[2, 0]["source_turn"]) == (3, 0)
+
+
 def test_toxicity_on_held_out_documents(spark):
     rnd = random.Random(9)
     plain, rude = [f"w{rnd.choice('abcdef')}{i}" for i in range(200)], ["zorkish", "quaggy", "vexling"]
