@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.llm import kneser_ney, line_dedup, mixing, ngram_join, packing
-from threadloom.llm.common import row_key, table
-from threadloom.session import scratch_dir
+from threadloom.llm.common import NULL_ID, row_key, table
+from threadloom.session import scratch_dir, stage
 
 #: Near duplicates here: five words, similarity 0.8 or more.
 SHINGLE_WORDS = 5
@@ -43,11 +43,16 @@ def without_repeated_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id."""
-    found = ngram_join.join(docs, SHINGLE_WORDS, SHINGLE_PERCENT).select("d", "h", "component_id").distinct()
-    rows = _keyed(docs).withColumn("copy", _copy()).join(found, ["d", "h"])
-    first = F.col("component_id").isNull() | ((F.col("d") == F.col("component_id")) & (F.col("copy") == 0))
-    return rows.filter(first).select("doc.*")
+    """One document of each group of near copies: the one with the least id, null ids last.
+
+    Rows are compared under numbers of their own, so null and repeated ids are like others. Rows without words stay.
+    """
+    rows = stage(_keyed(docs).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    found = ngram_join.join(rows.select(F.col("rid").alias("doc_id"), F.col("doc.text").alias("text")), SHINGLE_WORDS, SHINGLE_PERCENT)
+    found = found.select(F.col("doc_id").alias("rid"), "component_id").join(rows.select("rid", "d", "h"), "rid")
+    least = F.min(F.struct((F.col("d") == NULL_ID).alias("no_id"), "d", "h", "rid"))
+    kept = found.groupBy("component_id").agg(least.alias("first")).select(F.col("first.rid").alias("rid"))
+    return rows.join(kept, "rid", "left_semi").select("doc.*")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

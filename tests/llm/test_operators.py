@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from threadloom.llm import fingerprint, kneser_ney, license_scan, line_dedup, mixing, ngram_join, packing, quotes, topk, warc
 
 DOCS = "doc_id long, text string, source string, d string, h int, copy string"
@@ -303,3 +304,13 @@ def test_toxicity_on_held_out_documents(spark):
     held = [(r["score"], r["doc_id"] % 4 == 0) for r in got if r["doc_id"] % 3 == 1]
     right = sum((s >= 0.7) == t for s, t in held)
     assert right >= 0.95 * len(held)
+
+
+def test_one_of_near_copies_with_null_and_repeated_ids(spark):
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(None, words("a", 80) + x) for x in ("", " x", " y", " y")] + [(7, words("b", 80) + x) for x in ("", " x", " y")]
+    rows += [(9, words("c", 80)), (None, words("c", 80) + " x"), (3, words("c", 80) + " y")] + [(5, ""), (5, ""), (None, None), (None, " ")]
+    got = corpus_pipeline.one_of_near_copies(spark, docs_of(spark, rows), "").collect()
+    kept = Counter((r["doc_id"], (r["text"] or " ").split(" ")[0]) for r in got)
+    assert kept == {(None, "a0"): 1, (7, "b0"): 1, (3, "c0"): 1, (5, ""): 2, (None, ""): 2}
+    assert set(got[0].asDict()) == {"doc_id", "text", "source", "d", "h", "copy"}
