@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import fingerprint, kneser_ney, license_scan, line_dedup, mixing, ngram_join, packing, quotes, topk, warc
+from threadloom.llm import crosstok, fingerprint, html_text, kneser_ney, license_scan, line_dedup, merkle, mixing, ngram_join, packing, quotes, topk, warc
 from threadloom.llm.common import doc_id_of, table
 
 THRESHOLD = kneser_ney.THRESHOLD
@@ -64,9 +64,23 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.char_length(clean).cast("long").alias("n_chars"), F.sha2(F.encode(clean, "UTF-8"), 256).alias("clean_sha256"))
 
 
+def op11_crosstok_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return crosstok.link(table(spark, sf, "documents"))
+
+
+def op12_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(table(spark, sf, "pages"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return merkle.prove(docs, merkle.without_line_ends(docs)).drop("proof")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_exact_topk, op3_best_fit_packing, op4_ngram_jaccard, op5_quotation_linking,
     op6_fingerprints, op7_warc_transactions, op8_source_mixing, op9_toxicity, op10_line_dedup,
+    op11_crosstok_alignment, op12_html_text, op13_merkle_manifest,
 )}
 
 OP2_SQL = """
@@ -106,4 +120,5 @@ SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, (SELECT min(c) FROM r WHERE r.do
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op2_exact_topk": OP2_SQL, "op4_ngram_jaccard": OP4_SQL, "op7_warc_transactions": OP7_SQL}
+    return {"op1_license_scan": license_scan.oracle(), "op2_exact_topk": OP2_SQL, "op4_ngram_jaccard": OP4_SQL, "op7_warc_transactions": OP7_SQL,
+            "op13_merkle_manifest": merkle.ORACLE}
