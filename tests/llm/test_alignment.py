@@ -86,10 +86,24 @@ def test_memo_and_long_windows_give_the_same(spark):
         ids = a.ids([text])[0], b.ids([text])[0]
         once, again = memo.document(text, *ids), crosstok.Memo(a, b).document(text, *ids)
         assert once[:5] == again[:5]
-        whole, pairs = crosstok.align(ids[0].tolist(), ids[1].tolist(), a.lengths[ids[0]].tolist(), b.lengths[ids[1]].tolist())
+        whole, pairs = crosstok.align(ids[0].tolist(), ids[1].tolist(), a.lengths.tolist(), b.lengths.tolist(), memo.names)
         assert once[4] == hashlib.sha256(whole.encode()).hexdigest() and once[3] == len(pairs)
 
 
+def test_quick_encoder_gives_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    path = crosstok.tokenizer_paths()[0]
+    slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = True
+    a = side_tokens()[0]
+    assert crosstok.quick_encoder(path, a.tokens) is not None
+    rng = random.Random(5)
+    parts = ["'s", "'LL", " ", "  ", "\n", "\r\n", "\t", "é", "1", "23", "a", "the", "?!", "<|endoftext|>", "😀", "日本", "\u3000", "\xa0", "\x00", "İ", "²", "Ⅷ"]
+    texts = [t for t in TEXTS if t] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(2000)]
+    assert [x.tolist() for x in a.ids(texts)] == [slow.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
 def test_every_byte_has_its_letter():
     letters = crosstok.byte_of_letter()
     assert sorted(letters.values()) == list(range(256)) and letters["Ġ"] == 32 and letters["Ċ"] == 10
