@@ -160,43 +160,88 @@ def test_packing_solver_is_close_to_the_bound():
         assert sum(t for _, t in plan) <= bound * 1.06  # the bound may lie below the best packing
 
 
-def test_line_dedup_removes_later_chunks(spark):
+def prose(rnd, n):
+    """About n words in sentences of three to fifteen."""
+    out = []
+    while len(out) < n:
+        out += [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(3, 15))]
+        out[-1] += rnd.choice(".,;!")
+    return out
+
+
+def planted(rnd):
+    """Rows, and per later row the words of its own that must stay."""
+    rows, own = [], {}
+    for i in range(0, 200, 2):
+        passage, left, right = prose(rnd, rnd.randint(60, 150)), prose(rnd, 8)[:7], prose(rnd, 9)[1:]
+        breaks = " " if i % 4 else "\n"
+        rows.append((i, " ".join(prose(rnd, 6) + passage + prose(rnd, 6))))
+        rows.append((i + 1, " ".join(left) + breaks + " ".join(passage) + breaks + " ".join(right)))
+        own[i + 1] = left + right
+    return rows, own
+
+
+def brute_matches(rows):
+    """(row, start, end) of each repeated chunk, grown within whole texts, by dictionaries."""
+    own = {n: line_dedup.chunks(t) if t else [] for n, (_, t) in enumerate(rows)}
+    order = sorted(own, key=lambda n: (rows[n][0] is not None, rows[n][0] or 0, n))
+    first, out = {}, []
+    for n in order:
+        for no, (at, end, _) in enumerate(own[n]):
+            body = rows[n][1][at:end].strip()
+            if len(body.split()) < line_dedup.CHUNK_WORDS:
+                continue
+            m, k = first.setdefault(body, (n, no))
+            if (m, k) == (n, no):
+                continue
+            stop = at + len(rows[n][1][at:end].rstrip())
+            if m == n:
+                out.append((n, at, stop))
+                continue
+            low, high = own[n][max(0, no - line_dedup.REACH)][0], own[n][min(len(own[n]) - 1, no + line_dedup.REACH)][1]
+            low0, high0 = own[m][max(0, k - line_dedup.REACH)][0], own[m][min(len(own[m]) - 1, k + line_dedup.REACH)][1]
+            grown = line_dedup.same_end(rows[n][1][low:at], rows[m][1][low0 : own[m][k][0]])
+            after = line_dedup.same_start(rows[n][1][end:high], rows[m][1][own[m][k][1] : high0])
+            out.append((n, at - grown, end + after if after else stop))
+    return out
+
+
+def test_line_dedup_equals_dictionaries_of_chunks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SALT_ROWS", 2)
     rnd = random.Random(4)
-    line = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(8))
-    passage = [line() for _ in range(12)]
-    long = " ".join(f"p{i}" for i in range(60))
-    rows = [(i, "\n".join([line(), line(), *passage, line()])) for i in range(5)] + [(10, f"a b\n{long}\nc d"), (11, f"e f\n{long}"), (12, "short\nlines")]
-    got = {r["d"]: r for r in line_dedup.dedup(docs_of(spark, rows)).collect()}
-    assert got[0]["n_removed"] == 0 and got[10]["n_removed"] == 0 and got[12]["clean"] == "short\nlines"
-    assert got[11]["clean"] == "e f"
-    for i in range(1, 5):
-        assert got[i]["lines_removed"] >= 6 and set(got[i]["clean"].split("\n")) <= set(rows[i][1].split("\n"))
-    twice = {r["copy"]: r["clean"] for r in line_dedup.dedup(docs_of(spark, [(1, rows[0][1])] * 2)).collect()}
-    assert twice[0] == rows[0][1] and len(twice[1]) < len(twice[0])
-
-
-def test_line_dedup_removes_whole_passages(spark):
-    """Runs of lines of any length, and runs of 50 words or more that begin and end inside lines."""
+    rows, _ = planted(rnd)
+    common = " ".join(prose(rnd, 80))
+    rows += [(300 + i, f"{' '.join(prose(rnd, 5))}\n{common}\n{' '.join(prose(rnd, 5))}") for i in range(12)]
+    rows += [(400, rows[0][1]), (None, rows[2][1]), (None, rows[2][1]), (401, None), (402, ""), (403, " \n\n "), (404, "}\n}\n" * 50), (405, f"{common}\n{common}")]
+    spans = {}
+    for n, at, end in brute_matches(rows):
+        spans.setdefault(n, []).append((at, end))
+    want = Counter((i, line_dedup.cut(t, spans[n])[0] if n in spans else t) for n, (i, t) in enumerate(rows))
+    found = line_dedup.dedup(docs_of(spark, rows).coalesce(1)).collect()
+    assert Counter((r["doc"]["doc_id"], r["clean"]) for r in found) == want
+    assert all((r["clean"] == r["text"]) == (r["n_removed"] == 0) for r in found)
+
+
+def test_line_dedup_finds_passages_and_keeps_the_rest(spark):
     rnd = random.Random(14)
-    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
-    line = lambda n: " ".join(words(n))
-    rows, want = [], {}
-    for i in range(0, 40, 2):  # whole lines below 50 words between foreign ones
-        passage = [line(rnd.randrange(3, 49)) for _ in range(rnd.randrange(2, 9))]
-        own = [line(6), line(7)]
-        rows += [(i, "\n".join([line(5), *passage, line(5)])), (i + 1, "\n".join([own[0], *passage, own[1]]))]
-        want[i + 1] = "\n".join(own)
-    for i in range(100, 160, 2):  # parts of lines, in other line breaks
-        passage, own = words(rnd.randrange(50, 120)), [line(4), line(5)]
-        at = rnd.randrange(1, len(passage))
-        rows += [(i, f"{line(3)} {' '.join(passage)} {line(3)}"), (i + 1, f"{own[0]} {' '.join(passage[:at])}\n{' '.join(passage[at:])} {own[1]}")]
-        want[i + 1] = f"{own[0]} \n{own[1]}"
-    short = words(49)
-    rows += [(200, f"{line(3)} {' '.join(short)} {line(3)}"), (201, f"{line(3)} {' '.join(short)} {line(3)}"), (202, "a b\n" * 4 + "a b")]
-    want |= {200: rows[-3][1], 201: rows[-2][1], 202: "a b\na b"}
-    want |= {i: t for i, t in rows if i < 200 and i % 2 == 0}
+    rows, own = planted(rnd)
+    rows += [(500 + i, "\n".join(["def f():", "    return 1", "}", "}", " ".join(prose(rnd, 40))])) for i in range(5)]
     got = {r["d"]: r["clean"] for r in line_dedup.dedup(docs_of(spark, rows)).collect()}
-    assert got == want
+    assert all(got[i] == t for i, t in rows if i not in own)  # first places, and repeated short lines, stay
+    gone = [i for i in own if got[i].split() == own[i]]
+    assert len(gone) >= 0.9 * len(own)
+    for i, t in rows:
+        if i in own and i not in gone:
+            assert not Counter(own[i]) - Counter(got[i].split())
+
+
+def test_line_dedup_growth_and_cut():
+    assert line_dedup.same_end("x aa bb ", "y aa bb ") == 6 and line_dedup.same_end("xaa bb ", "yaa bb ") == 3
+    assert line_dedup.same_start(" aa bbx", " aa bby") == 3 and line_dedup.same_start("aa", "aa") == 2 and line_dedup.same_start("ab", "a") == 0
+    long = " ".join(f"p{i}" for i in range(60))
+    assert line_dedup.cut(f"a b {long} c\nd", [(4, 4 + len(long))]) == ("a b c\nd", 1, 0)
+    assert line_dedup.cut(f"a\n{long}\n\n{long}\nb", [(2, 2 + len(long)), (4 + len(long), 4 + 2 * len(long))]) == ("a\nb", 1, 3)
+    assert line_dedup.cut("a. b. c.", [(0, 8)]) == ("a. b. c.", 0, 0)
 
 
 def test_fingerprint_likeness(spark):

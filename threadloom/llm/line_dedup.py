@@ -1,26 +1,25 @@
-"""Line dedup: passages of several lines, or of many words, that came earlier in the corpus are removed.
-
-A passage is two neighbouring lines (with the blank ones up to the next line with words), equal in every
-byte, or ``LONG_WORDS`` words in a row, equal in every word, wherever in their lines they begin and end.
-Each place of a passage but the first (least doc_id, then least place) is removed, and what lies in
-overlapping passages goes as one run; so a run of any length goes whole. Lines that keep no word go
-with their line ends, other lines keep the words around the run. Where a passage overlaps its own first
-place, that place stays. Each removed word stays somewhere earlier: first places only get less down a chain.
-
-Windows of words would be as many as words. So a text first gives content-defined anchors: of the
-runs of ``ANCHOR`` words in each window, the one with the least hash. Equal windows have equal anchors,
-so only windows whose anchor occurs again are keyed. Keys are 128-bit BLAKE2 digests of the
-passages' bytes, which are compared instead of the passages.
-
-Null and empty texts have no passages; blank lines alone are none. Repeated doc_ids are told
-apart by a hash of the text; equal rows with equal ids are copies of each other in the order of
-their ``copy`` number. Only doc_id and text are read; other columns, whatever their names, stay.
+"""Line dedup by content-defined chunks of lines: passages that came earlier in the corpus are removed.
+
+A text's units are its lines, and within lines the parts that punctuation ends. A hash of each unit feeds a rolling hash over ``WINDOW``
+units; where that is 0 modulo ``DIVISOR`` a chunk ends. Boundaries depend on the units nearby alone, so an insertion or
+deletion shifts none beyond them. A chunk that occurs again in the corpus is matched with its first place (least
+doc_id, then row and place): both carry their text into a join, which compares every byte. Where the neighbouring chunks do
+not match too, the match grows to both sides, by up to ``REACH`` chunks, as far as the words agree, so a passage goes whole even where
+it begins or ends inside a unit. Matches that meet or overlap are one run. A run of at least two units and ``RUN_WORDS``
+words, or of ``LONG_WORDS`` words, is removed; shorter repetitions, like single closing brackets or short lines, stay. Lines
+that keep no word go with their line ends, other lines keep the words around the run.
+
+Of equal passages the first place stays; matches inside one row do not grow. A passage is found if it holds a chunk of
+``CHUNK_WORDS`` words or more; README tells how many of the words of long repeated passages that leaves.
+
+Null and empty texts have no chunks; blank lines alone are none. Rows are numbered, so repeated and null ids (which come
+first) are rows like others, and equal rows go but for the first. Only doc_id and text are read; other columns, whatever
+their names, stay in ``doc``.
 """
 
 from __future__ import annotations
 
 import re
-from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -28,127 +27,165 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import column, global_rank, row_key, ship
+from threadloom.llm.common import column, row_key, ship
 from threadloom.session import stage
 
 ship(__name__)
 
+WINDOW = 2
+DIVISOR = 2
+CHUNK_WORDS = 4
+#: Chunks beside a match into which it may grow: boundaries there depend on what stands around the passage.
+REACH = 2
+RUN_WORDS = 30
 LONG_WORDS = 50
-#: Words of an anchor; a window of LONG_WORDS words holds LONG_WORDS - ANCHOR + 1 such runs.
-ANCHOR = 19
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Places of one chunk that meet its first text in one task.
+SALT_ROWS = 4096
+ROLL = 0x9E3779B97F4A7C15
+UNIT_END = re.compile(r"\n|[.!?,;:]+[ \t]+")
 WORD = re.compile(r"\S+")
-LINES, WORDS = 0, 1
-
-
-def digest(data: bytes) -> bytes:
-    return blake2b(data, digest_size=16).digest()
-
-
-def line_pairs(text: str) -> list[tuple[int, int, bytes]]:
-    """(first line, lines, key) of each passage of two lines of a text."""
-    lines = text.split("\n")
-    solid = [i for i, x in enumerate(lines) if x.strip()]
-    out, at = [], 0
-    for i in range(len(lines) - 1):
-        while at < len(solid) and solid[at] <= i:
-            at += 1
-        if lines[i].strip():
-            end = i + 2
-        elif at < len(solid):
-            end = solid[at] + 1
-        else:
-            break
-        out.append((i, end - i, digest("\n".join(lines[i:end]).encode())))
+CHUNKS = "d long, rid long, no int, at int, end int, low int, high int, key long"
+SLICES = "key long, salt int, first boolean, rid long, at int, end int, whole int, pre string, body string, post string"
+
+
+def unit_starts(text: str) -> list[int]:
+    """Where units start; the last entry is the text's length. Blank units belong to the one before."""
+    out = [0]
+    for m in UNIT_END.finditer(text):
+        if not text[out[-1] : m.end()].isspace():
+            out.append(m.end())
+        elif len(out) > 1:
+            out[-1] = m.end()
+    if out[-1] < len(text):
+        if len(out) > 1 and text[out[-1] :].isspace():
+            out.pop()
+        out.append(len(text))
     return out
 
 
-def anchors(words: list[str], seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of LONG_WORDS words, the place of its anchor; for each place, the hash of the words there."""
-    if len(words) < LONG_WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    codes = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        code = seen.get(w)
-        if code is None:
-            code = xxhash.xxh3_64_intdigest(w)
-            if len(seen) < 1 << 18:
-                seen[w] = code
-        codes[i] = code
-    powers = np.cumprod(np.r_[np.uint64(1), np.full(len(words) - 1, BASE, np.uint64)], dtype=np.uint64)
-    back = np.cumprod(np.r_[np.uint64(1), np.full(len(words) - 1, INVERSE, np.uint64)], dtype=np.uint64)
-    sums = np.r_[np.uint64(0), np.cumsum(codes * powers, dtype=np.uint64)]
-    h = (sums[ANCHOR:] - sums[:-ANCHOR]) * back[: len(words) - ANCHOR + 1]
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    windows = np.lib.stride_tricks.sliding_window_view(h, LONG_WORDS - ANCHOR + 1)
-    return windows.argmin(1) + np.arange(len(windows)), h
-
-
-PLACE = "d long, h int, rid long, at int, n int, key binary"
-
-
-def _pairs(batches):
+def chunks(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, key) of each chunk of a text, in characters."""
+    starts = unit_starts(text)
+    hashes = np.array([xxhash.xxh3_64_intdigest(text[i:j].strip()) for i, j in zip(starts, starts[1:], strict=False)], np.uint64)
+    if not len(hashes):
+        return []
+    rolling = hashes.copy()
+    for back in range(1, WINDOW):
+        rolling[back:] = rolling[back:] * np.uint64(ROLL) + hashes[:-back]
+    rolling ^= rolling >> np.uint64(32)
+    ends = (rolling % np.uint64(DIVISOR) == 0).nonzero()[0]
+    if not len(ends) or ends[-1] != len(hashes) - 1:
+        ends = np.append(ends, len(hashes) - 1)
+    bounds = [0, *[starts[e + 1] for e in ends.tolist()]]
+    return [(i, j, xxhash.xxh3_64_intdigest(text[i:j].strip()) - (1 << 63)) for i, j in zip(bounds, bounds[1:], strict=False)]
+
+
+def _chunks(batches):
     for rows in batches:
         out = []
-        for d, h, rid, text in zip(rows["d"], rows["h"], rows["rid"], rows["text"], strict=True):
-            out += [(d, h, rid, *x) for x in line_pairs(text)] if text else []
-        yield pd.DataFrame(out, columns=["d", "h", "rid", "at", "n", "key"])
+        for d, rid, text in zip(rows["d"], rows["rid"], rows["text"], strict=True):
+            own = chunks(text) if text else []
+            for no, (at, end, key) in enumerate(own):
+                if len(text[at:end].split(None, CHUNK_WORDS)) >= CHUNK_WORDS:
+                    low, high = own[max(no - REACH, 0)][0], own[min(no + REACH, len(own) - 1)][1]
+                    out.append((d, rid, no, at, end, low, high, key))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
 
 
-def _anchors(batches):
-    seen: dict[str, int] = {}
+def _slices(batches):
+    """Text of the repeated chunks of each row, with the neighbours' where a match may grow."""
     for rows in batches:
-        rids, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for rid, text in zip(rows["rid"], rows["text"], strict=True):
-            at, h = anchors(text.split(), seen) if text else ((), ())
-            if len(at):
-                own = h[np.unique(at)].view(np.int64)
-                keys.append(own)
-                rids.append(np.full(len(own), rid, np.int64))
-        yield pd.DataFrame({"rid": np.concatenate(rids), "a": np.concatenate(keys)})
-
-
-def _windows(batches):
-    seen: dict[str, int] = {}
-    for rows in batches:
-        for d, h, rid, text, again in zip(rows["d"], rows["h"], rows["rid"], rows["text"], rows["again"], strict=True):
-            words = text.split()
-            at, hashes = anchors(words, seen)
-            some = np.flatnonzero(np.isin(hashes.view(np.int64), np.asarray(again, np.int64))[at])
-            coded = [w.encode() for w in words]
-            ends = np.cumsum([len(w) + 1 for w in coded]).tolist()
-            whole = b" ".join(coded)
-            keys = [digest(whole[ends[i - 1] if i else 0 : ends[i + LONG_WORDS - 1] - 1]) for i in some.tolist()]
-            yield pd.DataFrame({"d": d, "h": h, "rid": rid, "at": some.astype(np.int32), "n": LONG_WORDS, "key": keys})
-
-
-def cut(text: str, spans: list) -> tuple[str, int, int]:
-    """(text without the spans (kind, first, end), runs of words removed, whole lines removed)."""
-    lines = text.split("\n")
-    found = [list(WORD.finditer(x)) for x in lines]
-    starts = np.r_[0, np.cumsum([len(x) for x in found])]
-    blanks, gone = np.zeros(len(lines), bool), np.zeros(starts[-1], bool)
-    for kind, first, end in spans:
-        if kind == LINES:
-            blanks[first:end] = True
-            first, end = starts[first], starts[end]
-        gone[first:end] = True
+        out = []
+        for rid, text, marks in zip(rows["rid"], rows["text"], rows["marks"], strict=True):
+            marks = sorted(marks, key=lambda m: m["no"])
+            for i, m in enumerate(marks):
+                first, at, end = bool(m["first"]), m["at"], m["end"]
+                before = marks[i - 1] if i else None
+                after = marks[i + 1] if i + 1 < len(marks) else None
+
+                def follows(a, b):
+                    return a is not None and b is not None and b["no"] == a["no"] + 1 and not a["first"] and not b["first"] and (
+                        a["rid0"] == b["rid0"] and b["no0"] == a["no0"] + 1)
+
+                grows = first or m["rid0"] != rid
+                pre = text[m["low"] : at] if first or grows and not follows(before, m) else None
+                post = text[end : m["high"]] if first or grows and not follows(m, after) else None
+                body = text[at:end]
+                for salt in range(m["salts"]) if first else [rid % m["salts"]]:
+                    out.append((m["key"], salt, first, rid, at, at + len(body.rstrip()), end - at, pre, body.strip(), post))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in SLICES.split(", ")])
+
+
+def same_end(a: str, b: str) -> int:
+    """Characters of the longest common end that starts with a word in both."""
+    if a == b:
+        return len(a)
+    n, most = 0, min(len(a), len(b))
+    while n < most and a[-1 - n] == b[-1 - n]:
+        n += 1
+    while n and not (a[-n:][0] != " " and (n == len(a) or a[-1 - n].isspace()) and (n == len(b) or b[-1 - n].isspace())):
+        n -= 1
+    return n
+
+
+def same_start(a: str, b: str) -> int:
+    """Characters of the longest common start that ends with a word in both."""
+    n, most = 0, min(len(a), len(b))
+    while n < most and a[n] == b[n]:
+        n += 1
+    while n and not ((n == len(a) or a[n].isspace()) and (n == len(b) or b[n].isspace())):
+        n -= 1
+    return n
+
+
+def _grown(pre: pd.Series, pre0: pd.Series, post: pd.Series, post0: pd.Series) -> pd.DataFrame:
     out = []
-    for line, own, at, blank in zip(lines, found, starts.tolist(), blanks.tolist(), strict=False):
-        marks = gone[at : at + len(own)]
-        if not own:
-            if not (blank or gone[max(0, at - 1) : at + 1].sum() == 2):
-                out.append(line)
-        elif not marks.any():
-            out.append(line)
-        elif not marks.all():
-            ends = [m.start() for m in own[1:]] + [len(line)]
-            left = [line[m.start() : e] for m, e, x in zip(own, ends, marks.tolist(), strict=True) if not x]
-            out.append(line[: own[0].start()] + "".join(left))
-    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-    return "\n".join(out), runs, len(lines) - len(out)
+    for a, b, c, d in zip(pre, pre0, post, post0, strict=True):
+        out.append((0 if a is None else same_end(a, b), 0 if c is None else same_start(c, d)))
+    return pd.DataFrame(out, columns=["before", "after"])
+
+
+def runs(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that meet or overlap as one, if they are long enough to go."""
+    joined: list[list[int]] = []
+    for at, end in sorted(spans):
+        if joined and (at <= joined[-1][1] or text[joined[-1][1] : at].isspace()):
+            joined[-1][1] = max(joined[-1][1], end)
+        else:
+            joined.append([at, end])
+    out = []
+    for at, end in joined:
+        own = text[at:end]
+        words = len(own.split())
+        if words >= LONG_WORDS or words >= RUN_WORDS and UNIT_END.search(own.strip()):
+            out.append((at, end))
+    return out
+
+
+def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """(text without the runs of these spans, runs removed, whole lines removed)."""
+    gone = runs(text, spans)
+    out, at, dropped, here = [], 0, 0, 0
+    for line in text.split("\n"):
+        end = at + len(line)
+        while here < len(gone) and gone[here][1] <= at:
+            here += 1
+        parts, place, k = [], at, here
+        while k < len(gone) and gone[k][0] < end:
+            parts.append(text[place : max(place, gone[k][0])])
+            place = min(end, gone[k][1])
+            k += 1
+        hit = k > here
+        parts.append(text[place:end])
+        left = "".join(parts) if not hit else " ".join(p.strip() for p in parts if p.strip())
+        # a blank line goes with a run that goes on on both sides of it
+        inside = not line.strip() and here < len(gone) and gone[here][0] < at and end < gone[here][1]
+        if hit and not left or inside:
+            dropped += 1
+        else:
+            out.append(left)
+        at = end + 1
+    return "\n".join(out), len(gone), dropped
 
 
 def _cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
@@ -157,7 +194,7 @@ def _cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
         if whole is None or spans is None:
             kept.append((whole, 0, 0))
         else:
-            kept.append(cut(whole, [(s["kind"], s["first"], s["end"]) for s in spans]))
+            kept.append(cut(whole, [(s["at"], s["end"]) for s in spans]))
     return pd.DataFrame(kept, columns=["clean", "n_removed", "lines_removed"])
 
 
@@ -169,46 +206,36 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return stage(rows.withColumn("rid", F.monotonically_increasing_id()), "numbered")
 
 
-def _copies(rows: DataFrame) -> DataFrame | None:
-    """(rid, copy) of the rows that share d and h with another; None if there are none. Texts are not moved."""
-    slim = rows.select("d", "h", "rid")
-    again = slim.groupBy("d", "h").count().filter("count > 1").select("d", "h")
-    if not again.limit(1).count():
-        return None
-    ranked = stage(global_rank(slim.join(again, ["d", "h"]), ["d", "h", "rid"], "copies"), "copies")
-    first = ranked.groupBy("d", "h").agg(F.min("rank").alias("low"))
-    return ranked.join(first, ["d", "h"]).select("rid", (F.col("rank") - F.col("low")).cast("int").alias("copy"))
-
-
-def _later(places: DataFrame, kind: int) -> DataFrame:
-    """(rid, kind, first, end) of each place of a key after its first, without what overlaps the first."""
-    place = F.struct("d", "h", "rid", "at")
-    firsts = places.groupBy("key").agg(F.min(place).alias("f"), F.count("*").alias("times")).filter("times > 1")
-    later = places.join(firsts.select("key", "f"), "key").filter(place != F.col("f"))
-    own = F.when(F.col("f.rid") == F.col("rid"), F.greatest(F.col("at"), F.col("f.at") + F.col("n"))).otherwise(F.col("at"))
-    return later.select("rid", F.lit(kind).alias("kind"), own.alias("first"), (F.col("at") + F.col("n")).alias("end"))
-
-
 def repeated(rows: DataFrame) -> DataFrame:
-    """(rid, kind, first, end) of what goes from numbered rows: LINES or WORDS from first to before end."""
-    slim = rows.select("d", "h", "rid", "text")
-    pairs = stage(slim.mapInPandas(_pairs, PLACE), "pairs")
-    marks = stage(rows.select("rid", "text").mapInPandas(_anchors, "rid long, a long"), "anchors")
-    shared = marks.groupBy("a").count().filter("count > 1").select("a")
-    again = marks.join(shared, "a").groupBy("rid").agg(F.collect_set("a").alias("again"))
-    windows = stage(slim.join(again, "rid").mapInPandas(_windows, PLACE), "windows")
-    return _later(pairs, LINES).union(_later(windows, WORDS))
+    """(rid, at, end) of each match of numbered rows with an earlier place, in characters."""
+    found = stage(rows.select("d", "rid", "text").mapInPandas(_chunks, CHUNKS), "chunks")
+    place = F.struct("d", "rid", "no")
+    firsts = found.groupBy("key").agg(F.min(place).alias("f"), F.count("*").alias("times")).filter("times > 1")
+    salts = F.ceil(F.col("times") / SALT_ROWS).cast("int").alias("salts")
+    marks = found.join(firsts.select("key", "f", salts), "key").select(
+        "rid", "no", "at", "end", "low", "high", "key", "salts",
+        (place == F.col("f")).alias("first"), F.col("f.rid").alias("rid0"), F.col("f.no").alias("no0"))
+    fields = ["no", "at", "end", "low", "high", "key", "salts", "first", "rid0", "no0"]
+    marks = marks.groupBy("rid").agg(F.collect_list(F.struct(*fields)).alias("marks"))  # as many as the text has chunks
+    slices = stage(rows.select("rid", "text").join(marks, "rid").mapInPandas(_slices, SLICES), "slices")
+    origin = slices.filter("first").select("key", "salt", *[F.col(c).alias(c + "0") for c in ("pre", "body", "post")])
+    later = slices.filter("NOT first").join(origin, ["key", "salt"]).filter("body = body0")
+    grow = F.pandas_udf(_grown, "before int, after int")
+    edge = F.col("pre").isNotNull() | F.col("post").isNotNull()
+    grown = later.filter(edge).withColumn("by", grow("pre", "pre0", "post", "post0"))
+    # the neighbour's text starts where the chunk, with its white space, ends
+    full = F.col("at") + F.col("whole")
+    grown = grown.select("rid", (F.col("at") - F.col("by.before")).alias("at"), F.when(F.col("by.after") > 0, full + F.col("by.after")).otherwise(F.col("end")).alias("end"))
+    return grown.unionByName(later.filter(~edge).select("rid", "at", "end"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """(d, h, copy, text, doc, clean, n_removed, lines_removed) of each row: its text with and without the removed passages.
+    """(rid, d, h, text, doc, clean, n_removed, lines_removed) of each row: its text with and without the removed passages.
 
     ``n_removed`` counts the runs removed, ``lines_removed`` the lines that went whole. ``doc`` holds the other columns of the row.
     """
     rows = _numbered(docs)
-    gone = repeated(rows).groupBy("rid").agg(F.collect_list(F.struct("kind", "first", "end")).alias("gone"))
-    copies = _copies(rows)
+    gone = repeated(rows).groupBy("rid").agg(F.collect_list(F.struct("at", "end")).alias("gone"))
     out_cut = F.pandas_udf(_cut, "clean string, n_removed int, lines_removed int")
     found = rows.join(gone, "rid", "left").withColumn("cut", out_cut("text", "gone"))
-    found = found.withColumn("copy", F.lit(0)) if copies is None else found.join(copies, "rid", "left").withColumn("copy", F.coalesce("copy", F.lit(0)))
-    return found.select("d", "h", "copy", "text", "doc", "cut.*")
+    return found.select("rid", "d", "h", "text", "doc", "cut.*")
