@@ -34,7 +34,7 @@ ship(__name__)
 
 WINDOW = 2
 DIVISOR = 2
-CHUNK_WORDS = 4
+CHUNK_WORDS = 7
 #: Chunks beside a match into which it may grow: boundaries there depend on what stands around the passage.
 REACH = 2
 RUN_WORDS = 30
@@ -44,7 +44,7 @@ SALT_ROWS = 4096
 ROLL = 0x9E3779B97F4A7C15
 UNIT_END = re.compile(r"\n|[.!?,;:]+[ \t]+")
 WORD = re.compile(r"\S+")
-CHUNKS = "d long, rid long, no int, at int, end int, low int, high int, key long"
+CHUNKS = "d long, rid long, no int, key long"
 SLICES = "key long, salt int, first boolean, rid long, at int, end int, whole int, pre string, body string, post string"
 
 
@@ -84,11 +84,9 @@ def _chunks(batches):
     for rows in batches:
         out = []
         for d, rid, text in zip(rows["d"], rows["rid"], rows["text"], strict=True):
-            own = chunks(text) if text else []
-            for no, (at, end, key) in enumerate(own):
+            for no, (at, end, key) in enumerate(chunks(text)) if text else ():
                 if len(text[at:end].split(None, CHUNK_WORDS)) >= CHUNK_WORDS:
-                    low, high = own[max(no - REACH, 0)][0], own[min(no + REACH, len(own) - 1)][1]
-                    out.append((d, rid, no, at, end, low, high, key))
+                    out.append((d, rid, no, key))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
 
 
@@ -97,9 +95,11 @@ def _slices(batches):
     for rows in batches:
         out = []
         for rid, text, marks in zip(rows["rid"], rows["text"], rows["marks"], strict=True):
-            marks = sorted(marks, key=lambda m: m["no"])
+            marks, own = sorted(marks, key=lambda m: m["no"]), chunks(text)
             for i, m in enumerate(marks):
-                first, at, end = bool(m["first"]), m["at"], m["end"]
+                no, first = m["no"], bool(m["first"])
+                at, end, key = own[no]
+                low, high = own[max(no - REACH, 0)][0], own[min(no + REACH, len(own) - 1)][1]
                 before = marks[i - 1] if i else None
                 after = marks[i + 1] if i + 1 < len(marks) else None
 
@@ -108,11 +108,11 @@ def _slices(batches):
                         a["rid0"] == b["rid0"] and b["no0"] == a["no0"] + 1)
 
                 grows = first or m["rid0"] != rid
-                pre = text[m["low"] : at] if first or grows and not follows(before, m) else None
-                post = text[end : m["high"]] if first or grows and not follows(m, after) else None
+                pre = text[low:at] if first or grows and not follows(before, m) else None
+                post = text[end:high] if first or grows and not follows(m, after) else None
                 body = text[at:end]
                 for salt in range(m["salts"]) if first else [rid % m["salts"]]:
-                    out.append((m["key"], salt, first, rid, at, at + len(body.rstrip()), end - at, pre, body.strip(), post))
+                    out.append((key, salt, first, rid, at, at + len(body.rstrip()), end - at, pre, body.strip(), post))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SLICES.split(", ")])
 
 
@@ -209,24 +209,23 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def repeated(rows: DataFrame) -> DataFrame:
     """(rid, at, end) of each match of numbered rows with an earlier place, in characters."""
     found = stage(rows.select("d", "rid", "text").mapInPandas(_chunks, CHUNKS), "chunks")
+    again = stage(found.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1"), "again")
+    found = stage(found.join(again, "key"), "repeated")
     place = F.struct("d", "rid", "no")
-    firsts = found.groupBy("key").agg(F.min(place).alias("f"), F.count("*").alias("times")).filter("times > 1")
-    salts = F.ceil(F.col("times") / SALT_ROWS).cast("int").alias("salts")
-    marks = found.join(firsts.select("key", "f", salts), "key").select(
-        "rid", "no", "at", "end", "low", "high", "key", "salts",
+    firsts = found.groupBy("key").agg(F.min(place).alias("f"))
+    marks = found.join(firsts, "key").select(
+        "rid", "no", F.ceil(F.col("times") / SALT_ROWS).cast("int").alias("salts"),
         (place == F.col("f")).alias("first"), F.col("f.rid").alias("rid0"), F.col("f.no").alias("no0"))
-    fields = ["no", "at", "end", "low", "high", "key", "salts", "first", "rid0", "no0"]
-    marks = marks.groupBy("rid").agg(F.collect_list(F.struct(*fields)).alias("marks"))  # as many as the text has chunks
+    marks = marks.groupBy("rid").agg(F.collect_list(F.struct("no", "salts", "first", "rid0", "no0")).alias("marks"))  # at most the text's chunks
+    marks = stage(marks, "marks")
     slices = stage(rows.select("rid", "text").join(marks, "rid").mapInPandas(_slices, SLICES), "slices")
     origin = slices.filter("first").select("key", "salt", *[F.col(c).alias(c + "0") for c in ("pre", "body", "post")])
     later = slices.filter("NOT first").join(origin, ["key", "salt"]).filter("body = body0")
     grow = F.pandas_udf(_grown, "before int, after int")
-    edge = F.col("pre").isNotNull() | F.col("post").isNotNull()
-    grown = later.filter(edge).withColumn("by", grow("pre", "pre0", "post", "post0"))
-    # the neighbour's text starts where the chunk, with its white space, ends
-    full = F.col("at") + F.col("whole")
-    grown = grown.select("rid", (F.col("at") - F.col("by.before")).alias("at"), F.when(F.col("by.after") > 0, full + F.col("by.after")).otherwise(F.col("end")).alias("end"))
-    return grown.unionByName(later.filter(~edge).select("rid", "at", "end"))
+    grown = later.withColumn("by", grow("pre", "pre0", "post", "post0"))
+    after = F.col("by.after")  # the neighbour's text starts where the chunk, with its white space, ends
+    end = F.when(after > 0, F.col("at") + F.col("whole") + after).otherwise(F.col("end"))
+    return grown.select("rid", (F.col("at") - F.col("by.before")).alias("at"), end.alias("end"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -235,7 +234,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     ``n_removed`` counts the runs removed, ``lines_removed`` the lines that went whole. ``doc`` holds the other columns of the row.
     """
     rows = _numbered(docs)
-    gone = repeated(rows).groupBy("rid").agg(F.collect_list(F.struct("at", "end")).alias("gone"))
+    gone = stage(repeated(rows).groupBy("rid").agg(F.collect_list(F.struct("at", "end")).alias("gone")), "gone")
     out_cut = F.pandas_udf(_cut, "clean string, n_removed int, lines_removed int")
     found = rows.join(gone, "rid", "left").withColumn("cut", out_cut("text", "gone"))
     return found.select("rid", "d", "h", "text", "doc", "cut.*")
