@@ -188,8 +188,8 @@ def brute_matches(rows):
     first, out = {}, []
     for n in order:
         for no, (at, end, _) in enumerate(own[n]):
-            body = rows[n][1][at:end].strip()
-            if len(body.split()) < line_dedup.CHUNK_WORDS:
+            body = rows[n][1][at:end].rstrip()
+            if end - at < line_dedup.CHUNK_CHARS:
                 continue
             m, k = first.setdefault(body, (n, no))
             if (m, k) == (n, no):

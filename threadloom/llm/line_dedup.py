@@ -1,7 +1,7 @@
 """Line dedup by content-defined chunks of lines: passages that came earlier in the corpus are removed.
 
 A text's units are its lines, and within lines the parts that punctuation ends. A hash of each unit feeds a rolling hash over ``WINDOW``
-units; where that is 0 modulo ``DIVISOR`` a chunk ends. Boundaries depend on the units nearby alone, so an insertion or
+units; where that is 0 modulo ``DIVISOR`` a chunk of ``CHUNK_CHARS`` or more ends. Boundaries depend on the units nearby alone, so an insertion or
 deletion shifts none beyond them. A chunk that occurs again in the corpus is matched with its first place (least
 doc_id, then row and place): both carry their text into a join, which compares every byte. Where the neighbouring chunks do
 not match too, the match grows to both sides, by up to ``REACH`` chunks, as far as the words agree, so a passage goes whole even where
@@ -9,8 +9,8 @@ it begins or ends inside a unit. Matches that meet or overlap are one run. A run
 words, or of ``LONG_WORDS`` words, is removed; shorter repetitions, like single closing brackets or short lines, stay. Lines
 that keep no word go with their line ends, other lines keep the words around the run.
 
-Of equal passages the first place stays; matches inside one row do not grow. A passage is found if it holds a chunk of
-``CHUNK_WORDS`` words or more; README tells how many of the words of long repeated passages that leaves.
+Of equal passages the first place stays; matches inside one row do not grow. A passage is found if it holds a whole
+chunk; README tells how many of the words of long repeated passages that leaves.
 
 Null and empty texts have no chunks; blank lines alone are none. Rows are numbered, so repeated and null ids (which come
 first) are rows like others, and equal rows go but for the first. Only doc_id and text are read; other columns, whatever
@@ -20,6 +20,7 @@ their names, stay in ``doc``.
 from __future__ import annotations
 
 import re
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,8 @@ ship(__name__)
 
 WINDOW = 2
 DIVISOR = 2
-CHUNK_WORDS = 7
+#: A chunk goes on to the next boundary from here on; a text's end may leave a shorter one, which is not matched.
+CHUNK_CHARS = 36
 #: Chunks beside a match into which it may grow: boundaries there depend on what stands around the passage.
 REACH = 2
 RUN_WORDS = 30
@@ -42,42 +44,33 @@ LONG_WORDS = 50
 #: Places of one chunk that meet its first text in one task.
 SALT_ROWS = 4096
 ROLL = 0x9E3779B97F4A7C15
-UNIT_END = re.compile(r"\n|[.!?,;:]+[ \t]+")
+UNIT_END = re.compile(r"(?:\n|[.!?,;:]+(?=\s))\s*")
 WORD = re.compile(r"\S+")
 CHUNKS = "d long, rid long, no int, key long"
 SLICES = "key long, salt int, first boolean, rid long, at int, end int, whole int, pre string, body string, post string"
 
 
-def unit_starts(text: str) -> list[int]:
-    """Where units start; the last entry is the text's length. Blank units belong to the one before."""
-    out = [0]
-    for m in UNIT_END.finditer(text):
-        if not text[out[-1] : m.end()].isspace():
-            out.append(m.end())
-        elif len(out) > 1:
-            out[-1] = m.end()
-    if out[-1] < len(text):
-        if len(out) > 1 and text[out[-1] :].isspace():
-            out.pop()
-        out.append(len(text))
-    return out
-
-
 def chunks(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, key) of each chunk of a text, in characters."""
-    starts = unit_starts(text)
-    hashes = np.array([xxhash.xxh3_64_intdigest(text[i:j].strip()) for i, j in zip(starts, starts[1:], strict=False)], np.uint64)
-    if not len(hashes):
+    """(start, end, key) of each chunk of a text, in characters; white space after a unit belongs to it."""
+    first = len(text) - len(text.lstrip())
+    starts = [first, *[m.end() for m in UNIT_END.finditer(text, first)]]
+    if starts[-1] == len(text):
+        starts.pop()
+    if not starts:
         return []
+    starts.append(len(text))
+    hashes = np.array([xxhash.xxh3_64_intdigest(text[i:j].rstrip()) for i, j in pairwise(starts)], np.uint64)
     rolling = hashes.copy()
     for back in range(1, WINDOW):
         rolling[back:] = rolling[back:] * np.uint64(ROLL) + hashes[:-back]
     rolling ^= rolling >> np.uint64(32)
-    ends = (rolling % np.uint64(DIVISOR) == 0).nonzero()[0]
-    if not len(ends) or ends[-1] != len(hashes) - 1:
-        ends = np.append(ends, len(hashes) - 1)
-    bounds = [0, *[starts[e + 1] for e in ends.tolist()]]
-    return [(i, j, xxhash.xxh3_64_intdigest(text[i:j].strip()) - (1 << 63)) for i, j in zip(bounds, bounds[1:], strict=False)]
+    bounds = [first]
+    for e in (rolling % np.uint64(DIVISOR) == 0).nonzero()[0].tolist():
+        if starts[e + 1] - bounds[-1] >= CHUNK_CHARS:
+            bounds.append(starts[e + 1])
+    if bounds[-1] < len(text):
+        bounds.append(len(text))
+    return [(i, j, xxhash.xxh3_64_intdigest(text[i:j].rstrip()) - (1 << 63)) for i, j in pairwise(bounds)]
 
 
 def _chunks(batches):
@@ -85,7 +78,7 @@ def _chunks(batches):
         out = []
         for d, rid, text in zip(rows["d"], rows["rid"], rows["text"], strict=True):
             for no, (at, end, key) in enumerate(chunks(text)) if text else ():
-                if len(text[at:end].split(None, CHUNK_WORDS)) >= CHUNK_WORDS:
+                if end - at >= CHUNK_CHARS:
                     out.append((d, rid, no, key))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
 
@@ -112,7 +105,7 @@ def _slices(batches):
                 post = text[end:high] if first or grows and not follows(m, after) else None
                 body = text[at:end]
                 for salt in range(m["salts"]) if first else [rid % m["salts"]]:
-                    out.append((key, salt, first, rid, at, at + len(body.rstrip()), end - at, pre, body.strip(), post))
+                    out.append((key, salt, first, rid, at, at + len(body.rstrip()), end - at, pre, body.rstrip(), post))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SLICES.split(", ")])
 
 
