@@ -87,8 +87,8 @@ def test_whole_run(spark, logs):
     by = {r.question: r for r in rows}
     assert by["ask own"].session_name == "helper" and by["ask own"].is_subagent
     assert "More -- > %Answer%" in by["More --> %Answer%"].md
-    assert by["Hello"].md.startswith(f"<!-- {by['Hello'].block_id} -->\n# 2026/05/27 Wed 10:00:01   [ClaudeCode]")
-    assert "Tokens=in 3, out 0, cache read 0, cache write 0\n" in by["Hello"].md
+    assert by["Hello"].md.startswith(f"<!-- {by['Hello'].block_id} -->\n### ClaudeCode, 2026/05/27 Wed 10:00:01\n\nHello\n")
+    assert "tokens in 3, out 0, cache read 0, cache write 0)" in by["Hello"].md
     m = {(r.metric, r.key): r.value for r in run.metrics(found, timeline).collect()}
     assert m["inherited_removed", ""] == 2 and m["inherited_merged", ""] == 1
     assert m["forks_removed", ""] == 1 and m["bad_lines", "claude/standard/std/one.jsonl"] == 1
@@ -134,7 +134,7 @@ def test_cycles(spark, write_log):
     os.remove(f"{logs}/a/one/subagents/agent-1.jsonl")
     dry = run_cycle(spark, p, store, dry_run=True)
     four = run_cycle(spark, p, store)
-    assert dry.outcome == four.outcome == "rewrite" and four.preserved and four.parsed == 0
+    assert dry.outcome == four.outcome == "rewrite" and four.preserved and four.parsed == dry.parsed == 1
     now = store.latest("blocks").orderBy("ord").collect()
     cold = run.aggregate(run.analyse(spark, p), p).blocks.orderBy("ord").collect()
     assert [(r.ord, r.block_id, r.md) for r in now] == [(r.ord, r.block_id, r.md) for r in cold]

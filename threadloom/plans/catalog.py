@@ -931,16 +931,16 @@ def write_logs(spark, sf, lines) -> str:
 
 
 @query("file_lines", O.with_(O.LOG_E, """
-    SELECT 'e' || event_id AS uuid, row_number() OVER (PARTITION BY CAST(f AS BIGINT) // 50,
+    SELECT CASE WHEN NOT bad THEN 'e' || event_id END AS uuid, row_number() OVER (PARTITION BY CAST(f AS BIGINT) // 50,
       line // 100000 ORDER BY CAST(f AS BIGINT), ts, event_id) - 1 AS line_no, bad
     FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY ts, event_id) - 1 AS line,
-      et = 'signup' AND k % 4 = 3 AS bad FROM le) QUALIFY NOT bad"""))
+      et = 'signup' AND k % 4 = 3 AS bad FROM le)"""))
 def file_lines(spark, sf):
     """Written logs read back: file order and line numbers survive splitting."""
     root = Root(write_logs(spark, sf, lines_a(spark, sf)), SOURCE_A, suffix=".txt", tree=True)
     lines = read_lines(spark, [root])
     parsed = stage(format_a.parse_a(lines.df, params_for_views()), "parsed-a")
-    return parsed.where("ok").select("uuid", "line_no", F.lit(False).alias("bad"))
+    return parsed.select(F.when(F.col("ok"), F.col("uuid")).alias("uuid"), "line_no", (~F.col("ok")).alias("bad"))
 
 
 @query("file_units", O.with_(O.LINES_A, """

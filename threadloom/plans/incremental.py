@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,13 +51,22 @@ class Store:
     def read(self, name: str) -> DataFrame | None:
         return if_found(lambda: self.spark.read.parquet(f"{self.path}/{name}"))
 
+    def newest(self, name: str, by: str = "cycle") -> int | None:
+        """Number of the newest cycle of a table, from the names of its folders: no job."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return None
+        names = [f.getPath().getName() for f in files.listStatus(path)]
+        return max((int(n.split("=")[1]) for n in names if n.startswith(by + "=")), default=None)
+
     def latest(self, name: str) -> DataFrame | None:
-        """Rows of the newest finished cycle of a table."""
-        df = self.read(name)
-        if df is None:
+        """Rows of the newest finished cycle of a table; no other cycle is listed or read."""
+        top = self.newest(name)
+        if top is None:
             return None
-        top = df.agg(F.max("cycle")).first()[0]
-        return df.where(F.col("cycle") == top)
+        rows = self.spark.read.parquet(f"{self.path}/{name}/cycle={top}")
+        return rows.withColumn("cycle", F.lit(top))
 
     def append(self, df: DataFrame, name: str, value, by: str = "cycle") -> None:
         df.withColumn(by, F.lit(value)).write.mode("append").partitionBy(by).parquet(
@@ -71,23 +81,31 @@ class Survey:
     now: DataFrame
     old: DataFrame | None
     last: int | None  # newest stored cycle
-    changed: DataFrame
     files: int
     to_parse: int
     gone: bool
 
 
 def survey(spark: SparkSession, params: Params, store: Store) -> Survey:
+    """Lists the files and counts what changed, in one job; contents are not read, nothing is written."""
     now = manifest(spark, [r for r in params.roots if r.source in params.sources])
     if now is None:
         raise ValueError("no log files under the given roots")
-    now = stage(now.withColumn("fingerprint", F.lit(params.fingerprint())), "manifest")
-    stored = store.read("manifest")
-    last = None if stored is None else stored.agg(F.max("cycle")).first()[0]
-    old = None if stored is None else stored.where(F.col("cycle") == last).drop("cycle")
-    changed = changed_files(now, old)
-    gone = old is not None and not vanished_files(now, old).isEmpty()
-    return Survey(now, old, last, changed, now.count(), changed.count(), gone)
+    now = now.withColumn("fingerprint", F.lit(params.fingerprint()))
+    last = store.newest("manifest")
+    old = None if last is None else store.latest("manifest").drop("cycle")
+    sides = now.select(*STAMP, F.lit(True).alias("here"))
+    if old is not None:
+        sides = sides.unionByName(old.select(*STAMP, F.lit(False).alias("here")))
+    stamp = F.struct(*STAMP[1:])
+    each = sides.groupBy("file_id").agg(
+        F.max(F.when(F.col("here"), stamp)).alias("new"), F.max(F.when(~F.col("here"), stamp)).alias("was"))
+    is_new = F.col("new").isNotNull()
+    counts = each.agg(
+        F.count_if(is_new).alias("files"),
+        F.count_if(is_new & ~F.col("new").eqNullSafe(F.col("was"))).alias("changed"),
+        F.count_if(~is_new).alias("gone")).first()
+    return Survey(now, old, last, counts.files, counts.changed, counts.gone > 0)
 
 
 def names_digest(*tables: DataFrame | None) -> str:
@@ -100,17 +118,24 @@ def names_digest(*tables: DataFrame | None) -> str:
     return "|".join(parts)
 
 
+TABLES = ("sessions", "entries", "events", "bad", "content")
+
+
 def refresh(
-    spark: SparkSession, params: Params, store: Store, seen: Survey
+    spark: SparkSession, params: Params, store: Store, seen: Survey, dry_run: bool = False
 ) -> tuple[list[Parsed], int]:
-    """Bring the stored per-file results up to date; (families, cycle)."""
-    now, old = seen.now, seen.old
+    """Bring the stored per-file results up to date; (families, cycle).
+
+    A dry run computes the same families without writing to the store: new results stay in scratch tables.
+    """
+    old = seen.old
+    now = stage(seen.now, "manifest")
     cycle = 0 if seen.last is None else seen.last + 1
-    changed = stage(seen.changed, "changed")
+    changed = stage(changed_files(now, old), "changed")
     print_ = F.lit(params.fingerprint())
     # Results are filed under a run of their own, so what a crashed run left is never picked up.
     run = f"r{cycle}-{uuid.uuid4().hex[:12]}"
-    families = []
+    fresh: dict[str, DataFrame] = {}
     for source in params.sources:
         todo = changed.where(F.col("source") == source)
         if not todo.isEmpty():
@@ -121,11 +146,11 @@ def refresh(
                 if source == SOURCE_B:
                     kept = Lines(belonging.drop_foreign(lines.df, params), lines.order)
                 fam = parse_family(kept, source, params)
-                store.append(fam.sessions, f"sessions-{source}", run, "run")
-                store.append(fam.entries, f"entries-{source}", run, "run")
-                store.append(fam.events, f"events-{source}", run, "run")
-                store.append(fam.bad, f"bad-{source}", run, "run")
-                store.append(fam.content, f"content-{source}", run, "run")
+                for name in TABLES:
+                    if dry_run:
+                        fresh[f"{name}-{source}"] = getattr(fam, name).withColumn("run", F.lit(run))
+                    else:
+                        store.append(getattr(fam, name), f"{name}-{source}", run, "run")
     home = now.join(changed.select("file_id", F.lit(run).alias("_new")), "file_id", "left")
     if old is None:
         home = home.withColumn("home", F.lit(run)).drop("_new")
@@ -143,18 +168,21 @@ def refresh(
         home = home.join(moved, "file_id", "left").withColumn(
             "mtime", F.when(F.col("_moved"), F.lit(-1)).otherwise(F.col("mtime"))
         ).drop("_moved")
-    store.append(home, "manifest", cycle)
-    current = store.latest("manifest").select("file_id", F.col("home").alias("run"))
+    if not dry_run:
+        store.append(home, "manifest", cycle)
+    current = home.select("file_id", F.col("home").alias("run"))
+    families = []
     for source in params.sources:
-        if store.read(f"sessions-{source}") is None:
-            continue
 
         def live(name: str, source: str = source) -> DataFrame:
             # Results of vanished files and of superseded parses find no partner here.
-            return store.read(f"{name}-{source}").join(current, ["file_id", "run"], "left_semi").drop("run")
+            parts = [store.read(f"{name}-{source}"), fresh.get(f"{name}-{source}")]
+            rows = reduce(DataFrame.unionByName, [p for p in parts if p is not None])
+            return rows.join(current, ["file_id", "run"], "left_semi").drop("run")
 
-        tables = [live(n) for n in ("sessions", "entries", "events", "bad", "content")]
-        families.append(Parsed(source, *tables))
+        if store.read(f"sessions-{source}") is None and f"sessions-{source}" not in fresh:
+            continue
+        families.append(Parsed(source, *[live(n) for n in TABLES]))
     return families, cycle
 
 
@@ -169,7 +197,8 @@ def run_cycle(
     """One complete cycle: refresh, attribute, lay out, compare, write what changed.
 
     Names and project membership are applied after the stored stage, so they are always current.
-    The previous snapshot is kept aside before a rewrite that would lose a block.
+    The previous snapshot is kept aside before a rewrite that would lose a block. ``dry_run`` tells the outcome and writes
+    nothing to the store.
     """
     seen = survey(spark, params, store)
     digest = names_digest(index_names, titles)
@@ -179,14 +208,13 @@ def run_cycle(
     if same and not seen.to_parse and not seen.gone:
         # Same files, parameters and names give the same blocks.
         return Cycle(seen.last, 0, seen.files, "noop", 0, False)
-    families, number = refresh(spark, params, store, seen)
+    families, number = refresh(spark, params, store, seen, dry_run)
     found = attribute(families, params, index_names, titles)
     blocks = stage(
         aggregate(found, params).blocks.select("ord", "block_id", "source", "session_id", "md"), "new"
     )
-    old = store.latest("blocks")
-    top = None if old is None else old.agg(F.max("cycle")).first()[0]
-    old = None if old is None else old.drop("cycle")
+    top = store.newest("blocks")
+    old = None if top is None else store.latest("blocks").drop("cycle")
     result = diff.outcome(old, blocks).first()
     preserve = result.outcome == "rewrite" and diff.destructive(old, blocks)
     if not dry_run:

@@ -6,14 +6,18 @@ import re
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NOT_BLANK
-from ..operators.scan import CHUNK, COLD, Order, running, sum_before
+from ..operators.scan import CHUNK, COLD, Order
 from ..params import SOURCE_A, Root
-from ..session import hot_bytes, if_found
+from ..session import hot_bytes, if_found, stage
 
+#: Files opened by their names; a longer list of changed files is a scan of the folders.
+NAMED_FILES = 10_000
+#: Splits whose line counts are broadcast, some 100 bytes each.
+NAMED_SPLITS = 1_000_000
 SUBAGENT_FILE = "^[^/]+/subagents/[^/]+$"
 
 
@@ -79,12 +83,12 @@ def _attributes(path: Column, root: Root, rank: int) -> dict[str, Column]:
     }
 
 
-def _per_root(spark: SparkSession, roots: list[Root], read, columns) -> DataFrame | None:
+def _per_root(spark: SparkSession, roots: list[Root], read, columns, globs=_globs) -> DataFrame | None:
     """Union over roots; a file reachable from several roots of one source goes to the first."""
     parts = []
     for i, root in enumerate(roots):
         earlier = [r for r in roots[:i] if r.source == root.source]
-        for glob in _globs(root):
+        for glob in globs(root):
             df = if_found(lambda glob=glob, suffix=root.suffix: read(glob, suffix))
             if df is None:
                 continue
@@ -116,23 +120,30 @@ def manifest(spark: SparkSession, roots: list[Root]) -> DataFrame | None:
         attrs = [c.alias(n) for n, c in _attributes(path, root, rank).items()]
         return [*attrs, F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime")]
 
-    return _per_root(spark, roots, read, columns)
+    # Folders are listed whole: a glob would name every file, and each name costs a task of the listing.
+    return _per_root(spark, roots, read, columns, lambda root: [root.path])
 
 
-def read_lines(spark: SparkSession, roots: list[Root], only: DataFrame | None = None) -> Lines | None:
-    """Numbered lines of every file under ``roots`` (of the files in ``only``, if given).
+def _chosen(spark: SparkSession, only: DataFrame) -> dict[str, list[str]] | None:
+    """Paths of the files in ``only`` by root, or None if they are too many to name one by one."""
+    rows = only.select("root_dir", "file_path").limit(NAMED_FILES + 1).collect()
+    if len(rows) > NAMED_FILES:
+        return None
+    out: dict[str, list[str]] = {}
+    for r in rows:
+        out.setdefault(r.root_dir, []).append(re.sub(r"([*?\[\]{}\\])", r"\\\1", r.file_path))
+    return out
 
-    Columns: file attributes, ``line_no``, ``value``. Blank lines are dropped after numbering. A
-    file's splits are read in parallel; the split offset and the position inside the split give
-    the file order.
-    """
-    roots = qualified(spark, roots)
-    check_root_keys(roots)
-    limit = hot_bytes(spark)
 
-    def read(glob: str, suffix: str) -> DataFrame:
-        reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True)
-        return reader.option("pathGlobFilter", "*" + suffix).text(glob)
+def _raw_lines(spark: SparkSession, roots: list[Root], only: DataFrame | None) -> DataFrame | None:
+    """Lines as the scan gives them: attributes, value, size of the file, offset of the split, running id."""
+    named = None if only is None else _chosen(spark, only)
+
+    def read(path, suffix: str) -> DataFrame:
+        reader = spark.read.option("lineSep", "\n")
+        if named is None:
+            reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*" + suffix)
+        return reader.text(path)
 
     def columns(path: Column, root: Root, rank: int) -> list[Column]:
         attrs = [c.alias(n) for n, c in _attributes(path, root, rank).items()]
@@ -145,17 +156,52 @@ def read_lines(spark: SparkSession, roots: list[Root], only: DataFrame | None =
             F.monotonically_increasing_id().alias("_mid"),
         ]
 
+    if named is not None:
+        parts = []
+        for i, root in enumerate(roots):
+            if root.path in named:
+                # A file that is gone by now: look for what is left as if there were no list.
+                df = if_found(lambda root=root: read(named[root.path], root.suffix))
+                if df is None:
+                    named = None
+                    break
+                parts.append(df.select(*columns(plain_path(F.col("_metadata.file_path")), root, i)))
+        else:
+            return reduce(DataFrame.unionByName, parts) if parts else None
     raw = _per_root(spark, roots, read, columns)
+    return raw if raw is None or only is None else raw.join(only.select("file_id"), "file_id", "left_semi")
+
+
+def read_lines(spark: SparkSession, roots: list[Root], only: DataFrame | None = None) -> Lines | None:
+    """Numbered lines of every file under ``roots`` (of the files in ``only``, a part of the manifest, if given).
+
+    Columns: file attributes, ``line_no``, ``value``. Blank lines are dropped after numbering. Up to ``NAMED_FILES``
+    files of ``only`` are opened by name, so that a cycle with few changes lists and opens nothing else.
+
+    A file's splits are read in parallel, and lines stay where they were read: a first scan counts the lines of
+    each split, the counts are summed per file, and a line's number is its place in its split plus the lines of the splits
+    before. That is one row per split, broadcast up to ``NAMED_SPLITS`` of them; the scan's running ids are the same both
+    times, as they depend on the files listed when the scan was planned.
+    """
+    roots = qualified(spark, roots)
+    check_root_keys(roots)
+    raw = _raw_lines(spark, roots, only)
     if raw is None:
         return None
-    if only is not None:
-        raw = raw.join(only.select("file_id"), "file_id", "left_semi")
-    huge = not raw.where(F.col("_size") > limit).select("_size").limit(1).isEmpty()
+    key = ["file_id", "_block"]
+    counts = raw.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"), F.max("_size").alias("_most"))
+    counts = stage(counts, "splits")
+    size = counts.agg(F.count(F.lit(1)).alias("splits"), F.max("_most").alias("most")).first()
+    limit = hot_bytes(spark)
+    huge = size.most is not None and size.most > limit
+    before = F.sum("_n").over(Window.partitionBy("file_id").orderBy("_block")) - F.col("_n")
+    shifts = counts.select(*key, (before - F.col("_first")).alias("_shift"))
+    if size.splits <= NAMED_SPLITS:
+        shifts = F.broadcast(shifts)
     raw = raw.withColumn(CHUNK, F.when(F.col("_size") > limit, F.col("_block")).otherwise(F.lit(COLD)))
-    order = Order(("file_id",), ("_block", "_mid"), CHUNK if huge else None)
-    numbered = running(raw, order, line_no=sum_before(F.lit(1).cast("bigint")))
-    filled = numbered.where(F.col("value").rlike(NOT_BLANK)).drop("_block", "_mid", "_size")
-    return Lines(filled, Order(("file_id",), ("line_no",), order.chunk))
+    numbered = raw.join(shifts, key).withColumn("line_no", F.col("_mid") + F.col("_shift"))
+    filled = numbered.where(F.col("value").rlike(NOT_BLANK)).drop("_block", "_mid", "_size", "_shift")
+    return Lines(filled, Order(("file_id",), ("line_no",), CHUNK if huge else None))
 
 
 def bad_lines(parsed: DataFrame) -> DataFrame:
