@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
@@ -1159,25 +1159,25 @@ def delegate_units(spark, sf):
     SELECT f AS session, event_id AS seq, CAST(pair AS BIGINT) AS pair, coalesce(opener, false) AS opener
     FROM s5"""))
 def stream_segment(spark, sf):
-    """The segmentation as a stream: rows arrive in at least four micro-batches, state is kept between.
-
-    A session's share of a slice is one file, and a micro-batch one file, so its rows come in order.
-    """
+    """The segmentation as a stream of slices, the second and third in the wrong order: lines wait for those before them."""
     ev = log_view_e(spark, sf).select(
-        "session", F.col("event_id").alias("seq"), F.col("kind_a").alias("kind"), "parent", "ts")
+        "session", F.col("event_id").alias("id"), F.col("kind_a").alias("kind"), "parent", "ts")
+    line = F.row_number().over(Window.partitionBy("session").orderBy("ts", "id")) - 1
+    ev = stage(ev.withColumn("seq", line.cast("bigint")), "numbered")
     base = scratch_dir(spark, "stream")
-    lo, hi = (x or 0 for x in ev.agg(F.min("seq"), F.max("seq")).first())
-    cut = stage(ev.withColumn("part", F.floor((F.col("seq") - lo) * 4 / (hi - lo + 1))), "slices")
-    for i in range(4):
-        rows = cut.where(F.col("part") == i).drop("ts", "part")
+    lo, hi = (x or 0 for x in ev.agg(F.min("id"), F.max("id")).first())
+    cut = stage(ev.withColumn("part", F.floor((F.col("id") - lo) * 4 / (hi - lo + 1))), "slices")
+    for i in (0, 2, 1, 3):
+        rows = cut.where(F.col("part") == i).select("session", "seq", "kind", "parent")
         rows.repartition("session").write.mode("append").parquet(f"{base}/in")
-    source = spark.readStream.schema(ev.drop("ts").schema).option(
-        "maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    done = (segment_stream(source).writeStream.format("parquet")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    done = (segment_stream(source, first=0).writeStream.format("parquet")
             .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
             .trigger(availableNow=True).start())
     done.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("session", "seq", "pair", "opener")
+    out = spark.read.parquet(f"{base}/out").where("NOT late").select("session", "seq", "pair", "opener")
+    return out.join(ev.select("session", "seq", "id"), ["session", "seq"]).select(
+        "session", F.col("id").alias("seq"), "pair", "opener")
 
 
 @query("run_metrics", O.with_(O.LINES_A, """
