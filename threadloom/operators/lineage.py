@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import present, sha
@@ -37,6 +37,27 @@ def threads(sessions: DataFrame) -> DataFrame:
     return named.groupBy("thread_id").agg(F.min_by(row, found).alias("t")).select("thread_id", "t.*")
 
 
+def thread_ancestors(known: DataFrame) -> DataFrame:
+    """(id, ancestor, step): the ancestors of every thread, nearest first from step 1 on, by pointer doubling.
+
+    After k rounds the table holds all ancestors up to step 2**k; those at exactly that step carry the next round, so the
+    rounds grow with the logarithm of the depth. A walk that comes back to an id stops there, as an ancestor keeps
+    its least step and no thread is its own ancestor.
+    """
+    ids = known.select(F.col("thread_id").alias("ancestor"))
+    up = known.select(F.col("thread_id").alias("id"), F.col("parent_thread").alias("ancestor"))
+    reach = stage(up.where("id <> ancestor").join(ids, "ancestor").select("id", "ancestor", F.lit(1).alias("step")), "ancestors")
+    length = 1
+    while not reach.where(F.col("step") == length).isEmpty():
+        far = reach.where(F.col("step") == length).select("id", F.col("ancestor").alias("_via"))
+        more = far.join(reach.select(F.col("id").alias("_via"), "ancestor", "step"), "_via")
+        more = more.where("id <> ancestor").select("id", "ancestor", (F.col("step") + length).alias("step"))
+        both = reach.unionByName(more).groupBy("id", "ancestor").agg(F.min("step").alias("step"))
+        reach = stage(both, "ancestors")
+        length *= 2
+    return reach
+
+
 def ancestor_closure(sessions: DataFrame) -> DataFrame:
     """(file_id, step, ancestor, is_root): ancestors of every subagent session, nearest first.
 
@@ -45,46 +66,25 @@ def ancestor_closure(sessions: DataFrame) -> DataFrame:
     comes one step after the last ancestor unless the walk met it.
     """
     known = stage(threads(sessions), "threads")
-    up = known.select(
-        F.col("thread_id").alias("_id"),
-        F.col("file_id").alias("_file"),
-        F.col("parent_thread").alias("_up"),
-    )
-    seen0 = F.when(F.col("thread_id") != "", F.array("thread_id")).otherwise(
-        F.array().cast("array<string>")
-    )
-    front = sessions.where("is_sub").select(
-        "file_id", "lineage_id", F.col("parent_thread").alias("next"), seen0.alias("seen")
-    )
-    found: list[DataFrame] = []
-    ended: list[DataFrame] = []
-    step = 0
-    while True:
-        open_ = (F.col("next") != "") & ~F.array_contains("seen", F.col("next"))
-        open_ = F.coalesce(open_, F.lit(False))
-        ended.append(front.where(~open_).select("file_id", "lineage_id", "seen", F.lit(step).alias("step")))
-        walk = front.where(open_).withColumn("seen", F.array_append("seen", F.col("next")))
-        walk = stage(walk.join(up, F.col("next") == F.col("_id"), "left"), "ancestors")
-        if walk.isEmpty():
-            break
-        ended.append(walk.where("_file is null").select("file_id", "lineage_id", "seen", F.lit(step).alias("step")))
-        hit = walk.where("_file is not null")
-        found.append(hit.select(
-            "file_id", F.lit(step).alias("step"), F.col("_file").alias("ancestor"), F.lit(False).alias("is_root")))
-        front = hit.select("file_id", "lineage_id", F.col("_up").alias("next"), "seen")
-        step += 1
-    done = ended[0]
-    for more in ended[1:]:
-        done = done.unionByName(more)
-    roots = (
-        done.where((F.col("lineage_id") != "") & ~F.array_contains("seen", F.col("lineage_id")))
-        .join(up, F.col("lineage_id") == F.col("_id"))
-        .select("file_id", "step", F.col("_file").alias("ancestor"), F.lit(True).alias("is_root"))
-    )
-    out = roots
-    for f in found:
-        out = out.unionByName(f)
-    return out
+    above = thread_ancestors(known)
+    subs = sessions.where("is_sub").select("file_id", "thread_id", "lineage_id", "parent_thread")
+    named = known.select(F.col("thread_id").alias("ancestor"), F.col("file_id").alias("_file"))
+    own = F.col("ancestor").eqNullSafe(F.col("thread_id"))
+    slim = subs.select("file_id", "thread_id", "parent_thread")
+    first = slim.withColumnRenamed("parent_thread", "ancestor").withColumn("step", F.lit(0))
+    later = slim.join(above.withColumnRenamed("id", "parent_thread"), "parent_thread")
+    walk = first.unionByName(later.select(*first.columns))
+    # A session that is not its thread's first may meet its own id on the way up: the walk ends there.
+    ends = F.min(F.when(own, F.col("step"))).over(Window.partitionBy("file_id"))
+    walk = walk.withColumn("_end", ends).where("_end IS NULL OR step < _end").join(named, "ancestor")
+    walk = stage(walk.select("file_id", "step", "ancestor", "_file"), "walks")
+    depth = walk.groupBy("file_id").agg(F.count(F.lit(1)).cast("int").alias("step"))
+    roots = subs.where(~F.col("lineage_id").eqNullSafe(F.col("thread_id"))).select("file_id", F.col("lineage_id").alias("ancestor"))
+    roots = roots.join(named, "ancestor").join(walk.select("file_id", "ancestor"), ["file_id", "ancestor"], "left_anti")
+    roots = roots.join(depth, "file_id", "left").select(
+        "file_id", F.coalesce("step", F.lit(0)).alias("step"), F.col("_file").alias("ancestor"), F.lit(True).alias("is_root"))
+    found = walk.select("file_id", "step", F.col("_file").alias("ancestor"), F.lit(False).alias("is_root"))
+    return roots.unionByName(found)
 
 
 def processing_groups(sessions: DataFrame, closure: DataFrame) -> DataFrame:
