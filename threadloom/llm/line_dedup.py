@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import column, row_key, ship
-from threadloom.session import stage
+from threadloom.session import scratch_dir
 
 ship(__name__)
 
@@ -191,6 +191,13 @@ def _cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(kept, columns=["clean", "n_removed", "lines_removed"])
 
 
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """A written table in the shared folder, packed tighter than usual as it holds texts."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """(rid, d, h, text, doc), written once: ``rid`` numbers the rows, ``doc`` holds the other columns."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
@@ -211,7 +218,9 @@ def repeated(rows: DataFrame) -> DataFrame:
         (place == F.col("f")).alias("first"), F.col("f.rid").alias("rid0"), F.col("f.no").alias("no0"))
     marks = marks.groupBy("rid").agg(F.collect_list(F.struct("no", "salts", "first", "rid0", "no0")).alias("marks"))  # at most the text's chunks
     marks = stage(marks, "marks")
-    slices = stage(rows.select("rid", "text").join(marks, "rid").mapInPandas(_slices, SLICES), "slices")
+    # The numbers alone come first: while they are few, Spark broadcasts them and moves no other text.
+    concerned = rows.select("rid", "text").join(stage(marks.select("rid"), "concerned"), "rid", "left_semi")
+    slices = stage(concerned.join(marks, "rid").mapInPandas(_slices, SLICES), "slices")
     origin = slices.filter("first").select("key", "salt", *[F.col(c).alias(c + "0") for c in ("pre", "body", "post")])
     later = slices.filter("NOT first").join(origin, ["key", "salt"]).filter("body = body0")
     grow = F.pandas_udf(_grown, "before int, after int")
