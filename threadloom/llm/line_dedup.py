@@ -35,7 +35,7 @@ ship(__name__)
 
 WINDOW = 2
 DIVISOR = 2
-#: A chunk goes on to the next boundary from here on; a text's end may leave a shorter one, which is not matched.
+#: A chunk ends at the first boundary from here on; a text's end may leave a shorter one, which is not matched.
 CHUNK_CHARS = 36
 #: Chunks beside a match into which it may grow: boundaries there depend on what stands around the passage.
 REACH = 2
@@ -192,9 +192,13 @@ def _cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """A written table in the shared folder, packed tighter than usual as it holds texts."""
+    """A written table in the shared folder, packed tighter than usual as it holds texts.
+
+    Spark deletes the shuffle files of a finished write when the driver's collector finds them unused, so that is called.
+    """
     path = scratch_dir(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
