@@ -37,10 +37,10 @@ def ascii_lower(text: Column) -> Column:
 
 
 def row_key(df: DataFrame) -> list[Column]:
-    """``d`` and ``h``: the id (nulls as the least long) and a hash of the text, which tell repeated ids apart."""
+    """``d`` and ``h``: the id (nulls as the least long) and 64 hash bits of the text, which tell repeated ids apart."""
     return [
         F.coalesce(column(df, "doc_id", "long"), F.lit(NULL_ID)).alias("d"),
-        F.hash(F.coalesce(column(df, "text", "string"), F.lit(""))).alias("h"),
+        F.xxhash64(F.coalesce(column(df, "text", "string"), F.lit(""))).alias("h"),
     ]
 
 

@@ -10,8 +10,8 @@ r and b, a is c u2 (u1 u2)^t, and t is 0 for words that occur once: these need o
 as good as unique to a word and its t, so the least a is kept as a double and a hash of it stands in the fingerprint.
 
 A null text is empty; a text without words has the fingerprint of one fixed mark, so such texts are
-alike. Rows with equal ids and equal texts count once; a null doc_id comes first in the order and is
-kept. Only doc_id and text are read.
+alike. Rows with equal ids and equal texts are one document in the order and get a result row each; of equal ids the
+less hash of the text comes first; a null doc_id comes before all and is kept. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -124,13 +124,15 @@ def _sha() -> Column:
 def edited(docs: DataFrame) -> DataFrame:
     """Fingerprint of each text, of its edited text (its last quarter replaced by the start of the next document), and their likeness."""
     text = F.coalesce(column(docs, "text", "string"), F.lit(""))
-    slim = docs.select(*row_key(docs), F.char_length(text).cast("long").alias("n")).dropDuplicates(["d", "h"])
+    keyed = docs.select(*row_key(docs), F.char_length(text).cast("long").alias("n"))
+    slim = keyed.groupBy("d", "h").agg(F.first("n").alias("n"), F.count("*").alias("times"))
     order = stage(global_rank(slim, ["d", "h"], "order"), "order")
-    rows = order.count()
+    counts = order.agg(F.count("*").alias("n"), F.max("times").alias("most")).first()
+    rows, repeated = counts["n"], (counts["most"] or 1) > 1
     after = order.select((F.pmod(F.col("rank") - 1, F.lit(max(1, rows)))).alias("rank"), F.col("d").alias("next_d"), F.col("h").alias("next_h"))
-    plan = stage(order.join(after, "rank").select("d", "h", "n", "next_d", "next_h"), "next")
+    plan = stage(order.join(after, "rank").select("d", "h", "n", "times", "next_d", "next_h"), "next")
     texts = docs.select(*row_key(docs), text.alias("t"))
-    if rows < docs.count():  # some rows are repeated
+    if repeated:
         texts = texts.groupBy("d", "h").agg(F.first("t").alias("t"))
     want = plan.select(F.col("next_d").alias("d"), F.col("next_h").alias("h"), F.col("d").alias("to_d"), F.col("h").alias("to_h"), F.floor(F.col("n") / 4).cast("int").alias("take"))
     heads = texts.join(want, ["d", "h"]).groupBy("d", "h").agg(
@@ -145,6 +147,8 @@ def edited(docs: DataFrame) -> DataFrame:
     own = stage(own.join(plan, ["d", "h"]), "prints")
     other = own.select(F.col("d").alias("next_d"), F.col("h").alias("next_h"), F.col("fingerprint").alias("next_fingerprint"))
     out = own.join(other, ["next_d", "next_h"])
+    if repeated:
+        out = out.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return out.select(
         doc_id_of().alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"),

@@ -197,8 +197,8 @@ def likelihoods(docs: DataFrame, words: DataFrame) -> DataFrame:
     top = known.filter("hot").select("x", "t", "p").toPandas().sort_values("x")  # at most HOT_WORDS
     hot_x = top["x"].to_numpy()
     texts = docs.select(*row_key(docs), column(docs, "text", "string").alias("text"))
-    near = texts.mapInArrow(_near(hot_x, top["t"].to_numpy(), top["p"].to_numpy()), "d long, h int, words long, t double, p double")
-    far = texts.mapInArrow(_far(hot_x), "d long, h int, x long").join(known.filter("NOT hot").select("x", "t", "p"), "x")
+    near = texts.mapInArrow(_near(hot_x, top["t"].to_numpy(), top["p"].to_numpy()), "d long, h long, words long, t double, p double")
+    far = texts.mapInArrow(_far(hot_x), "d long, h long, x long").join(known.filter("NOT hot").select("x", "t", "p"), "x")
     far = far.groupBy("d", "h").agg(F.lit(0).cast("long").alias("words"), F.sum("t").alias("t"), F.sum("p").alias("p"))
     return near.union(far).groupBy("d", "h").agg(
         F.sum("words").alias("words"), F.coalesce(F.sum("t"), F.lit(0.0)).alias("toxic"), F.coalesce(F.sum("p"), F.lit(0.0)).alias("plain")
@@ -233,7 +233,8 @@ def score(docs: DataFrame, labels: DataFrame, admitted: Column | None = None) ->
     one = [(F.col(c) / F.col("times")).alias(c) for c in ("words", "toxic", "plain")]  # equal rows were added up
     found = stage(sums.select("d", "h", "times", *one).select("*", *_features()), "likelihoods")
     set_aside = found.join(F.broadcast(learning.filter("calibrate")).alias("y"), "d")
-    rows = set_aside.select("per_word", "per_root", F.col("y.toxic").alias("y")).toPandas()  # at most 2 * CLASS_ROWS
+    rows = set_aside.groupBy("d").agg(F.avg("per_word").alias("per_word"), F.avg("per_root").alias("per_root"), F.max("y.toxic").alias("y"))
+    rows = rows.toPandas()  # one for each id, at most 2 * CLASS_ROWS
     w = calibrate(rows[["per_word", "per_root"]].to_numpy(), rows["y"].to_numpy(float)) if rows["y"].nunique() == 2 else np.zeros(3)
     z = F.lit(float(w[0])) + float(w[1]) * F.col("per_word") + float(w[2]) * F.col("per_root")
     n = F.greatest(F.col("words"), F.lit(1))

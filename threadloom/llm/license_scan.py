@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join between text blocks and license templates.
 
 Blocks are the lines of a text and, as a notice may be wrapped, the text as a whole, both as overlapping
-windows of ``BLOCK_WORDS`` words where they are longer; any run of half as many words lies in a window whole. A
+windows of ``BLOCK_WORDS`` words (four times the longest template's, if that is more) where they are longer; any run of half as
+many words lies in a window whole. A
 block meets a template when it holds at least ``CONTAINMENT`` of the template's distinct words.
 Words are put in one global order, rarest in the corpus first. The least shared word of a pair
 that meets the threshold lies in the template's prefix (all but ``need - 1`` of its words), the
@@ -47,6 +48,7 @@ TEMPLATES = [
 ]
 CONTAINMENT = 0.8
 BLOCK_WORDS = 64
+STRETCH = 4
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 SPLIT = f"[{SEPARATORS}]+"
 
@@ -111,10 +113,11 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]], containment: floa
     lines = some.select("d", "h", F.explode(parts).alias("line"))
     lines = lines.select("d", "h", F.split("line", SPLIT).alias("ws")).filter(F.arrays_overlap("ws", _strings(rare)))
     lines = lines.withColumn("ws", F.filter("ws", lambda w: w != ""))
-    half = BLOCK_WORDS // 2
+    size = max([BLOCK_WORDS, *[STRETCH * len(text.split()) for text, _ in templates]])
+    half = size // 2
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("ws") - half - 1), F.lit(half))
     blocks = lines.select("d", "h", F.explode(starts).alias("s"), "ws").select(
-        "d", "h", F.array_intersect(_strings(order), F.slice("ws", F.col("s") + 1, F.lit(BLOCK_WORDS))).alias("block")
+        "d", "h", F.array_intersect(_strings(order), F.slice("ws", F.col("s") + 1, F.lit(size))).alias("block")
     )
     pairs = blocks.select("d", "h", "block", F.posexplode("block").alias("q", "w")).join(F.broadcast(prefixes), "w")
     left = 1 + F.least(F.col("size") - F.col("p") - 1, F.size("block") - F.col("q") - 1)

@@ -94,13 +94,13 @@ def groups_of(band: int, percent: int) -> tuple[int, int]:
 
 
 def keys_of(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Buckets of a set: its own band's, and the band's below if a smaller partner may lie there."""
+    """Buckets of a set: its own band's, and those of all bands below in which a smaller partner may lie."""
     n = len(hashes)
     if (n + n * 100 // percent) * (100 - percent) < 100 + percent:
         return np.zeros(0, np.uint64)  # too small to link with any other set
     own = band_of(n)
     out = []
-    for band in {own, band_of(max(1, -(-n * percent // 100)))}:
+    for band in range(band_of(max(1, -(-n * percent // 100))), own + 1):
         groups, spare = groups_of(band, percent)
         g = (_mix(hashes + np.uint64(band * 2 + 1)) % np.uint64(groups)).astype(np.int64)
         size = np.bincount(g, minlength=groups)
@@ -245,7 +245,7 @@ def _verify(width: int, percent: int):
 def links(docs: DataFrame, width: int = WORDS_IN_SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(classes, edges): each row's key (d, h), set size n and class c; verified links (a, b) between classes."""
     texts = docs.select(*row_key(docs), column(docs, "text", "string").alias("text"))
-    classes = stage(texts.mapInArrow(_points(width), "d long, h int, n long, c long, point binary"), "points")
+    classes = stage(texts.mapInArrow(_points(width), "d long, h long, n long, c long, point binary"), "points")
     one = stage(classes.filter("n > 0").groupBy("c").agg(
         F.min(F.struct("d", "h", "n", "point")).alias("o")).select("c", "o.*"), "classes")
     rows = texts.select("text").mapInArrow(_keys(width, percent), "k long, c long")

@@ -12,7 +12,7 @@ depth of reply, then turn, so an answer follows what it answers. Depths come fro
 written tables, in as many rounds as the depth has binary digits.
 
 Originals are reduced to one per hash and conversation, and two per hash, before they are joined, so a common
-passage joins one row of each. Null texts are empty; a null conv_id or turn is a value like others but answers
+passage joins one row of each. Null texts are empty; a null conv_id or turn is a value like others (its quotes count and link) but answers
 nothing; repeated rows are separate messages in the order of their copy number. Other columns are not read.
 """
 
@@ -128,8 +128,9 @@ def link(messages: DataFrame) -> DataFrame:
     best = F.when(F.col("to.conv_id") == F.col("conv_id"), F.struct((-F.col("depth")).alias("x"), F.col("to.turn").alias("turn"), F.col("to.copy").alias("copy")))
     found = joined.groupBy(*KEY).agg(
         F.count("*").alias("n_quotes"), F.count("to").alias("n_linked"), F.max(best).alias("p"), F.min("to").alias("source"))
-    links = parsed.select(*KEY, "role", "own").join(found.filter("conv_id IS NOT NULL AND turn IS NOT NULL"), KEY, "left")
-    links = stage(links.select(
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in KEY], "n_quotes", "n_linked", "p", "source")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]
+    links = stage(parsed.select(*KEY, "role", "own").join(found, same, "left").select(
         *KEY, "role", "own", F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
         F.col("source.conv_id").alias("source_conv"), F.col("source.turn").alias("source_turn"),
         F.col("p.turn").alias("parent_turn"), F.col("p.copy").alias("parent_copy")), "quotes")
