@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.tokens import FIELDS
 from threadloom.operators import dedupe, diff, ids, lineage, names
 from threadloom.operators.scan import Order, cut_hot
+from threadloom.session import stage
 
 
 def sha(text):
@@ -27,6 +28,35 @@ def test_fork_dedupe(spark):
     assert {r.ord: r.removed for r in dedupe.fork_dedupe(df).collect()} == want
 
 
+def forks_in_turn(rows):
+    """One unit after the other: it goes when a kept one before it showed one of its ids."""
+    seen, out = set(), {}
+    for at, keys in sorted(rows):
+        out[at] = bool(seen & set(keys))
+        if not out[at]:
+            seen |= set(keys)
+    return out
+
+
+def test_fork_dedupe_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rows = [(i, [f"k{i}", f"k{i + 1}"]) for i in range(1000)]
+    rows += [(2000 + i, ["k400", f"x{i}"]) for i in range(50)] + [(5000, []), (5001, None), (5002, ["k999", "k999"])]
+    tables = []
+    monkeypatch.setattr(dedupe, "stage", lambda df, label: (tables.append(label), stage(df, label))[1])
+    df = spark.createDataFrame(rows, "ord long, fork_keys array<string>")
+    got = {r.ord: r.removed for r in dedupe.fork_dedupe(df).collect()}
+    assert got == forks_in_turn([(i, k or []) for i, k in rows])
+    assert tables.count("fork-chain") <= 20 and tables.count("fork-rivals") <= 3
+
+
+def test_fork_dedupe_of_random_units(spark):
+    rnd = random.Random(11)
+    for ids in (15, 60, 300):
+        rows = [(i, [f"k{rnd.randrange(ids)}" for _ in range(rnd.randrange(4))]) for i in range(200)]
+        df = spark.createDataFrame(rows, "ord long, fork_keys array<string>")
+        assert {r.ord: r.removed for r in dedupe.fork_dedupe(df).collect()} == forks_in_turn(rows)
+
+
 def test_logical_dedupe(spark):
     rng = random.Random(5)
     streams, hashes, units = {}, {}, []

@@ -161,12 +161,48 @@ def logical_dedupe(units: DataFrame, files: DataFrame, prefixes: DataFrame) -> D
     ).drop("new_ord")
 
 
+def _rivals(open_keys: DataFrame) -> DataFrame:
+    """(ord, up, several): the earlier open unit that alone decides on this one, null if there is none.
+
+    Per id only its first and second holder are looked at: later holders have several rivals.
+    """
+    first = open_keys.groupBy("key").agg(F.min("ord").alias("_first"))
+    led = open_keys.join(first, "key")
+    second = led.where("ord > _first").groupBy("key").agg(F.min("ord").alias("_second"))
+    led = led.join(second, "key", "left").withColumn("_up", F.when(F.col("ord") > F.col("_first"), F.col("_first")))
+    return led.groupBy("ord").agg(
+        F.min("_up").alias("up"),
+        (F.coalesce(F.min("_up") < F.max("_up"), F.lit(False))
+         | F.bool_or(F.coalesce(F.col("ord") > F.col("_second"), F.lit(False)))).alias("several"),
+    )
+
+
+def _settled(rivals: DataFrame) -> DataFrame:
+    """(ord, kept) of all units whose fate is known: first for all their ids, or at the end of a chain of
+    single rivals that begins with such a unit. Along a chain kept and removed alternate, so pointers
+    that double their reach and carry the parity find the outcome in as many steps as the length has binary digits.
+    """
+    free = rivals.where("NOT several AND up IS NULL").select("ord")
+    chain = rivals.where("NOT several AND up IS NOT NULL").select("ord", "up", F.lit(True).alias("odd"))
+    while True:
+        chain = stage(chain, "fork-chain")
+        ahead = chain.select(F.col("ord").alias("up"), F.col("up").alias("_up"), F.col("odd").alias("_odd"))
+        if chain.join(ahead.select("up"), "up", "left_semi").isEmpty():
+            break
+        chain = chain.join(ahead, "up", "left").select(
+            "ord", F.coalesce("_up", "up").alias("up"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"))
+    ends = chain.join(free.withColumnRenamed("ord", "up"), "up", "left_semi").select("ord", (~F.col("odd")).alias("kept"))
+    return free.withColumn("kept", F.lit(True)).unionByName(ends)
+
+
 def fork_dedupe(units: DataFrame) -> DataFrame:
     """In order, a unit is removed when an earlier kept unit already showed one of its message ids.
     Adds ``removed``. Units without ids always stay.
 
-    ``units``: ord, fork_keys. A round keeps every open unit that is the earliest for all its ids
-    and removes the open units sharing an id with a kept one; it repeats while units are open.
+    ``units``: ord, fork_keys. A round keeps every open unit that is the earliest for all its ids,
+    follows chains of units with one earlier rival each to their end, and removes the open units sharing an id
+    with a kept one; it repeats while units are open. A kept unit of a chain is the only rival before it, so whatever
+    else shares its ids is later.
     """
     keys = units.select("ord", F.explode("fork_keys").alias("key")).distinct()
     # Ids seen once decide nothing: their unit stands or falls with its other ids.
@@ -174,20 +210,13 @@ def fork_dedupe(units: DataFrame) -> DataFrame:
     open_keys = stage(keys.join(shared.select("key"), "key", "left_semi"), "fork-open")
     removed: DataFrame | None = None
     while not open_keys.isEmpty():
-        first = open_keys.groupBy("key").agg(F.min("ord").alias("_first"))
-        ranked = open_keys.join(first, "key")
-        kept = ranked.groupBy("ord").agg(F.bool_and(F.col("_first") == F.col("ord")).alias("kept"))
-        taken = open_keys.join(kept.where("kept"), "ord", "left_semi").select("key").distinct()
-        lost = (
-            open_keys.join(taken, "key", "left_semi")
-            .join(kept.where("kept"), "ord", "left_anti")
-            .select("ord")
-            .distinct()
-        )
+        known = stage(_settled(stage(_rivals(open_keys), "fork-rivals")), "fork-settled")
+        kept = known.where("kept").select("ord")
+        taken = open_keys.join(kept, "ord", "left_semi").select("key").distinct()
+        lost = open_keys.join(taken, "key", "left_semi").join(kept, "ord", "left_anti").select("ord").distinct()
         lost = stage(lost, "fork-lost")
         removed = lost if removed is None else removed.unionByName(lost)
-        settled = kept.where("kept").select("ord").unionByName(lost)
-        open_keys = stage(open_keys.join(settled, "ord", "left_anti"), "fork-open")
+        open_keys = stage(open_keys.join(kept.unionByName(lost), "ord", "left_anti"), "fork-open")
     if removed is None:
         return units.withColumn("removed", F.lit(False))
     gone = removed.select("ord", F.lit(True).alias("removed"))
