@@ -13,7 +13,7 @@ from threadloom.operators.scan import Order
 from threadloom.operators.segment import segment_a
 from threadloom.params import Params, Root
 from threadloom.plans import run
-from threadloom.plans.incremental import Store, run_cycle, survey
+from threadloom.plans.incremental import NotPreserved, Store, run_cycle, survey
 from threadloom.sources import archive, lines, roots
 from threadloom.streaming import cycle
 from threadloom.streaming.online import segment_stream
@@ -93,6 +93,7 @@ def test_whole_run(spark, logs):
     assert m["inherited_removed", ""] == 2 and m["inherited_merged", ""] == 1
     assert m["forks_removed", ""] == 1 and m["bad_lines", "claude/standard/std/one.jsonl"] == 1
     assert m["format_skipped", "claude/standard/std/note.jsonl"] == 1
+    assert (m["source_units", "claude"], m["source_units", "codex"]) == (6, 3)
     assert ("units", "codex/standard/std/2026/02/else.jsonl") not in m
 
     # Hiding subagents changes no other block.
@@ -144,6 +145,30 @@ def test_cycles(spark, write_log):
     assert survey(spark, params(logs, include_subagents_a=False), store).to_parse == 2
 
 
+def test_damaged_copy_stops_the_rewrite(spark, write_log, monkeypatch):
+    logs = write_log("a/s.jsonl", [ask("u1", "one", 1), tell("a1", "1", 2), ask("u2", "two", 3), tell("a2", "2", 4)])
+    p = Params(project="/w/p", roots=(Root(f"{logs}/a", "claude"),))
+    store = Store(spark, f"{logs}/store")
+    run_cycle(spark, p, store)
+    before = [(r.ord, r.block_id) for r in store.latest("blocks").orderBy("ord").collect()]
+    write_log("a/s.jsonl", [ask("u9", "other", 9)])
+    append = Store.append
+    swapped = F.when(F.col("ord") == 0, 1).when(F.col("ord") == 1, 0).otherwise(F.col("ord")).cast("long")
+
+    def damaged(self, df, name, value, by="cycle"):
+        append(self, df.withColumn("ord", swapped) if name == "preserved" else df, name, value, by)
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "append", damaged)
+        with pytest.raises(NotPreserved):
+            run_cycle(spark, p, store)
+    assert [(r.ord, r.block_id) for r in store.latest("blocks").orderBy("ord").collect()] == before
+    again = run_cycle(spark, p, store)
+    assert again.outcome == "rewrite" and again.preserved
+    kept = store.latest("preserved").orderBy("ord").collect()
+    assert [(r.ord, r.block_id) for r in kept] == before and store.latest("blocks").count() == 1
+
+
 def test_archive(spark, logs):
     p = params(logs)
     files = lines.manifest(spark, list(p.roots))

@@ -186,6 +186,18 @@ def refresh(
     return families, cycle
 
 
+class NotPreserved(RuntimeError):
+    """The kept copy of a snapshot does not equal it, so the snapshot was left in place."""
+
+
+def keep(store: Store, snapshot: DataFrame, number: int) -> None:
+    """Write a copy of a snapshot aside and prove that it reads back as the same rows in the same places."""
+    store.append(snapshot, "preserved", number)
+    copy = store.spark.read.schema(snapshot.schema).parquet(f"{store.path}/preserved/cycle={number}")
+    if diff.snapshot_digest(copy) != diff.snapshot_digest(snapshot):
+        raise NotPreserved(f"the copy of cycle {number} differs from the snapshot; nothing was rewritten")
+
+
 def run_cycle(
     spark: SparkSession,
     params: Params,
@@ -197,7 +209,8 @@ def run_cycle(
     """One complete cycle: refresh, attribute, lay out, compare, write what changed.
 
     Names and project membership are applied after the stored stage, so they are always current.
-    The previous snapshot is kept aside before a rewrite that would lose a block. ``dry_run`` tells the outcome and writes
+    The previous snapshot is kept aside before a rewrite that would lose a block; the copy is read back and compared
+    first, and nothing is rewritten if it differs. ``dry_run`` tells the outcome and writes
     nothing to the store.
     """
     seen = survey(spark, params, store)
@@ -219,7 +232,7 @@ def run_cycle(
     preserve = result.outcome == "rewrite" and diff.destructive(old, blocks)
     if not dry_run:
         if preserve:
-            store.append(old, "preserved", number)
+            keep(store, old, number)
         if result.outcome in ("create", "rewrite"):
             store.append(blocks, "blocks", number)
         elif result.outcome == "append":

@@ -227,6 +227,11 @@ def write_sessions(blocks: DataFrame, path: str) -> None:
     )
 
 
+def sources_present(units: DataFrame) -> DataFrame:
+    """(source, units) of the log families that the result holds units of."""
+    return units.groupBy("source").agg(F.count(F.lit(1)).alias("units"))
+
+
 def metrics(found: Analysis, timeline: Timeline | None = None) -> DataFrame:
     """(metric, key, value): what a run did."""
     def rows(df: DataFrame, metric: str, key, value) -> DataFrame:
@@ -237,7 +242,9 @@ def metrics(found: Analysis, timeline: Timeline | None = None) -> DataFrame:
 
     nothing = F.lit("")
     per_session = found.units.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
-    out = [rows(per_session, "units", F.col("file_id"), F.col("n")),
+    present = sources_present(found.units)
+    out = [rows(present, "source_units", F.col("source"), F.col("units")),
+           rows(per_session, "units", F.col("file_id"), F.col("n")),
            rows(found.hidden, "hidden", F.col("source"), F.col("hidden"))]
     for fam in found.families:
         out.append(rows(fam.bad, "bad_lines", F.col("file_id"), F.col("bad_lines")))
