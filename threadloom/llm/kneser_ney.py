@@ -5,15 +5,21 @@ A model for each class predicts the characters of a word from up to ``ORDER - 1`
 discount ``DISCOUNT``); all lower orders are continuation counts (distinct characters before an
 n-gram) over the words of the whole corpus and are shared by both classes, so a rare expression
 backs off to what the corpus knows. A text's log-likelihood in each model is the sum over its
-words; the difference, divided by the number of words and by its root, goes through a logistic
-calibration.
+words; the difference is divided by the number of words and by its root.
+
+A second pair of models predicts whole words. They count the texts of the class that hold a word, so
+that one text which repeats a word does not make it typical, less a discount of ``WORD_DISCOUNT``,
+and back off to the share of the word among the texts of the whole corpus. Their difference is taken
+at the text's worst word, so that a rude word in a long ordinary text is not averaged away.
+All three differences go through a logistic calibration.
 
 The class counts come from at most ``CLASS_ROWS`` labelled documents of each class (least hash of
 the id first) that the caller's filter admits; a quarter of them is set aside for calibration.
 Everything else covers all rows. Words are looked up in two ways: the at most ``HOT_WORDS`` most
 frequent words go to every task, the others are joined.
 
-Null and empty texts have no words and get the calibrated score of a difference of 0. Without
+Null and empty texts have no words and get the calibrated score of differences of 0. Of words that are
+equally bad any is the worst, their difference is the same. Without
 labels of both classes every score is 0.5. Labels that are null do not count; of several labels
 of one document the largest counts. Repeated rows get a row each. Other columns are not read.
 """
@@ -34,11 +40,14 @@ ship(__name__)
 
 ORDER = 5
 DISCOUNT = 0.75
+WORD_DISCOUNT = 2.0
 CLASS_ROWS = 16384
 HOT_WORDS = 65536
 GRAMS_BROADCAST = 1_000_000
 THRESHOLD = 0.7
+FEATURES = ("per_word", "per_root", "worst")
 WORDS = r"[^\p{L}\p{N}]+"
+COUNTS = ("n", "toxic", "plain", "texts", "toxic_texts", "plain_texts")
 
 
 SLICE = 2000
@@ -70,10 +79,12 @@ def _slices(batches):
 def _count(batches):
     for b in _slices(batches):
         text, code, words = tokens(b.column("text"))
-        kind = b.column("class").fill_null(-1).to_numpy(zero_copy_only=False)[text]
-        n = [np.bincount(x, minlength=len(words)) for x in (code, code[kind == 1], code[kind == 0])]
+        kind = b.column("class").fill_null(-1).to_numpy(zero_copy_only=False)
+        once = np.unique(text.astype(np.int64) * max(1, len(words)) + code)  # each word of a text once
+        places = [(code, kind[text]), (once % max(1, len(words)), kind[once // max(1, len(words))])]
+        n = [np.bincount(x, minlength=len(words)) for c, k in places for x in (c, c[k == 1], c[k == 0])]
         used = pa.array(n[0] > 0)
-        yield pa.RecordBatch.from_arrays([x.filter(used) for x in (words, *map(pa.array, n))], ["w", "n", "toxic", "plain"])
+        yield pa.RecordBatch.from_arrays([x.filter(used) for x in (words, *map(pa.array, n))], ["w", *COUNTS])
 
 
 def _known(hot: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,16 +92,21 @@ def _known(hot: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, hot[at] == x if len(hot) else np.zeros(len(x), bool)
 
 
-def _near(hot: np.ndarray, toxic: np.ndarray, plain: np.ndarray):
-    """One row for each text: its words, and the sums over those that are hot."""
+def _near(hot: np.ndarray, toxic: np.ndarray, plain: np.ndarray, apart: np.ndarray):
+    """One row for each text: its words, and the sums and the greatest difference over those that are hot."""
     def run(batches):
         for b in _slices(batches):
             text, code, words = tokens(b.column("text"))
             at, known = _known(hot, hashes(words))
             near, n = known[code], b.num_rows
             sums = [(np.bincount(text[near], v[at[code[near]]], n) if len(hot) else np.zeros(n)).astype(float) for v in (toxic, plain)]
+            worst = np.full(n, -np.inf)
+            if len(hot):
+                np.maximum.at(worst, text[near], apart[at[code[near]]])
+            worst = pa.array(worst, mask=np.isinf(worst))
             yield pa.RecordBatch.from_arrays(
-                [b.column("d"), b.column("h"), *map(pa.array, (np.bincount(text, minlength=n), *sums))], ["d", "h", "words", "t", "p"])
+                [b.column("d"), b.column("h"), *map(pa.array, (np.bincount(text, minlength=n), *sums)), worst],
+                ["d", "h", "words", "t", "p", "worst"])
     return run
 
 
@@ -116,13 +132,13 @@ def learning_rows(labels: DataFrame, admitted: Column) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, learning: DataFrame) -> DataFrame:
-    """(w, n, toxic, plain): counts of each word in all texts, and in the learning texts of each class."""
+    """(w, n, toxic, plain, and the same for texts): places and texts of each word, in all and in the learning texts of each class."""
     keyed = docs.withColumn("_d", column(docs, "doc_id", "long")).join(
         F.broadcast(learning.filter("NOT calibrate").select(F.col("d").alias("_d"), F.col("toxic").alias("_class"))), "_d", "left"
     )
     parts = keyed.select(F.col("_class").cast("int").alias("class"), column(docs, "text", "string").alias("text")).mapInArrow(
-        _count, "w string, n long, toxic long, plain long")
-    return parts.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "plain")])
+        _count, "w string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return parts.groupBy("w").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def _events(words: DataFrame, *keep: str) -> DataFrame:
@@ -174,17 +190,31 @@ def models(words: DataFrame) -> DataFrame:
     return stage(joined.select("g", logp("toxic"), logp("plain")), "model")
 
 
+def words_apart(words: DataFrame) -> DataFrame:
+    """``words`` with ``apart``: how much likelier the word is in a toxic text than in an ordinary one (natural logarithm)."""
+    kept = [F.sum(F.least(F.col(f"{c}_texts").cast("double"), F.lit(WORD_DISCOUNT))).alias(c) for c in ("toxic", "plain")]
+    all_of = words.agg(*[F.sum(c).alias(c) for c in ("texts", "toxic_texts", "plain_texts")], *kept).first()
+    shared = F.col("texts") / F.lit(float(all_of["texts"] or 1))
+
+    def logp(c: str) -> Column:
+        n = float(all_of[f"{c}_texts"] or 0)
+        own = F.greatest(F.col(f"{c}_texts") - WORD_DISCOUNT, F.lit(0.0))
+        return F.log((own + float(all_of[c]) * shared) / n) if n else F.log(shared)
+
+    return words.withColumn("apart", logp("toxic") - logp("plain"))
+
+
 def word_scores(words: DataFrame, model: DataFrame) -> DataFrame:
-    """(x, n, toxic, plain): hash and log-likelihoods of every word."""
+    """(x, n, toxic, plain, apart): hash, log-likelihoods of the spelling and difference of the word models for every word."""
     small = model.count() <= GRAMS_BROADCAST
-    scored = _events(words.withColumn("x", F.xxhash64("w")), "x", "n").join(F.broadcast(model) if small else model, "g")
-    return stage(
-        scored.groupBy("x").agg(F.max("n").alias("n"), F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")), "words"
-    )
+    keyed = words_apart(words).withColumn("x", F.xxhash64("w"))
+    scored = _events(keyed, "x", "n", "apart").join(F.broadcast(model) if small else model, "g")
+    return stage(scored.groupBy("x").agg(
+        F.max("n").alias("n"), F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"), F.max("apart").alias("apart")), "words")
 
 
 def likelihoods(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """(d, h, words, toxic, plain): log-likelihoods of each text."""
+    """(d, h, words, toxic, plain, worst): log-likelihoods of each text, and the greatest difference of a word (0 without words)."""
     sizes = words.groupBy(F.ceil(F.log2("n")).cast("int").alias("b")).count().orderBy(F.desc("b")).collect()  # at most 64 rows
     bound, seen = 64, 0
     for r in sizes:
@@ -193,16 +223,19 @@ def likelihoods(docs: DataFrame, words: DataFrame) -> DataFrame:
             break
         bound = r["b"]
     hot = F.ceil(F.log2("n")).cast("int") >= bound
-    known = words.select("x", F.col("toxic").alias("t"), F.col("plain").alias("p"), hot.alias("hot"))
-    top = known.filter("hot").select("x", "t", "p").toPandas().sort_values("x")  # at most HOT_WORDS
+    known = words.select("x", F.col("toxic").alias("t"), F.col("plain").alias("p"), F.col("apart").alias("worst"), hot.alias("hot"))
+    top = known.filter("hot").select("x", "t", "p", "worst").toPandas().sort_values("x")  # at most HOT_WORDS
     hot_x = top["x"].to_numpy()
     texts = docs.select(*row_key(docs), column(docs, "text", "string").alias("text"))
-    near = texts.mapInArrow(_near(hot_x, top["t"].to_numpy(), top["p"].to_numpy()), "d long, h long, words long, t double, p double")
-    far = texts.mapInArrow(_far(hot_x), "d long, h long, x long").join(known.filter("NOT hot").select("x", "t", "p"), "x")
-    far = far.groupBy("d", "h").agg(F.lit(0).cast("long").alias("words"), F.sum("t").alias("t"), F.sum("p").alias("p"))
+    near = texts.mapInArrow(
+        _near(hot_x, top["t"].to_numpy(), top["p"].to_numpy(), top["worst"].to_numpy()),
+        "d long, h long, words long, t double, p double, worst double")
+    far = texts.mapInArrow(_far(hot_x), "d long, h long, x long").join(known.filter("NOT hot").select("x", "t", "p", "worst"), "x")
+    far = far.groupBy("d", "h").agg(
+        F.lit(0).cast("long").alias("words"), F.sum("t").alias("t"), F.sum("p").alias("p"), F.max("worst").alias("worst"))
     return near.union(far).groupBy("d", "h").agg(
-        F.sum("words").alias("words"), F.coalesce(F.sum("t"), F.lit(0.0)).alias("toxic"), F.coalesce(F.sum("p"), F.lit(0.0)).alias("plain")
-    )
+        F.sum("words").alias("words"), F.coalesce(F.sum("t"), F.lit(0.0)).alias("toxic"), F.coalesce(F.sum("p"), F.lit(0.0)).alias("plain"),
+        F.coalesce(F.max("worst"), F.lit(0.0)).alias("worst"))
 
 
 def _features() -> list[Column]:
@@ -211,10 +244,10 @@ def _features() -> list[Column]:
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights (constant, per_word, per_root) of a ridge logistic regression by Newton steps."""
+    """Weights (a constant, then one for each column of ``x``) of a ridge logistic regression by Newton steps."""
     a = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(3)
-    ridge = np.diag([1e-6, 1e-3, 1e-3])
+    w = np.zeros(a.shape[1])
+    ridge = np.diag([1e-6] + [1e-3] * x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (y - p) - ridge @ w)
@@ -231,12 +264,13 @@ def score(docs: DataFrame, labels: DataFrame, admitted: Column | None = None) ->
     copies = docs.select(*row_key(docs)).groupBy("d", "h").agg(F.count("*").alias("times"))
     sums = likelihoods(docs, word_scores(words, models(words))).join(copies, ["d", "h"])
     one = [(F.col(c) / F.col("times")).alias(c) for c in ("words", "toxic", "plain")]  # equal rows were added up
-    found = stage(sums.select("d", "h", "times", *one).select("*", *_features()), "likelihoods")
+    found = stage(sums.select("d", "h", "times", "worst", *one).select("*", *_features()), "likelihoods")
     set_aside = found.join(F.broadcast(learning.filter("calibrate")).alias("y"), "d")
-    rows = set_aside.groupBy("d").agg(F.avg("per_word").alias("per_word"), F.avg("per_root").alias("per_root"), F.max("y.toxic").alias("y"))
+    rows = set_aside.groupBy("d").agg(*[F.avg(c).alias(c) for c in FEATURES], F.max("y.toxic").alias("y"))
     rows = rows.toPandas()  # one for each id, at most 2 * CLASS_ROWS
-    w = calibrate(rows[["per_word", "per_root"]].to_numpy(), rows["y"].to_numpy(float)) if rows["y"].nunique() == 2 else np.zeros(3)
-    z = F.lit(float(w[0])) + float(w[1]) * F.col("per_word") + float(w[2]) * F.col("per_root")
+    both = rows["y"].nunique() == 2
+    w = calibrate(rows[list(FEATURES)].to_numpy(), rows["y"].to_numpy(float)) if both else np.zeros(1 + len(FEATURES))
+    z = sum((float(v) * F.col(c) for v, c in zip(w[1:], FEATURES, strict=True)), F.lit(float(w[0])))
     n = F.greatest(F.col("words"), F.lit(1))
     once = found.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return once.select(
