@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -399,6 +400,44 @@ def test_toxicity_on_held_out_documents(spark):
     assert right >= 0.95 * len(held)
 
 
+def test_whole_word_models_by_hand(spark):
+    rows = [(1, "bad bad x"), (2, "bad y"), (3, "bad x"), (4, "x y"), (5, "x"), (6, "x z"), (7, "bad q"), (None, None)]
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(1, 7)], "doc_id long, toxic int")
+    learning = labels.selectExpr("doc_id AS d", "toxic", "false AS calibrate")
+    words = kneser_ney.vocabulary(docs_of(spark, rows), learning)
+    got = {r["w"]: r for r in kneser_ney.words_apart(words).collect()}
+    held = {w: [{i for i, t in rows if w in (t or "").split() and (i or 9) in ids} for ids in (range(10), (1, 2, 3), (4, 5, 6))] for w in "bad x y z q".split()}
+    assert {w: (r["texts"], r["toxic_texts"], r["plain_texts"]) for w, r in got.items()} == {w: tuple(map(len, h)) for w, h in held.items()}
+    assert got["bad"]["n"] == 5 and got["bad"]["toxic"] == 4
+
+    def p(w, c):
+        own, every = {v: len(h[c]) for v, h in held.items()}, sum(len(h[0]) for h in held.values())
+        left = sum(min(kneser_ney.WORD_DISCOUNT, n) for n in own.values())
+        return (max(own[w] - kneser_ney.WORD_DISCOUNT, 0) + left * len(held[w][0]) / every) / sum(own.values())
+
+    assert all(abs(got[w]["apart"] - np.log(p(w, 1) / p(w, 2))) < 1e-12 for w in held)
+    hot = np.array(sorted(kneser_ney.hashes(pa.array(["bad"]))))
+    batch = pa.RecordBatch.from_pydict({"d": [1, 2], "h": [3, 4], "text": ["bad x bad", None]})
+    near = next(kneser_ney._near(hot, np.array([-1.0]), np.array([-2.0]), np.array([0.5]))([batch])).to_pydict()
+    r = np.exp(0.5 * kneser_ney.SHARPNESS)
+    assert near["words"] == [3, 0] and near["t"] == [-2, 0] and np.allclose(near["r"], [2 * r, 0]) and np.allclose(near["rr"], [2 * r * r, 0])
+
+
+def test_two_rude_words_in_long_texts_are_found(spark):
+    rnd = random.Random(5)
+    plain, rude = [f"w{i}" for i in range(3000)], [f"rude{c}" for c in "abcdef"]
+    rows = []
+    for i in range(600):
+        words = [rnd.choice(plain) for _ in range(rnd.randrange(100, 400))]
+        if i % 4 == 0:
+            words[7], words[-7] = rnd.choice(rude), rnd.choice(rude)
+        rows.append((i, " ".join(words)))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = kneser_ney.score(docs_of(spark, rows), labels, F.col("doc_id") % 3 != 1).collect()
+    held = [(r["score"] >= 0.7, r["doc_id"] % 4 == 0) for r in got if r["doc_id"] % 3 == 1]
+    assert sum(s for s, t in held if t) >= 0.9 * sum(t for _, t in held) and sum(s for s, t in held if not t) <= 3
+
+
 def test_one_of_near_copies_with_null_and_repeated_ids(spark):
     words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
     rows = [(None, words("a", 80) + x) for x in ("", " x", " y", " y")] + [(7, words("b", 80) + x) for x in ("", " x", " y")]

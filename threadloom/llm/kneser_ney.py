@@ -9,8 +9,10 @@ words; the difference is divided by the number of words and by its root.
 
 A second pair of models predicts whole words. They count the texts of the class that hold a word, so
 that one text which repeats a word does not make it typical, less a discount of ``WORD_DISCOUNT``,
-and back off to the share of the word among the texts of the whole corpus. Their difference is taken
-at the text's worst word, so that a rude word in a long ordinary text is not averaged away.
+and back off to the share of the word among the texts of the whole corpus. Rude texts are taken to
+draw two of their words from the toxic model: the likelihood ratios of both words, raised to
+``SHARPNESS``, are multiplied and added up over all pairs of places, so that two rude words in a long
+ordinary text are not averaged away. Two words of ratio 1 are added to every text, for texts of less.
 All three differences go through a logistic calibration.
 
 The class counts come from at most ``CLASS_ROWS`` labelled documents of each class (least hash of
@@ -18,8 +20,8 @@ the id first) that the caller's filter admits; a quarter of them is set aside fo
 Everything else covers all rows. Words are looked up in two ways: the at most ``HOT_WORDS`` most
 frequent words go to every task, the others are joined.
 
-Null and empty texts have no words and get the calibrated score of differences of 0. Of words that are
-equally bad any is the worst, their difference is the same. Without
+Null and empty texts have no words and get the calibrated score of differences of 0. Equal
+words count at each of their places. Without
 labels of both classes every score is 0.5. Labels that are null do not count; of several labels
 of one document the largest counts. Repeated rows get a row each. Other columns are not read.
 """
@@ -41,12 +43,14 @@ ship(__name__)
 ORDER = 5
 DISCOUNT = 0.75
 WORD_DISCOUNT = 2.0
+SHARPNESS = 4.0
 CLASS_ROWS = 16384
 HOT_WORDS = 65536
 GRAMS_BROADCAST = 1_000_000
 THRESHOLD = 0.7
-FEATURES = ("per_word", "per_root", "worst")
+FEATURES = ("per_word", "per_root", "pairs")
 WORDS = r"[^\p{L}\p{N}]+"
+SUMS = ("t", "p", "r", "rr")
 COUNTS = ("n", "toxic", "plain", "texts", "toxic_texts", "plain_texts")
 
 
@@ -93,20 +97,17 @@ def _known(hot: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _near(hot: np.ndarray, toxic: np.ndarray, plain: np.ndarray, apart: np.ndarray):
-    """One row for each text: its words, and the sums and the greatest difference over those that are hot."""
+    """One row for each text: its words, and the sums over those that are hot."""
+    ratio = np.exp(SHARPNESS * apart)
+
     def run(batches):
         for b in _slices(batches):
             text, code, words = tokens(b.column("text"))
             at, known = _known(hot, hashes(words))
             near, n = known[code], b.num_rows
-            sums = [(np.bincount(text[near], v[at[code[near]]], n) if len(hot) else np.zeros(n)).astype(float) for v in (toxic, plain)]
-            worst = np.full(n, -np.inf)
-            if len(hot):
-                np.maximum.at(worst, text[near], apart[at[code[near]]])
-            worst = pa.array(worst, mask=np.isinf(worst))
+            sums = [(np.bincount(text[near], v[at[code[near]]], n) if len(hot) else np.zeros(n)).astype(float) for v in (toxic, plain, ratio, ratio * ratio)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("d"), b.column("h"), *map(pa.array, (np.bincount(text, minlength=n), *sums)), worst],
-                ["d", "h", "words", "t", "p", "worst"])
+                [b.column("d"), b.column("h"), *map(pa.array, (np.bincount(text, minlength=n), *sums))], ["d", "h", "words", *SUMS])
     return run
 
 
@@ -214,7 +215,7 @@ def word_scores(words: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def likelihoods(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """(d, h, words, toxic, plain, worst): log-likelihoods of each text, and the greatest difference of a word (0 without words)."""
+    """(d, h, words, t, p, r, rr): log-likelihoods of each text, sums of its words' sharpened likelihood ratios and of their squares."""
     sizes = words.groupBy(F.ceil(F.log2("n")).cast("int").alias("b")).count().orderBy(F.desc("b")).collect()  # at most 64 rows
     bound, seen = 64, 0
     for r in sizes:
@@ -223,24 +224,26 @@ def likelihoods(docs: DataFrame, words: DataFrame) -> DataFrame:
             break
         bound = r["b"]
     hot = F.ceil(F.log2("n")).cast("int") >= bound
-    known = words.select("x", F.col("toxic").alias("t"), F.col("plain").alias("p"), F.col("apart").alias("worst"), hot.alias("hot"))
-    top = known.filter("hot").select("x", "t", "p", "worst").toPandas().sort_values("x")  # at most HOT_WORDS
+    known = words.select("x", F.col("toxic").alias("t"), F.col("plain").alias("p"), "apart", hot.alias("hot"))
+    top = known.filter("hot").select("x", "t", "p", "apart").toPandas().sort_values("x")  # at most HOT_WORDS
     hot_x = top["x"].to_numpy()
     texts = docs.select(*row_key(docs), column(docs, "text", "string").alias("text"))
     near = texts.mapInArrow(
-        _near(hot_x, top["t"].to_numpy(), top["p"].to_numpy(), top["worst"].to_numpy()),
-        "d long, h long, words long, t double, p double, worst double")
-    far = texts.mapInArrow(_far(hot_x), "d long, h long, x long").join(known.filter("NOT hot").select("x", "t", "p", "worst"), "x")
-    far = far.groupBy("d", "h").agg(
-        F.lit(0).cast("long").alias("words"), F.sum("t").alias("t"), F.sum("p").alias("p"), F.max("worst").alias("worst"))
+        _near(hot_x, top["t"].to_numpy(), top["p"].to_numpy(), top["apart"].to_numpy()),
+        "d long, h long, words long, " + ", ".join(f"{c} double" for c in SUMS))
+    far = texts.mapInArrow(_far(hot_x), "d long, h long, x long").join(known.filter("NOT hot").select("x", "t", "p", F.exp(SHARPNESS * F.col("apart")).alias("r")), "x")
+    far = far.withColumn("rr", F.col("r") * F.col("r")).groupBy("d", "h").agg(
+        F.lit(0).cast("long").alias("words"), *[F.sum(c).alias(c) for c in SUMS])
     return near.union(far).groupBy("d", "h").agg(
-        F.sum("words").alias("words"), F.coalesce(F.sum("t"), F.lit(0.0)).alias("toxic"), F.coalesce(F.sum("p"), F.lit(0.0)).alias("plain"),
-        F.coalesce(F.max("worst"), F.lit(0.0)).alias("worst"))
+        F.sum("words").alias("words"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in SUMS]
+    )
 
 
 def _features() -> list[Column]:
     apart, n = F.col("toxic") - F.col("plain"), F.greatest(F.col("words"), F.lit(1))
-    return [(apart / n).alias("per_word"), (apart / F.sqrt(n)).alias("per_root")]
+    # Pairs of two words of the text, of one and an added one, and the pair of added ones.
+    pairs = F.greatest(F.col("r") * F.col("r") - F.col("rr"), F.lit(0.0)) / 2 + 2 * F.col("r") + 1
+    return [(apart / n).alias("per_word"), (apart / F.sqrt(n)).alias("per_root"), (F.log(pairs) / SHARPNESS).alias("pairs")]
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -263,8 +266,9 @@ def score(docs: DataFrame, labels: DataFrame, admitted: Column | None = None) ->
     words = stage(vocabulary(docs, learning), "vocabulary")
     copies = docs.select(*row_key(docs)).groupBy("d", "h").agg(F.count("*").alias("times"))
     sums = likelihoods(docs, word_scores(words, models(words))).join(copies, ["d", "h"])
-    one = [(F.col(c) / F.col("times")).alias(c) for c in ("words", "toxic", "plain")]  # equal rows were added up
-    found = stage(sums.select("d", "h", "times", "worst", *one).select("*", *_features()), "likelihoods")
+    named = {"t": "toxic", "p": "plain"}
+    one = [(F.col(c) / F.col("times")).alias(named.get(c, c)) for c in ("words", *SUMS)]  # equal rows were added up
+    found = stage(sums.select("d", "h", "times", *one).select("*", *_features()), "likelihoods")
     set_aside = found.join(F.broadcast(learning.filter("calibrate")).alias("y"), "d")
     rows = set_aside.groupBy("d").agg(*[F.avg(c).alias(c) for c in FEATURES], F.max("y.toxic").alias("y"))
     rows = rows.toPandas()  # one for each id, at most 2 * CLASS_ROWS
