@@ -89,6 +89,47 @@ def test_memo_and_long_windows_give_the_same(spark):
         assert once[4] == hashlib.sha256(whole.encode()).hexdigest() and once[3] == len(pairs)
 
 
+def test_words_apart_give_what_whole_texts_give():
+    a, b = side_tokens()
+    assert a.apart and b.apart
+    rng = random.Random(8)
+    parts = ["ab", " ", " ", "  ", "\n", "\t", "é", "the", " of", "😀", "-", "▁", "\u3000", "\xa0", "\x1c", "\x85", "'s", "<unk>", "日本語", "x" * 70]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(600)] + [t or "" for t in TEXTS]
+    memo, whole = crosstok.Memo(a, b), crosstok.Memo(a, b)
+    for at in range(0, len(texts), 50):
+        some = texts[at : at + 50]
+        for text, x, y, got in zip(some, a.ids(some), b.ids(some), memo.documents(some), strict=True):
+            want = whole.document(text, x, y) if text else None
+            assert (got is None) == (want is None), text
+            assert got is None or got[:5] == want[:5] and (got[5] == want[5]).all() and (got[6] == want[6]).all(), text
+    assert all(len(w) <= crosstok.MEMO_CHARS for w in memo.words)
+
+
+def test_words_seen_before_are_not_encoded_again(monkeypatch):
+    a, b = side_tokens()
+    sent = []
+
+    def counting(side):
+        def encode(texts):
+            texts = list(texts)
+            sent.extend(texts)
+            return side.encode(texts)
+        return crosstok.Side(encode, side.tokens, side.lossless, side.apart)
+
+    memo = crosstok.Memo(counting(a), counting(b))
+    words = [f"w{i}" for i in range(300)]
+    first = memo.documents([" ".join(words), ""])
+    assert sorted(" ".join(sent).split()) == sorted(words * 2)  # once by each tokenizer
+    sent.clear()
+    again = memo.documents([" ".join(words), " ".join(reversed(words))])
+    assert not sent and again[0][:5] == first[0][:5]
+    monkeypatch.setattr(crosstok, "MEMO_WINDOWS", 10)
+    memo.documents(["new"])
+    assert sent == ["new", "new"] and len(memo.words) == 1
+    memo.documents(["w5 new w7"])
+    assert sent == ["new", "new"] and set(memo.words) == {"new", "w5", "w7"}  # from those before
+
+
 def test_quick_encoder_gives_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
