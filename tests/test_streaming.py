@@ -1,11 +1,14 @@
 """Online segmentation: lines out of order, gaps that are given up, late and repeated lines, silent sessions."""
 
 import random
+from pathlib import Path
 
 import pandas as pd
 
 from threadloom.operators.scan import Order
 from threadloom.operators.segment import segment_a
+from threadloom.plans import catalog
+from threadloom.session import scratch_root
 from threadloom.streaming import online
 
 
@@ -88,3 +91,23 @@ def test_a_stream_out_of_order_equals_the_batch(spark, tmp_path):
     want = segment_a(spark.createDataFrame(rows, cols).fillna("", ["parent"]), Order(("session",), ("seq",))).select(*names)
     assert sorted(got.where("NOT late").select(*names).collect()) == sorted(want.collect())
     assert got.where("late").count() == 4
+
+
+def test_micro_batches_do_not_grow_with_the_files_of_a_slice(spark, tmp_path):
+    kinds = ["click", "view", "purchase", "error", "signup"]
+    rows = [(i, i * 7 % 400, i % 40, kinds[i * i % 5], float(i), f'{{"k": {i % 11}}}') for i in range(400)]
+    cols = "event_id bigint, ts bigint, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "events.parquet"))
+    folder = Path(scratch_root(spark)) / "threadloom"
+    before = set(folder.glob("stream-*"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # no files are merged
+    try:
+        got = catalog.QUERIES["stream_segment"](spark, str(tmp_path)).collect()
+        want = catalog.QUERIES["pairs_segment_a"](spark, str(tmp_path)).select("session", "event_id", "pair", "opener").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    (base,) = set(folder.glob("stream-*")) - before
+    assert len(list((base / "in").glob("*.parquet"))) > 4
+    assert len([p for p in (base / "state" / "commits").iterdir() if p.name.isdigit()]) == 4
+    assert sorted(got) == sorted(want) and len(got) == 400

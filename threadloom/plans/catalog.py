@@ -1169,7 +1169,11 @@ def delegate_units(spark, sf):
     SELECT f AS session, event_id AS seq, CAST(pair AS BIGINT) AS pair, coalesce(opener, false) AS opener
     FROM s5"""))
 def stream_segment(spark, sf):
-    """The segmentation as a stream of slices, the second and third in the wrong order: lines wait for those before them."""
+    """The segmentation as a stream of slices, the second and third in the wrong order: lines wait for those before them.
+
+    Each slice is one run of the stream, which goes on from the checkpoint. So there are as many micro-batches as slices,
+    however many files these have: each micro-batch costs the driver a report of every state partition.
+    """
     ev = log_view_e(spark, sf).select(
         "session", F.col("event_id").alias("id"), F.col("kind_a").alias("kind"), "parent", "ts")
     line = F.row_number().over(Window.partitionBy("session").orderBy("ts", "id")) - 1
@@ -1180,11 +1184,11 @@ def stream_segment(spark, sf):
     for i in (0, 2, 1, 3):
         rows = cut.where(F.col("part") == i).select("session", "seq", "kind", "parent")
         rows.repartition("session").write.mode("append").parquet(f"{base}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    done = (segment_stream(source, first=0).writeStream.format("parquet")
-            .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
-            .trigger(availableNow=True).start())
-    done.awaitTermination()
+        source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        done = (segment_stream(source, first=0).writeStream.format("parquet")
+                .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+                .trigger(availableNow=True).start())
+        done.awaitTermination()
     out = spark.read.parquet(f"{base}/out").where("NOT late").select("session", "seq", "pair", "opener")
     return out.join(ev.select("session", "seq", "id"), ["session", "seq"]).select(
         "session", F.col("id").alias("seq"), "pair", "opener")
