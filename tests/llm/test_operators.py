@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from threadloom.llm import fingerprint, kneser_ney, license_scan, line_dedup, mixing, ngram_join, packing, quotes, topk, warc
+from threadloom.session import drop_staged, scratch_root
 
 DOCS = "doc_id long, text string, source string, d string, h int, copy string"
 
@@ -258,6 +260,28 @@ def test_line_dedup_finds_passages_and_keeps_the_rest(spark):
             assert not Counter(own[i]) - Counter(got[i].split())
 
 
+def test_line_dedup_deletes_what_it_no_longer_reads(spark, tmp_path):
+    folder = Path(scratch_root(spark)) / "threadloom"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    long = " ".join(f"word{i}, it says." for i in range(60))
+    rows = [(1, f"a b\n{long}\nc"), (2, f"x\n{long}\ny")]
+    got = {r["d"]: r["clean"] for r in line_dedup.dedup(docs_of(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "x\ny"}
+    assert sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - before) == ["gone", "numbered"]
+    spark.range(1).write.parquet(str(tmp_path / "given"))
+    with pytest.raises(ValueError, match="no staged table"):
+        drop_staged(spark.read.parquet(str(tmp_path / "given")))
+    assert (tmp_path / "given").exists()
+
+
+def test_slices_of_long_texts_hold_few_bytes():
+    texts = pa.array(["x" * 3_000_000, None, "y" * 3_000_000, "z" * 9_000_000] + ["short"] * 2500)
+    parts = list(ngram_join._slices([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts, texts], ["a", "ta", "tb"])]))
+    assert pa.Table.from_batches(parts).column("ta").to_pylist() == texts.to_pylist()
+    assert [p.num_rows for p in parts] == [1, 1, 1, 1, 1000, 1000, 500]
+    assert list(ngram_join._slices([parts[0].slice(0, 0)])) == []
+
+
 def test_line_dedup_growth_and_cut():
     assert line_dedup.same_end("x aa bb ", "y aa bb ") == 6 and line_dedup.same_end("xaa bb ", "yaa bb ") == 3
     assert line_dedup.same_start(" aa bbx", " aa bby") == 3 and line_dedup.same_start("aa", "aa") == 2 and line_dedup.same_start("ab", "a") == 0

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import column, row_key, ship
-from threadloom.session import scratch_dir
+from threadloom.session import drop_staged, scratch_dir
 
 ship(__name__)
 
@@ -46,6 +46,8 @@ SALT_ROWS = 4096
 ROLL = 0x9E3779B97F4A7C15
 UNIT_END = re.compile(r"(?:\n|[.!?,;:]+(?=\s))\s*")
 WORD = re.compile(r"\S+")
+#: Texts handed to Python that give their rows at a time.
+TEXTS = 1000
 CHUNKS = "d long, rid long, no int, key long"
 SLICES = "key long, salt int, first boolean, rid long, at int, end int, whole int, pre string, body string, post string"
 
@@ -73,8 +75,14 @@ def chunks(text: str) -> list[tuple[int, int, int]]:
     return [(i, j, xxhash.xxh3_64_intdigest(text[i:j].rstrip()) - (1 << 63)) for i, j in pairwise(bounds)]
 
 
-def _chunks(batches):
+def _some(batches):
     for rows in batches:
+        for at in range(0, len(rows), TEXTS):
+            yield rows.iloc[at : at + TEXTS]
+
+
+def _chunks(batches):
+    for rows in _some(batches):
         out = []
         for d, rid, text in zip(rows["d"], rows["rid"], rows["text"], strict=True):
             for no, (at, end, key) in enumerate(chunks(text)) if text else ():
@@ -85,7 +93,7 @@ def _chunks(batches):
 
 def _slices(batches):
     """Text of the repeated chunks of each row, with the neighbours' where a match may grow."""
-    for rows in batches:
+    for rows in _some(batches):
         out = []
         for rid, text, marks in zip(rows["rid"], rows["text"], rows["marks"], strict=True):
             marks, own = sorted(marks, key=lambda m: m["no"]), chunks(text)
@@ -211,10 +219,15 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """(rid, at, end) of each match of numbered rows with an earlier place, in characters."""
-    found = stage(rows.select("d", "rid", "text").mapInPandas(_chunks, CHUNKS), "chunks")
-    again = stage(found.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1"), "again")
-    found = stage(found.join(again, "key"), "repeated")
+    """(rid, gone) of numbered rows with matches: (at, end) of each match with an earlier place, in characters.
+
+    A written table; those on the way to it are deleted as soon as the next one is there.
+    """
+    every = stage(rows.select("d", "rid", "text").mapInPandas(_chunks, CHUNKS), "chunks")
+    again = stage(every.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1"), "again")
+    found = stage(every.join(again, "key"), "repeated")
+    drop_staged(every)
+    drop_staged(again)
     place = F.struct("d", "rid", "no")
     firsts = found.groupBy("key").agg(F.min(place).alias("f"))
     marks = found.join(firsts, "key").select(
@@ -222,14 +235,20 @@ def repeated(rows: DataFrame) -> DataFrame:
         (place == F.col("f")).alias("first"), F.col("f.rid").alias("rid0"), F.col("f.no").alias("no0"))
     marks = marks.groupBy("rid").agg(F.collect_list(F.struct("no", "salts", "first", "rid0", "no0")).alias("marks"))  # at most the text's chunks
     marks = stage(marks, "marks")
-    slices = stage(rows.select("rid", "text").join(marks, "rid").mapInPandas(_slices, SLICES), "slices")
+    drop_staged(found)
+    # the few marks are hashed, so that no text is sorted
+    slices = stage(rows.select("rid", "text").join(marks.hint("shuffle_hash"), "rid").mapInPandas(_slices, SLICES), "slices")
+    drop_staged(marks)
     origin = slices.filter("first").select("key", "salt", *[F.col(c).alias(c + "0") for c in ("pre", "body", "post")])
     later = slices.filter("NOT first").join(origin, ["key", "salt"]).filter("body = body0")
     grow = F.pandas_udf(_grown, "before int, after int")
     grown = later.withColumn("by", grow("pre", "pre0", "post", "post0"))
     after = F.col("by.after")  # the neighbour's text starts where the chunk, with its white space, ends
     end = F.when(after > 0, F.col("at") + F.col("whole") + after).otherwise(F.col("end"))
-    return grown.select("rid", (F.col("at") - F.col("by.before")).alias("at"), end.alias("end"))
+    spans = grown.select("rid", (F.col("at") - F.col("by.before")).alias("at"), end.alias("end"))
+    gone = stage(spans.groupBy("rid").agg(F.collect_list(F.struct("at", "end")).alias("gone")), "gone")
+    drop_staged(slices)
+    return gone
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -238,7 +257,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     ``n_removed`` counts the runs removed, ``lines_removed`` the lines that went whole. ``doc`` holds the other columns of the row.
     """
     rows = _numbered(docs)
-    gone = stage(repeated(rows).groupBy("rid").agg(F.collect_list(F.struct("at", "end")).alias("gone")), "gone")
+    gone = repeated(rows).hint("shuffle_hash")
     out_cut = F.pandas_udf(_cut, "clean string, n_removed int, lines_removed int")
     found = rows.join(gone, "rid", "left").withColumn("cut", out_cut("text", "gone"))
     return found.select("rid", "d", "h", "text", "doc", "cut.*")
