@@ -41,10 +41,14 @@ ship(__name__)
 WORDS_IN_SHINGLE = 4
 PERCENT = 85
 COORDINATES = 256
+#: Rows, and bytes of texts or points, that Python works on at a time.
 SLICE = 1000
+SLICE_BYTES = 4 << 20
 BLOCK = 1024
 LEAF = 16
-TASK_ROWS = 20000
+#: Rows of buckets that a group holds in memory, and pairs of points compared at a time.
+TASK_ROWS = 5000
+PAIRS = 1 << 12
 BAND = 0.8
 M1, M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
@@ -118,9 +122,18 @@ def _digest(hashes: np.ndarray) -> int:
 
 
 def _slices(batches):
+    """Parts of the batches, of one row at least: pairs of long texts are many bytes in few rows."""
     for b in batches:
-        for at in range(0, b.num_rows, SLICE):
-            yield b.slice(at, SLICE)
+        size = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy()
+        total, at = size.cumsum(), 0
+        while at < b.num_rows:
+            most = (total[at - 1] if at else 0) + SLICE_BYTES
+            end = min(at + SLICE, max(at + 1, int(total.searchsorted(most, "right"))))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def _points(width: int):
@@ -181,8 +194,8 @@ def tree_pairs(n: np.ndarray, points: np.ndarray, mark: np.ndarray, percent: int
     for depth in range(len(levels) - 1, -1, -1):
         box, low, high = levels[depth]
         kept_i, kept_j = [], []
-        for s in range(0, len(i), 1 << 16):
-            a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+        for s in range(0, len(i), PAIRS):
+            a, b = i[s : s + PAIRS], j[s : s + PAIRS]
             fit = (high[b] * 100 >= low[a] * percent) & (high[a] * 100 >= low[b] * percent)
             a, b = a[fit], b[fit]
             fit = np.minimum(box[a], box[b]).sum(1) >= needed(low[a], low[b], percent)
