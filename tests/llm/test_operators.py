@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from threadloom.llm import fingerprint, kneser_ney, license_scan, line_dedup, mixing, ngram_join, packing, quotes, topk, warc
+from threadloom.llm.common import NULL_ID, numbered
 from threadloom.session import drop_staged, scratch_root
 
 DOCS = "doc_id long, text string, source string, d string, h int, copy string"
@@ -274,6 +276,41 @@ def test_line_dedup_deletes_what_it_no_longer_reads(spark, tmp_path):
     assert (tmp_path / "given").exists()
 
 
+def test_rows_of_parquet_files_are_numbered_without_a_copy(spark, tmp_path):
+    rows, _ = planted(random.Random(8))
+    rows += [(None, rows[0][1]), (3, None), (3, rows[2][1]), (3, rows[2][1])]
+    docs = docs_of(spark, rows)
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    files = spark.read.parquet(str(tmp_path / "docs"))
+    folder = Path(scratch_root(spark)) / "threadloom"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    got = Counter((r["d"], r["clean"]) for r in line_dedup.dedup(files).collect())
+    assert "numbered" not in {p.name.split("-")[0] for p in set(folder.iterdir()) - before}
+    assert Counter(i for i, _ in got.elements()) == Counter(NULL_ID if i is None else i for i, _ in rows)
+    assert got == Counter((r["d"], r["clean"]) for r in line_dedup.dedup(files.filter("true OR doc_id > 0").repartition(1)).collect())
+
+
+def test_row_numbers_differ_and_stay(spark, tmp_path):
+    spark.range(50).repartition(4).write.parquet(str(tmp_path / "n"))
+    path = str(tmp_path / "n")
+    one = spark.read.parquet(path)
+    for docs in (one, one.join(spark.range(2).withColumnRenamed("id", "copy")), spark.read.parquet(path, path), one.union(one), spark.range(9)):
+        rows = numbered(docs, [F.col("id")])
+        first = [tuple(r) for r in rows.orderBy("rid").collect()]
+        assert len({r[1] for r in first}) == len(first) == docs.count()
+        assert [tuple(r) for r in rows.orderBy("rid").collect()] == first
+        assert Counter(r[0] for r in first) == Counter(r["id"] for r in docs.collect())
+
+
+def test_units_end_as_written_out():
+    rnd = random.Random(3)
+    plain = re.compile(r"(?:\n|[.!?,;:]+(?=\s))\s*")
+    for _ in range(3000):
+        text = "".join(rnd.choice("ab .,!?;:\n\t\u2003\x85") for _ in range(rnd.randrange(30)))
+        at = rnd.randrange(len(text) + 1)
+        assert [m.span() for m in line_dedup.UNIT_END.finditer(text, at)] == [m.span() for m in plain.finditer(text, at)]
+
+
 def test_slices_of_long_texts_hold_few_bytes():
     texts = pa.array(["x" * 3_000_000, None, "y" * 3_000_000, "z" * 9_000_000] + ["short"] * 2500)
     parts = list(ngram_join._slices([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts, texts], ["a", "ta", "tb"])]))

@@ -24,12 +24,15 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import column, row_key, ship
-from threadloom.session import drop_staged, scratch_dir
+from threadloom.llm.common import column, numbered, row_key, ship
+from threadloom.llm.common import stage_packed as stage
+from threadloom.session import drop_staged
 
 ship(__name__)
 
@@ -44,7 +47,8 @@ LONG_WORDS = 50
 #: Places of one chunk that meet its first text in one task.
 SALT_ROWS = 4096
 ROLL = 0x9E3779B97F4A7C15
-UNIT_END = re.compile(r"(?:\n|[.!?,;:]+(?=\s))\s*")
+#: A line end, or punctuation before white space, with the white space after it; one set of first characters makes the search fast.
+UNIT_END = re.compile(r"[\n.!?,;:](?:(?<=\n)|[.!?,;:]*(?=\s))\s*")
 WORD = re.compile(r"\S+")
 #: Texts handed to Python that give their rows at a time.
 TEXTS = 1000
@@ -77,44 +81,66 @@ def chunks(text: str) -> list[tuple[int, int, int]]:
 
 def _some(batches):
     for rows in batches:
-        for at in range(0, len(rows), TEXTS):
-            yield rows.iloc[at : at + TEXTS]
+        for at in range(0, rows.num_rows, TEXTS):
+            yield rows.slice(at, TEXTS)
+
+
+def _numbers(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False)
 
 
 def _chunks(batches):
     for rows in _some(batches):
-        out = []
-        for d, rid, text in zip(rows["d"], rows["rid"], rows["text"], strict=True):
+        times, places, keys = [], [], []
+        for text in rows.column("text").to_pylist():
+            before = len(keys)
             for no, (at, end, key) in enumerate(chunks(text)) if text else ():
                 if end - at >= CHUNK_CHARS:
-                    out.append((d, rid, no, key))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
+                    places.append(no)
+                    keys.append(key)
+            times.append(len(keys) - before)
+        d, rid = (np.repeat(_numbers(rows.column(c)), times) for c in ("d", "rid"))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(d), pa.array(rid), pa.array(places, pa.int32()), pa.array(keys, pa.int64())], ["d", "rid", "no", "key"])
 
 
 def _slices(batches):
     """Text of the repeated chunks of each row, with the neighbours' where a match may grow."""
     for rows in _some(batches):
-        out = []
-        for rid, text, marks in zip(rows["rid"], rows["text"], rows["marks"], strict=True):
-            marks, own = sorted(marks, key=lambda m: m["no"]), chunks(text)
-            for i, m in enumerate(marks):
-                no, first = m["no"], bool(m["first"])
-                at, end, key = own[no]
-                low, high = own[max(no - REACH, 0)][0], own[min(no + REACH, len(own) - 1)][1]
-                before = marks[i - 1] if i else None
-                after = marks[i + 1] if i + 1 < len(marks) else None
-
-                def follows(a, b):
-                    return a is not None and b is not None and b["no"] == a["no"] + 1 and not a["first"] and not b["first"] and (
-                        a["rid0"] == b["rid0"] and b["no0"] == a["no0"] + 1)
-
-                grows = first or m["rid0"] != rid
-                pre = text[low:at] if first or grows and not follows(before, m) else None
-                post = text[end:high] if first or grows and not follows(m, after) else None
-                body = text[at:end]
-                for salt in range(m["salts"]) if first else [rid % m["salts"]]:
-                    out.append((key, salt, first, rid, at, at + len(body.rstrip()), end - at, pre, body.rstrip(), post))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in SLICES.split(", ")])
+        lists, texts = rows.column("marks"), rows.column("text").to_pylist()
+        row = np.repeat(np.arange(rows.num_rows), _numbers(lists.value_lengths()))
+        marks = lists.flatten()
+        no, salts, first, rid0, no0 = (_numbers(pc.struct_field(marks, c)) for c in ("no", "salts", "first", "rid0", "no0"))
+        order = np.lexsort((no, row))
+        row, no, salts, first, rid0, no0 = (x[order] for x in (row, no, salts, first, rid0, no0))
+        rid = _numbers(rows.column("rid"))[row]
+        on = (row[1:] == row[:-1]) & (no[1:] == no[:-1] + 1) & ~first[1:] & ~first[:-1] & (rid0[1:] == rid0[:-1]) & (no0[1:] == no0[:-1] + 1)
+        grows = first | (rid0 != rid)  # where the match goes on in the next chunk, it needs no growing
+        back, ahead = grows & ~np.r_[False, on][: len(row)], grows & ~np.r_[on, False][: len(row)]
+        keys, starts, ends, whole, pre, body, post = [], [], [], [], [], [], []
+        here, text, own = -1, "", []
+        for r, n, b, a in zip(row.tolist(), no.tolist(), back.tolist(), ahead.tolist(), strict=True):
+            if r != here:
+                here, text = r, texts[r]
+                own = chunks(text)
+            at, end, key = own[n]
+            own_text = text[at:end].rstrip()
+            keys.append(key)
+            starts.append(at)
+            ends.append(at + len(own_text))
+            whole.append(end - at)
+            body.append(own_text)
+            pre.append(text[own[max(n - REACH, 0)][0] : at] if b else None)
+            post.append(text[end : own[min(n + REACH, len(own) - 1)][1]] if a else None)
+        # a first place goes to every task that holds later ones
+        times = np.where(first, salts, 1)
+        copy = np.arange(times.sum()) - np.repeat(times.cumsum() - times, times)
+        salt = np.where(np.repeat(first, times), copy, np.repeat(rid % salts, times))
+        every = [pa.array(keys, pa.int64()), pa.array(first), pa.array(rid), *(pa.array(x, pa.int32()) for x in (starts, ends, whole)), *(
+            pa.array(x, pa.string()) for x in (pre, body, post))]
+        every = [x.take(pa.array(np.repeat(np.arange(len(row)), times))) for x in every]
+        every.insert(1, pa.array(salt.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays(every, [c.split()[0] for c in SLICES.split(", ")])
 
 
 def same_end(a: str, b: str) -> int:
@@ -199,23 +225,11 @@ def _cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(kept, columns=["clean", "n_removed", "lines_removed"])
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """A written table in the shared folder, packed tighter than usual as it holds texts.
-
-    Spark deletes the shuffle files of a finished write when the driver's collector finds them unused, so that is called.
-    """
-    path = scratch_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    df.sparkSession._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(rid, d, h, text, doc), written once: ``rid`` numbers the rows, ``doc`` holds the other columns."""
+    """(d, h, text, doc, rid): ``rid`` numbers the rows, ``doc`` holds the other columns."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     doc = F.struct(*others) if others else F.lit(None).cast("struct<none:int>")
-    rows = docs.select(*row_key(docs), column(docs, "text", "string").alias("text"), doc.alias("doc"))
-    return stage(rows.withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    return numbered(docs, [*row_key(docs), column(docs, "text", "string").alias("text"), doc.alias("doc")])
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -223,7 +237,7 @@ def repeated(rows: DataFrame) -> DataFrame:
 
     A written table; those on the way to it are deleted as soon as the next one is there.
     """
-    every = stage(rows.select("d", "rid", "text").mapInPandas(_chunks, CHUNKS), "chunks")
+    every = stage(rows.select("d", "rid", "text").mapInArrow(_chunks, CHUNKS), "chunks")
     again = stage(every.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1"), "again")
     found = stage(every.join(again, "key"), "repeated")
     drop_staged(every)
@@ -237,7 +251,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     marks = stage(marks, "marks")
     drop_staged(found)
     # the few marks are hashed, so that no text is sorted
-    slices = stage(rows.select("rid", "text").join(marks.hint("shuffle_hash"), "rid").mapInPandas(_slices, SLICES), "slices")
+    slices = stage(rows.select("rid", "text").join(marks.hint("shuffle_hash"), "rid").mapInArrow(_slices, SLICES), "slices")
     drop_staged(marks)
     origin = slices.filter("first").select("key", "salt", *[F.col(c).alias(c + "0") for c in ("pre", "body", "post")])
     later = slices.filter("NOT first").join(origin, ["key", "salt"]).filter("body = body0")
@@ -259,5 +273,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = _numbered(docs)
     gone = repeated(rows).hint("shuffle_hash")
     out_cut = F.pandas_udf(_cut, "clean string, n_removed int, lines_removed int")
-    found = rows.join(gone, "rid", "left").withColumn("cut", out_cut("text", "gone"))
-    return found.select("rid", "d", "h", "text", "doc", "cut.*")
+    hit = F.col("gone").isNotNull()  # other texts need not go through Python
+    found = rows.join(gone, "rid", "left").withColumn("cut", out_cut(F.when(hit, F.col("text")), "gone"))
+    clean = F.when(hit, F.col("cut.clean")).otherwise(F.col("text"))
+    return found.select("rid", "d", "h", "text", "doc", clean.alias("clean"), "cut.n_removed", "cut.lines_removed")
