@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.llm import kneser_ney, line_dedup, mixing, ngram_join, packing
-from threadloom.llm.common import NULL_ID, row_key, table
-from threadloom.session import scratch_dir, stage
+from threadloom.llm.common import NULL_ID, numbered, row_key, table
+from threadloom.session import scratch_dir
 
 #: Near duplicates here: five words, similarity 0.8 or more.
 SHINGLE_WORDS = 5
@@ -47,12 +47,12 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows are compared under numbers of their own, so null and repeated ids are like others. Rows without words stay.
     """
-    rows = stage(_keyed(docs).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    rows = numbered(docs, [*row_key(docs), _whole(docs)])
     found = ngram_join.join(rows.select(F.col("rid").alias("doc_id"), F.col("doc.text").alias("text")), SHINGLE_WORDS, SHINGLE_PERCENT)
     found = found.select(F.col("doc_id").alias("rid"), "component_id").join(rows.select("rid", "d", "h"), "rid")
     least = F.min(F.struct((F.col("d") == NULL_ID).alias("no_id"), "d", "h", "rid"))
     kept = found.groupBy("component_id").agg(least.alias("first")).select(F.col("first.rid").alias("rid"))
-    return rows.join(kept, "rid", "left_semi").select("doc.*")
+    return rows.join(kept.hint("shuffle_hash"), "rid", "left_semi").select("doc.*")  # the few ids are hashed, no text is sorted
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +68,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(*row_key(docs), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return docs.select(*row_key(docs), _whole(docs))
+
+
+def _whole(docs: DataFrame):
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
 
 
 def _copy():

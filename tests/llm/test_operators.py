@@ -290,6 +290,53 @@ def test_rows_of_parquet_files_are_numbered_without_a_copy(spark, tmp_path):
     assert got == Counter((r["d"], r["clean"]) for r in line_dedup.dedup(files.filter("true OR doc_id > 0").repartition(1)).collect())
 
 
+def test_points_hold_any_count():
+    few, many = np.arange(1000, dtype=np.uint64) << np.uint64(20), np.zeros(300, np.uint64)
+    points = [ngram_join.point_of(h) for h in (few, many, few[:0])]
+    assert [len(p) for p in points] == [ngram_join.COORDINATES, 4 * ngram_join.COORDINATES, ngram_join.COORDINATES]
+    assert ngram_join.counts_of(points).sum(1).tolist() == [1000, 300, 0] and ngram_join.counts_of(points)[1, 0] == 300
+    assert ngram_join.counts_of(points[::2]).dtype == np.uint8 and ngram_join.counts_of(points[::2]).sum(1).tolist() == [1000, 0]
+
+
+def test_finer_counts_part_long_sets_and_lose_no_link():
+    rnd = np.random.default_rng(7)
+    for na, nb, both in ((9000, 9000, 40), (9000, 8000, 7600), (1100, 5000, 900), (20000, 19000, 18600)):
+        every = np.unique(rnd.integers(0, 2**63, na + nb, np.int64)).astype(np.uint64)
+        a, b = every[:na], every[na - both : na - both + nb]
+        bound = ngram_join.fine_bound(ngram_join.fine_of(a), ngram_join.fine_of(b), na, nb)
+        assert bound >= len(np.intersect1d(a, b))
+        points = ngram_join.counts_of([ngram_join.point_of(a), ngram_join.point_of(b)]).astype(int)
+        need = ngram_join.needed(na, nb, 80)
+        if both == 40:  # unrelated: the point's groups do not tell, the finer ones do
+            assert bound < need <= points.min(0).sum()
+    heavy = np.full(3000, 1 << 20, np.uint64)
+    assert ngram_join.fine_of(heavy[:1024]) is None and ngram_join.fine_bound(*[ngram_join.fine_of(heavy)] * 2, 3000, 3000) == 3000
+
+
+def test_long_near_copies_link(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(6):
+        own = [f"w{rnd.randrange(10**6)}" for _ in range(3000 + 900 * i)]
+        rows += [(10 * i, " ".join(own)), (10 * i + 1, " ".join(own[:-200] + [f"v{rnd.randrange(10**6)}" for _ in range(150)])), (10 * i + 2, " ".join(own[: len(own) // 2]))]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs_of(spark, rows)).collect()}
+    assert got == {i: i - i % 10 if i % 10 < 2 else i for i, _ in rows}
+
+
+def test_near_copies_leave_no_texts_behind(spark, tmp_path):
+    rnd = random.Random(12)
+    rows = [(i, " ".join(prose(rnd, 120))) for i in range(12)]
+    rows += [(100 + 20 * i + k, f"{t} {' '.join(prose(rnd, k))}") for i, t in rows for k in (1, 5, 9, 13)] + [(None, rows[0][1]), (0, None)]
+    docs_of(spark, rows).repartition(3).write.parquet(str(tmp_path / "docs"))
+    files = spark.read.parquet(str(tmp_path / "docs"))
+    folder = Path(scratch_root(spark)) / "threadloom"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    kept = corpus_pipeline.one_of_near_copies(spark, files, "").collect()
+    left = {p.name.split("-")[0] for p in set(folder.iterdir()) - before}
+    assert not left & {"numbered", "rows", "texts", "buckets", "rated", "pivots", "members", "placed"}
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([*rows[:12], (0, None)])
+
+
 def test_row_numbers_differ_and_stay(spark, tmp_path):
     spark.range(50).repartition(4).write.parquet(str(tmp_path / "n"))
     path = str(tmp_path / "n")

@@ -11,8 +11,9 @@ except for groups of one shingle or none if it has at most ``spare`` of those. N
 
 Inside a bucket, a point is the counts of shingles in ``COORDINATES`` hash groups. The points are
 packed into an R-tree; two nodes (or points) can only hold a linked pair if the sum over the
-coordinates of the lesser of both maxima reaches the overlap that their least sizes demand. Pairs
-left over are verified on whole sets.
+coordinates of the lesser of both maxima reaches the overlap that their least sizes demand. In long sets
+nearly all counts are large and alike, so pairs left over meet the same bound once more on as many groups as their sizes ask for
+(a multiple of ``COORDINATES``; the finer of two is summed up to the other's). What passes is verified on whole sets.
 
 Large groups of near copies stay linear: first every class is compared with the class, among those it meets, that
 meets most others (an original among its edited copies), then with the like of each of its buckets, and
@@ -34,13 +35,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.llm.common import column, components, doc_id_of, row_key, ship
-from threadloom.session import stage
+from threadloom.llm.common import stage_packed as stage
+from threadloom.session import drop_staged
 
 ship(__name__)
 
 WORDS_IN_SHINGLE = 4
 PERCENT = 85
 COORDINATES = 256
+#: Shingles for each hash group, at most, of a set's finer counts.
+FINE = 4
 #: Rows, and bytes of texts or points, that Python works on at a time.
 SLICE = 1000
 SLICE_BYTES = 4 << 20
@@ -136,17 +140,56 @@ def _slices(batches):
             at = end
 
 
+def point_of(hashes: np.ndarray) -> bytes:
+    """Counts of a set's shingles in the hash groups: a byte each, or four where one has more than a byte holds."""
+    counts = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % COORDINATES, minlength=COORDINATES)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.int32).tobytes()
+
+
+def coordinates_of(n: int) -> int:
+    """Hash groups of the finer counts of a set of this size."""
+    groups = COORDINATES
+    while n > groups * FINE:
+        groups *= 2
+    return groups
+
+
+def fine_of(hashes: np.ndarray) -> bytes | None:
+    """Finer counts of a set, as in ``point_of``; None where the point's are fine enough."""
+    groups = coordinates_of(len(hashes))
+    if groups == COORDINATES:
+        return None
+    counts = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % groups, minlength=groups)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.int32).tobytes()
+
+
+def fine_bound(a: bytes, b: bytes, na: int, nb: int) -> int:
+    """No two sets with these finer counts share more shingles."""
+    x, y = (np.frombuffer(p, np.uint8 if len(p) == coordinates_of(n) else np.int32) for p, n in ((a, na), (b, nb)))
+    groups = min(len(x), len(y))
+    x, y = (v if len(v) == groups else v.reshape(-1, groups).sum(0, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(x, y).sum(dtype=np.int64))
+
+
+def counts_of(points: list[bytes]) -> np.ndarray:
+    """One row of counts for each point."""
+    if all(len(p) == COORDINATES for p in points):
+        return np.frombuffer(b"".join(points), np.uint8).reshape(-1, COORDINATES)
+    return np.stack([np.frombuffer(p, np.uint8 if len(p) == COORDINATES else np.int32).astype(np.int32) for p in points])
+
+
 def _points(width: int):
     def run(batches):
         for b in _slices(batches):
-            n, low, points = [], [], []
+            n, low, points, fine = [], [], [], []
             for h in shingles(b.column("text"), width):
                 n.append(len(h))
                 low.append(_digest(h))
-                points.append(np.bincount((h >> np.uint64(20)).astype(np.int64) % COORDINATES, minlength=COORDINATES).astype(np.int32).tobytes())
+                points.append(point_of(h))
+                fine.append(fine_of(h))
             yield pa.RecordBatch.from_arrays(
-                [b.column("d"), b.column("h"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(points, pa.binary())],
-                ["d", "h", "n", "c", "point"],
+                [b.column("d"), b.column("h"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary())],
+                ["d", "h", "n", "c", "point", "fine"],
             )
     return run
 
@@ -198,7 +241,7 @@ def tree_pairs(n: np.ndarray, points: np.ndarray, mark: np.ndarray, percent: int
             a, b = i[s : s + PAIRS], j[s : s + PAIRS]
             fit = (high[b] * 100 >= low[a] * percent) & (high[a] * 100 >= low[b] * percent)
             a, b = a[fit], b[fit]
-            fit = np.minimum(box[a], box[b]).sum(1) >= needed(low[a], low[b], percent)
+            fit = np.minimum(box[a], box[b]).sum(1, dtype=np.int64) >= needed(low[a], low[b], percent)
             kept_i.append(a[fit])
             kept_j.append(b[fit])
         i, j = np.concatenate(kept_i), np.concatenate(kept_j)
@@ -217,7 +260,7 @@ def tree_pairs(n: np.ndarray, points: np.ndarray, mark: np.ndarray, percent: int
 def _trees(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["k", "x", "y", "c"], ignore_index=True)
-        points = np.frombuffer(b"".join(rows["point"]), np.int32).reshape(-1, COORDINATES)
+        points = counts_of(rows["point"].tolist())
         c, n, m, part = (rows[x].to_numpy() for x in ("c", "n", "m", "part"))
         key = rows[["k", "x", "y"]].to_numpy()
         cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1), True])
@@ -236,9 +279,15 @@ def _trees(percent: int):
 def _bounded(percent: int):
     def run(batches):
         for b in _slices(batches):
-            pa_, pb_ = (np.frombuffer(b"".join(b.column(x).to_pylist()), np.int32).reshape(-1, COORDINATES) for x in ("pa", "pb"))
+            pa_, pb_ = (counts_of(b.column(x).to_pylist()) for x in ("pa", "pb"))
             na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
-            keep = pa.array(np.minimum(pa_, pb_).sum(1) >= needed(na, nb, percent))
+            need = needed(na, nb, percent)
+            keep = np.minimum(pa_, pb_).sum(1, dtype=np.int64) >= need
+            for i in keep.nonzero()[0].tolist():
+                x, y = b.column("fa")[i].as_py(), b.column("fb")[i].as_py()
+                if x is not None and y is not None:
+                    keep[i] = fine_bound(x, y, int(na[i]), int(nb[i])) >= need[i]
+            keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
     return run
 
@@ -258,9 +307,9 @@ def _verify(width: int, percent: int):
 def links(docs: DataFrame, width: int = WORDS_IN_SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(classes, edges): each row's key (d, h), set size n and class c; verified links (a, b) between classes."""
     texts = docs.select(*row_key(docs), column(docs, "text", "string").alias("text"))
-    classes = stage(texts.mapInArrow(_points(width), "d long, h long, n long, c long, point binary"), "points")
+    classes = stage(texts.mapInArrow(_points(width), "d long, h long, n long, c long, point binary, fine binary"), "points")
     one = stage(classes.filter("n > 0").groupBy("c").agg(
-        F.min(F.struct("d", "h", "n", "point")).alias("o")).select("c", "o.*"), "classes")
+        F.min(F.struct("d", "h", "n", "point", "fine")).alias("o")).select("c", "o.*"), "classes")
     rows = texts.select("text").mapInArrow(_keys(width, percent), "k long, c long")
     bucket = Window.partitionBy("k")
     shared = rows.withColumn("low", F.min("c").over(bucket)).withColumn("high", F.max("c").over(bucket)).filter("low <> high")
@@ -272,15 +321,18 @@ def links(docs: DataFrame, width: int = WORDS_IN_SHINGLE, percent: int = PERCENT
     pivots = stage(rated.groupBy("k").agg(F.max("r").alias("p")), "pivots")
 
     def point(side: str) -> DataFrame:
-        return one.select(F.col("c").alias(side), F.col("n").alias(f"n{side}"), F.col("point").alias(f"p{side}"))
+        return one.select(F.col("c").alias(side), F.col("n").alias(f"n{side}"), F.col("point").alias(f"p{side}"), F.col("fine").alias(f"f{side}"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
         chosen = one.join(need, "c").select("c", "d", "h")
-        body = stage(texts.join(chosen, ["d", "h"]).groupBy("c").agg(F.first("text").alias("text")), "texts")
+        found = texts.join(chosen.hint("shuffle_hash"), ["d", "h"])  # the few keys are hashed, so that not all texts are sorted
+        body = stage(found.groupBy("c").agg(F.first("text").alias("text")), "texts")
         whole = pairs.join(body.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").join(
             body.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
-        return stage(whole.select("a", "b", "ta", "tb").mapInArrow(_verify(width, percent), "a long, b long"), "links")
+        sure = stage(whole.select("a", "b", "ta", "tb").mapInArrow(_verify(width, percent), "a long, b long"), "links")
+        drop_staged(body)
+        return sure
 
     def bounded(pairs: DataFrame) -> DataFrame:
         near = pairs.join(point("a"), "a").join(point("b"), "b")
@@ -298,14 +350,18 @@ def links(docs: DataFrame, width: int = WORDS_IN_SHINGLE, percent: int = PERCENT
     # first each class with the best pivot it meets, then the pivots of buckets that hold several components
     best = rated.join(pivots, "k").groupBy("c").agg(F.max("p").alias("p")).select("c", F.col("p.c").alias("p")).filter("c <> p")
     tried = stage(best.select(*ordered("c", "p")).distinct(), "tried")
+    drop_staged(rated)
     edges = verified(bounded(tried))
     members = marked(edges)
     head = pivots.select("k", F.col("p.c").alias("c")).join(members, ["k", "c"]).select("k", F.col("c").alias("p"), F.col("m").alias("pm"))
     more = members.join(head, "k").filter("m <> pm").select(*ordered("c", "p")).distinct().join(tried, ["a", "b"], "left_anti")
     more = stage(more, "more")
+    drop_staged(pivots)
+    drop_staged(members)
     edges = stage(edges.union(verified(bounded(more))), "edges")
     tried = tried.union(more)
     members = marked(edges)
+    drop_staged(shared)
     hashed = [F.bit_xor(F.xxhash64("c", F.lit(i))) for i in (1, 2)]
     open_ = members.groupBy("k").agg(F.count("*").alias("size"), F.min("m").alias("lo"), F.max("m").alias("hi"), F.struct(*hashed).alias("same"))
     open_ = open_.filter("size > 2 AND lo <> hi").groupBy("size", "same").agg(F.min("k").alias("k"))  # equal buckets once
@@ -313,11 +369,14 @@ def links(docs: DataFrame, width: int = WORDS_IN_SHINGLE, percent: int = PERCENT
     placed = members.join(open_, "k").withColumn("part", F.pmod(F.xxhash64("c", "k"), F.col("parts")).cast("int"))
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "k", "c", "m", "part", F.least("part", "o").alias("x"), F.greatest("part", "o").alias("y"))
-    placed = stage(placed.join(one.select("c", "n", "point"), "c"), "placed")
+    placed = stage(placed, "placed")
+    drop_staged(members)
     tasks = max(1, placed.count() // TASK_ROWS)
-    trees = placed.groupBy(F.pmod(F.xxhash64("k", "x", "y"), F.lit(tasks))).applyInPandas(_trees(percent), "a long, b long")
+    points = one.select("c", "n", "point")  # joined where they are used: a class is in many buckets
+    trees = placed.join(points, "c").groupBy(F.pmod(F.xxhash64("k", "x", "y"), F.lit(tasks))).applyInPandas(_trees(percent), "a long, b long")
     rest = stage(trees.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    return classes.select("d", "h", "n", "c"), edges.union(verified(rest))
+    drop_staged(placed)
+    return classes.select("d", "h", "n", "c"), edges.union(verified(bounded(rest)))
 
 
 def join(docs: DataFrame, width: int = WORDS_IN_SHINGLE, percent: int = PERCENT) -> DataFrame:
