@@ -172,6 +172,11 @@ def test_packing_round_trip(spark):
         assert end <= 2048
 
 
+def test_toxicity_slices_of_long_texts_hold_few_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array([None, "x" * (6 << 20), "y" * (6 << 20), "z"])], ["text"])
+    assert [b.num_rows for b in kneser_ney._slices([batch])] == [2, 2]
+
+
 def test_packing_solver_is_close_to_the_bound():
     rnd = random.Random(2)
     for _ in range(20):

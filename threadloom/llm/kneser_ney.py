@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import column, doc_id_of, row_key, ship
+from threadloom.llm.common import column, doc_id_of, lean, row_key, ship, slices
 from threadloom.session import stage
 
 ship(__name__)
@@ -52,9 +52,9 @@ FEATURES = ("per_word", "per_root", "pairs")
 WORDS = r"[^\p{L}\p{N}]+"
 SUMS = ("t", "p", "r", "rr")
 COUNTS = ("n", "toxic", "plain", "texts", "toxic_texts", "plain_texts")
-
-
+#: Rows, and bytes of texts, that Python works on at a time.
 SLICE = 2000
+SLICE_BYTES = 8 << 20
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -75,9 +75,7 @@ def hashes(words: pa.Array) -> np.ndarray:
 
 
 def _slices(batches):
-    for b in batches:
-        for at in range(0, b.num_rows, SLICE):
-            yield b.slice(at, SLICE)
+    yield from slices(batches, SLICE, SLICE_BYTES)
 
 
 def _count(batches):
@@ -138,7 +136,7 @@ def vocabulary(docs: DataFrame, learning: DataFrame) -> DataFrame:
         F.broadcast(learning.filter("NOT calibrate").select(F.col("d").alias("_d"), F.col("toxic").alias("_class"))), "_d", "left"
     )
     parts = keyed.select(F.col("_class").cast("int").alias("class"), column(docs, "text", "string").alias("text")).mapInArrow(
-        _count, "w string, " + ", ".join(f"{c} long" for c in COUNTS))
+        lean(_count), "w string, " + ", ".join(f"{c} long" for c in COUNTS))
     return parts.groupBy("w").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
@@ -229,9 +227,9 @@ def likelihoods(docs: DataFrame, words: DataFrame) -> DataFrame:
     hot_x = top["x"].to_numpy()
     texts = docs.select(*row_key(docs), column(docs, "text", "string").alias("text"))
     near = texts.mapInArrow(
-        _near(hot_x, top["t"].to_numpy(), top["p"].to_numpy(), top["apart"].to_numpy()),
+        lean(_near(hot_x, top["t"].to_numpy(), top["p"].to_numpy(), top["apart"].to_numpy())),
         "d long, h long, words long, " + ", ".join(f"{c} double" for c in SUMS))
-    far = texts.mapInArrow(_far(hot_x), "d long, h long, x long").join(known.filter("NOT hot").select("x", "t", "p", F.exp(SHARPNESS * F.col("apart")).alias("r")), "x")
+    far = texts.mapInArrow(lean(_far(hot_x)), "d long, h long, x long").join(known.filter("NOT hot").select("x", "t", "p", F.exp(SHARPNESS * F.col("apart")).alias("r")), "x")
     far = far.withColumn("rr", F.col("r") * F.col("r")).groupBy("d", "h").agg(
         F.lit(0).cast("long").alias("words"), *[F.sum(c).alias(c) for c in SUMS])
     return near.union(far).groupBy("d", "h").agg(

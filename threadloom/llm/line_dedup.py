@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import column, numbered, row_key, ship
+from threadloom.llm.common import column, lean, numbered, row_key, ship
 from threadloom.llm.common import stage_packed as stage
 from threadloom.session import drop_staged
 
@@ -237,7 +237,7 @@ def repeated(rows: DataFrame) -> DataFrame:
 
     A written table; those on the way to it are deleted as soon as the next one is there.
     """
-    every = stage(rows.select("d", "rid", "text").mapInArrow(_chunks, CHUNKS), "chunks")
+    every = stage(rows.select("d", "rid", "text").mapInArrow(lean(_chunks), CHUNKS), "chunks")
     again = stage(every.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1"), "again")
     found = stage(every.join(again, "key"), "repeated")
     drop_staged(every)
@@ -251,7 +251,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     marks = stage(marks, "marks")
     drop_staged(found)
     # the few marks are hashed, so that no text is sorted
-    slices = stage(rows.select("rid", "text").join(marks.hint("shuffle_hash"), "rid").mapInArrow(_slices, SLICES), "slices")
+    slices = stage(rows.select("rid", "text").join(marks.hint("shuffle_hash"), "rid").mapInArrow(lean(_slices), SLICES), "slices")
     drop_staged(marks)
     origin = slices.filter("first").select("key", "salt", *[F.col(c).alias(c + "0") for c in ("pre", "body", "post")])
     later = slices.filter("NOT first").join(origin, ["key", "salt"]).filter("body = body0")

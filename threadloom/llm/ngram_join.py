@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import column, components, doc_id_of, row_key, ship
+from threadloom.llm.common import column, components, doc_id_of, lean, row_key, ship, slices
 from threadloom.llm.common import stage_packed as stage
 from threadloom.session import drop_staged
 
@@ -127,17 +127,7 @@ def _digest(hashes: np.ndarray) -> int:
 
 def _slices(batches):
     """Parts of the batches, of one row at least: pairs of long texts are many bytes in few rows."""
-    for b in batches:
-        size = np.zeros(b.num_rows, np.int64)
-        for c in b.columns:
-            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
-                size += pc.fill_null(pc.binary_length(c), 0).to_numpy()
-        total, at = size.cumsum(), 0
-        while at < b.num_rows:
-            most = (total[at - 1] if at else 0) + SLICE_BYTES
-            end = min(at + SLICE, max(at + 1, int(total.searchsorted(most, "right"))))
-            yield b.slice(at, end - at)
-            at = end
+    yield from slices(batches, SLICE, SLICE_BYTES)
 
 
 def point_of(hashes: np.ndarray) -> bytes:
@@ -307,10 +297,10 @@ def _verify(width: int, percent: int):
 def links(docs: DataFrame, width: int = WORDS_IN_SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(classes, edges): each row's key (d, h), set size n and class c; verified links (a, b) between classes."""
     texts = docs.select(*row_key(docs), column(docs, "text", "string").alias("text"))
-    classes = stage(texts.mapInArrow(_points(width), "d long, h long, n long, c long, point binary, fine binary"), "points")
+    classes = stage(texts.mapInArrow(lean(_points(width)), "d long, h long, n long, c long, point binary, fine binary"), "points")
     one = stage(classes.filter("n > 0").groupBy("c").agg(
         F.min(F.struct("d", "h", "n", "point", "fine")).alias("o")).select("c", "o.*"), "classes")
-    rows = texts.select("text").mapInArrow(_keys(width, percent), "k long, c long")
+    rows = texts.select("text").mapInArrow(lean(_keys(width, percent)), "k long, c long")
     bucket = Window.partitionBy("k")
     shared = rows.withColumn("low", F.min("c").over(bucket)).withColumn("high", F.max("c").over(bucket)).filter("low <> high")
     shared = stage(shared.select("k", "c").distinct(), "buckets")
@@ -330,13 +320,13 @@ def links(docs: DataFrame, width: int = WORDS_IN_SHINGLE, percent: int = PERCENT
         body = stage(found.groupBy("c").agg(F.first("text").alias("text")), "texts")
         whole = pairs.join(body.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").join(
             body.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
-        sure = stage(whole.select("a", "b", "ta", "tb").mapInArrow(_verify(width, percent), "a long, b long"), "links")
+        sure = stage(whole.select("a", "b", "ta", "tb").mapInArrow(lean(_verify(width, percent)), "a long, b long"), "links")
         drop_staged(body)
         return sure
 
     def bounded(pairs: DataFrame) -> DataFrame:
         near = pairs.join(point("a"), "a").join(point("b"), "b")
-        return stage(near.mapInArrow(_bounded(percent), "a long, b long"), "near")
+        return stage(near.mapInArrow(lean(_bounded(percent)), "a long, b long"), "near")
 
     def ordered(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
