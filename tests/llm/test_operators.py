@@ -172,6 +172,33 @@ def test_packing_round_trip(spark):
         assert end <= 2048
 
 
+def test_packing_keeps_the_words_that_come_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    monkeypatch.setattr(packing, "CACHE_WORDS", 200)
+    encode, rnd = packing.Encoder(packing.tokenizer_path()), random.Random(2)
+    signs = [*"ab cdößéÉÀÿñıİK\n\t.,:%*'|<>0 9", "'s", "e\u0301", "<|endoftext|>", "<|ENDOFTEXT|>", "日", "Σ", "\x00"]
+    for k in range(30):
+        texts = ["common wörds, again***", "", *("".join(rnd.choices(signs, k=rnd.choice([1, 9, 80]))) for _ in range(20))]
+        ids, ends = encode(pa.array(texts))
+        got = [x.tolist() for x in np.split(ids, ends)[:-1]]
+        assert got == [[*whole.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        assert len(encode.known) < 200 + 600
+    assert "common" in encode.known.to_pylist()
+
+
+def test_workers_keep_no_vocabulary_between_tasks(spark):
+    def loaded(batches):
+        import sys
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(["_packing_cache" in sys.modules])], ["kept"])
+
+    packing.pieces(docs_of(spark, [(i, f"a{i} b") for i in range(50)]).repartition(8), packing.tokenizer_path()).collect()
+    assert not any(r["kept"] for r in spark.range(8, numPartitions=8).mapInArrow(loaded, "kept boolean").collect())
+
+
 def test_toxicity_slices_of_long_texts_hold_few_bytes():
     batch = pa.RecordBatch.from_arrays([pa.array([None, "x" * (6 << 20), "y" * (6 << 20), "z"])], ["text"])
     assert [b.num_rows for b in kneser_ney._slices([batch])] == [2, 2]

@@ -15,27 +15,30 @@ Only doc_id and text are read.
 from __future__ import annotations
 
 import bisect
+import codecs
 import os
-import re
-import sys
-import types
 import zlib
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import column, ship
+from threadloom.llm.common import column, lean, ship, slices
 from threadloom.session import stage
 
 ship(__name__)
 
 MAX_TOKENS = 2048
 END = 0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+#: Rows, and bytes of texts, that are encoded at a time.
+SLICE = 2000
+SLICE_BYTES = 2 << 20
 BLOCK_ROWS = 2000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, x long"
 
@@ -46,61 +49,110 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-# letters that stay letters when composed and lower-cased
-LONE = re.compile(r"(?<=[a-z0-9À-ÖØ-öø-įı-ɏ])([!-/:-@\[-`{-~]+)(?=[ \n]|$)")
+# letters that stay letters when composed and lower-cased, before signs that end the word
+LONE = r"([a-z0-9À-ÖØ-öø-įı-ɏ])([!-/:-@\[-`{-~]+)( |\n|$)"
+#: Words that are one part to the tokenizer, which it neither composes nor lower-cases any further.
+LETTERS = "^[a-zß-öø-ÿ]+$"
 
 
-def words(text: str) -> list[str]:
-    """Parts of a text that the tokenizer encodes one by one.
+def words(texts: pa.Array) -> pa.Array:
+    """Lists of the parts of each text that the tokenizer encodes one by one.
 
     White space ends its words, letters and punctuation are split anyway and case does not matter, so capitals and
     signs after a word need no entries of their own. Texts that may name special tokens stay as they are.
     """
-    if "<|" not in text:
-        text = LONE.sub(r" \1", text.encode().lower().decode())
-    return text.replace("\n", " ").split(" ")
-
-
-def encoder(path: str):
-    """Text to little-endian 32-bit ids. Words are encoded once and kept while the worker process lives, within a bound."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
-    from tokenizers import Tokenizer
-
-    kept = sys.modules.setdefault("_packing_cache", types.ModuleType("_packing_cache")).__dict__
-    if path not in kept:
-        kept[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = kept[path]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [words(t) for t in texts]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = {w for ws in split for w in ws if w not in known}
-        plain = [w for w in new if w.isascii() and w.isalpha() and w.islower()]  # what stands before the model leaves these as they are
-        for w in plain:
-            known[w] = np.array([t.id for t in tokenizer.model.tokenize(w)], "<u4").tobytes()
-        new = list(new.difference(plain))
-        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
-
-    return encode
+    plain = pc.replace_substring_regex(pc.ascii_lower(texts), LONE, r"\1 \2\3")
+    kept = pc.if_else(pc.match_substring(texts, "<|"), texts, plain)
+    return pc.split_pattern(pc.replace_substring(kept, "\n", " "), " ")
+
+
+class Encoder:
+    """Little-endian 32-bit ids of texts. Words are encoded once and kept, as arrays, while they come again, within a bound."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer = Tokenizer.from_file(path)
+        level, self.bytes = ByteLevel(add_prefix_space=False, use_regex=False), [chr(b) for b in range(256)]
+        for c in map(chr, range(0xDF, 0x100)):  # the model's letter for each byte of a letter
+            for b, letter in zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True):
+                self.bytes[b] = letter
+        self.bytes = "".join(self.bytes)
+        # the end mark comes first, with the number 0
+        self.known, self.again = pa.array([], pa.string()), np.zeros(0, bool)
+        self.ids, self.ends = np.array([END], "<u4"), np.array([1])
+
+    def only(self, kept: np.ndarray) -> None:
+        """Forget the other words."""
+        every = np.r_[True, kept]
+        sizes = np.diff(self.ends, prepend=0)
+        self.ids, self.ends = self.ids[np.repeat(every, sizes)], sizes[every].cumsum()
+        self.known, self.again = self.known.filter(pa.array(kept)), np.zeros(kept.sum(), bool)
+
+    def add(self, new: pa.Array) -> None:
+        plain = _numbers(pc.match_substring_regex(new, LETTERS))
+        letters = " ".join(new.filter(pa.array(plain)).to_pylist()).encode()
+        letters = codecs.charmap_decode(letters, "strict", self.bytes)[0].split(" ") if letters else []
+        others = self.tokenizer.encode_batch_fast(new.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)
+        tokenize, letters, others = self.tokenizer.model.tokenize, iter(letters), iter(others)
+        out = [[t.id for t in tokenize(next(letters))] if p else next(others).ids for p in plain.tolist()]
+        ends = self.ends[-1] + np.cumsum([len(ids) for ids in out])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(out), "<u4", int(ends[-1] - self.ends[-1]))])
+        self.ends = np.concatenate([self.ends, ends])
+        self.known, self.again = pa.concat_arrays([self.known, new]), np.r_[self.again, np.zeros(len(new), bool)]
+
+    def places(self, distinct: pa.Array) -> np.ndarray:
+        """The number of each word among those that are kept, from 1."""
+        if len(self.known) > CACHE_WORDS:  # the slices are small, so that one goes little beyond
+            self.only(self.again if 2 * self.again.sum() < CACHE_WORDS else np.zeros(len(self.known), bool))
+        at = pc.index_in(distinct, self.known)
+        unknown = _numbers(pc.is_null(at))
+        place = _numbers(pc.fill_null(at, 0)).astype(np.int64)
+        self.again[place[~unknown]] = True
+        if unknown.any():
+            place[unknown] = len(self.known) + np.arange(unknown.sum())
+            self.add(distinct.filter(pa.array(unknown)))
+        return place + 1
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with its end mark; where each text ends)."""
+        lists = words(texts)
+        coded = lists.flatten().dictionary_encode()
+        word = self.places(coded.dictionary)[coded.indices.to_numpy()]
+        last = np.cumsum(_numbers(lists.value_lengths()), dtype=np.int64)
+        word = np.insert(word, last, 0)
+        sizes = np.diff(self.ends, prepend=0)
+        begin, size = (self.ends - sizes)[word], sizes[word]
+        end = size.cumsum()
+        at = np.arange(end[-1]) + np.repeat(begin - end + size, size)
+        return self.ids[at], end[last + np.arange(len(last))]
+
+
+def _numbers(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False)
 
 
 def _pieces(path: str, most: int, with_ids: bool):
     def run(batches):
-        encode = encoder(path)
-        for rows in batches:
-            for s in range(0, len(rows), 256):
-                part, out = rows.iloc[s : s + 256], []
-                ids = encode(["" if t is None else t for t in part["text"]])
-                for d, x, data in zip(part["doc_id"], part["x"], ids, strict=True):
-                    data += END.to_bytes(4, "little")
-                    for n, at in enumerate(range(0, len(data), 4 * most)):
-                        own = data[at : at + 4 * most]
-                        out.append((d, n, at // 4, len(own) // 4, zlib.crc32(own), own if with_ids else None, x))
-                out = pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
-                yield out.astype({"doc_id": "Int64"})
+        encode = Encoder(path)  # goes with the task: Spark keeps its workers
+        for part in slices(batches, SLICE, SLICE_BYTES):
+            ids, ends = encode(pc.fill_null(part.column("text"), ""))
+            begins = np.r_[0, ends[:-1]]
+            times = -(-(ends - begins) // most)
+            row = np.repeat(np.arange(part.num_rows), times)
+            piece = np.arange(len(row)) - np.repeat(times.cumsum() - times, times)
+            start = piece * most
+            length = np.minimum((ends - begins)[row] - start, most)
+            data = memoryview(ids.tobytes())
+            cuts = list(zip((4 * (begins[row] + start)).tolist(), (4 * (begins[row] + start + length)).tolist(), strict=True))
+            crc = [zlib.crc32(data[a:b]) for a, b in cuts]
+            own = [bytes(data[a:b]) for a, b in cuts] if with_ids else [None] * len(cuts)
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(of), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()),
+                 pa.array(own, pa.binary()), part.column("x").take(of)], [c.split()[0] for c in PIECES.split(", ")])
     return run
 
 
@@ -108,7 +160,7 @@ def pieces(docs: DataFrame, path: str, most: int = MAX_TOKENS, with_ids: bool =
     """One row per piece; ``x`` is a hash of the row that spreads pieces over blocks."""
     d, text = column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text")
     rows = docs.select(d, text).withColumn("x", F.xxhash64("doc_id", "text"))
-    return rows.mapInPandas(_pieces(path, most, with_ids), PIECES)
+    return rows.mapInArrow(lean(_pieces(path, most, with_ids)), PIECES)
 
 
 class Lengths:
@@ -283,4 +335,4 @@ def pack(docs: DataFrame, path: str | None = None, most: int = MAX_TOKENS, with_
     ranked = placed.withColumn("r", within).join(starts, ["length", "block"])
     ranked = ranked.select(*columns, (F.col("before") + F.col("r") - 1).alias("rank"))
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * with_ids
-    return ranked.mapInPandas(_assign(where), kinds + "sequence_id long, offset long")
+    return ranked.mapInPandas(lean(_assign(where)), kinds + "sequence_id long, offset long")
