@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,49 @@ def test_words_seen_before_are_not_encoded_again(monkeypatch):
     assert sent == ["new", "new"] and set(memo.words) == {"new", "w5", "w7"}  # from those before
 
 
+def test_every_text_is_encoded_by_both_also_when_its_words_were_seen(monkeypatch):
+    paths, sent = crosstok.tokenizer_paths(), {}
+
+    def counting(name, side):
+        def encode(texts):
+            texts = list(texts)
+            sent.setdefault(name, []).extend(texts)
+            return side.encode(texts)
+        return crosstok.Side(encode, side.tokens, side.lossless, side.apart)
+
+    a, b, aligner = crosstok.load(*paths)
+    sides = counting("a", a), counting("b", b)
+    monkeypatch.setattr(crosstok, "load", lambda *_: (*sides, type(aligner)(*sides)))
+    texts = ["one two three", "three two one", "", "one two three", "two two  two", None, "one"]
+    rows = pd.DataFrame({"doc_id": pd.array(range(len(texts)), "Int64"), "text": texts})
+    got = pd.concat(crosstok._aligned(*paths)([rows, rows]))
+    whole = [t for t in texts if t] * 2
+    assert sent == {"a": whole, "b": whole}
+    monkeypatch.undo()
+    for row, (n_a, n_b, links, _, _, groups) in zip(got.itertuples(), brute_alignment(texts) * 2, strict=True):
+        digest = hashlib.sha256(groups.encode()).hexdigest() if n_a else ""
+        assert (row.n_a, row.n_b, row.n_groups, row.n_links, row.groups_sha256) == (n_a, n_b, links, links, digest)
+        assert len(row.pairs) == len(set(row.pairs)) and sum(row.times) == links
+
+
+@pytest.mark.parametrize("chars, together", [(1, 1), (8, 60), (20, 10_000)])
+def test_long_texts_in_parts_give_what_whole_texts_give(monkeypatch, chars, together):
+    monkeypatch.setattr(crosstok, "PART_CHARS", chars)
+    monkeypatch.setattr(crosstok, "CHARS_TOGETHER", together)
+    a, b, aligner = crosstok.load(*crosstok.tokenizer_paths())
+    rng = random.Random(chars)
+    parts = ["ab", " ", " ", " ", "  ", "\n", "\t", "é", "the", " of", "😀", "-", "\u3000", "\xa0", "\x1c", "\x85", "\u200b", "\u0301", "ﬁ", "'s", "日本語"]
+    texts = ["".join(rng.choice(parts[: rng.choice([9, 21])]) for _ in range(rng.randint(0, 60))) for _ in range(400)] + [t or "" for t in TEXTS]
+    assert any(len(aligner.parts(t)) > 2 for t in texts) and all(" ".join(aligner.parts(t)) == t for t in texts)
+    kept = 0
+    for text, x, y, got in zip(texts, a.ids(texts), b.ids(texts), aligner.whole(texts), strict=True):
+        want = aligner.document(text, x, y) if text else None
+        assert (got is None) == (want is None), text
+        assert got is None or got[:5] == want[:5] and (got[5] == want[5]).all() and (got[6] == want[6]).all(), text
+        kept += got is not None
+    assert 50 < kept < len(texts)
+
+
 def test_quick_encoder_gives_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
